@@ -41,7 +41,7 @@ def row_numbers(
     )
     sizes = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     offsets = _before(sizes, keys, "_n", "_skip", descending).drop("_n")
-    joined = local.join(offsets, [*keys, "_bucket"])
+    joined = local.join(offsets, [*keys, "_bucket"], "left")
     return joined.withColumn(out, (F.col(out) + F.col("_skip")).cast("long")).drop(
         "_bucket", "_skip"
     )
@@ -66,7 +66,7 @@ def running_sum(
     local = cut.withColumn(out, F.sum("_value").over(window))
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_n"))
     offsets = _before(sums, keys, "_n", "_skip", descending).drop("_n")
-    joined = local.join(offsets, [*keys, "_bucket"])
+    joined = local.join(offsets, [*keys, "_bucket"], "left")
     return joined.withColumn(out, F.col(out) + F.col("_skip")).drop(
         "_bucket", "_skip", "_value"
     )
@@ -95,7 +95,7 @@ def running_from_end(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = lows.withColumn("_later_low", F.min("_b_low").over(across)).drop("_b_low")
-    joined = local.join(carried, [*keys, "_bucket"])
+    joined = local.join(carried, [*keys, "_bucket"], "left")
     low = F.least(
         F.coalesce(F.col("_low"), F.lit(0)), F.coalesce(F.col("_later_low"), F.lit(0)), F.lit(0)
     )
@@ -133,7 +133,7 @@ def neighbours(
     edges = edges.withColumn("_before", F.lag("_tail").over(across)).withColumn(
         "_after", F.lead("_head").over(across)
     ).drop("_head", "_tail")
-    joined = local.join(edges, [*keys, "_bucket"])
+    joined = local.join(edges, [*keys, "_bucket"], "left")
 
     def shown(near: str, far: str) -> Column:
         both = F.coalesce(F.col(near), F.col(far))

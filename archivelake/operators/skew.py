@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SALTS = 64
@@ -46,18 +46,20 @@ def with_group_totals(
     """Attach per-key totals to every row without one task per key.
 
     `partials` maps an output name to (input column, combiner) where the
-    combiner is `min`, `max` or `sum`.
+    combiner is `min`, `max` or `sum`. Rows with a null key keep null totals.
     """
     combine = {"min": F.min, "max": F.max, "sum": F.sum}
     salted = facts.withColumn("_salt", _salt(spread_on, salts))
     part = salted.groupBy(*keys, "_salt").agg(
         *[combine[how](col).alias(name) for name, (col, how) in partials.items()]
     )
-    total = part.groupBy(*keys).agg(
-        *[combine[how](name).alias(name) for name, (_, how) in partials.items()]
+    # At most `salts` rows per key from here on.
+    per_key = Window.partitionBy(*keys)
+    lookup = part.select(
+        *keys, "_salt",
+        *[combine[how](name).over(per_key).alias(name) for name, (_, how) in partials.items()],
     )
-    lookup = part.select(*keys, "_salt").join(total, keys)
-    return salted.join(lookup, [*keys, "_salt"]).drop("_salt")
+    return salted.join(lookup, [*keys, "_salt"], "left").drop("_salt")
 
 
 def keep_first(
