@@ -29,54 +29,73 @@ DIFF_FIELDS = {
 }
 
 
-def _field(df: DataFrame, field: str, value: Column, weight: int = 1) -> DataFrame:
-    return df.select("docid", F.lit(field).alias("field"), value.alias("value"),
-                     F.lit(weight).alias("weight")).where("value is not null and value <> ''")
+# Blocks of one field are far apart, so no phrase runs from one into the next.
+BLOCK_GAP = 1 << 24
+PART_GAP = 10_000_000
+
+
+def _field(df: DataFrame, field: str, value: Column, weight: int = 1, at: Column | None = None) -> DataFrame:
+    place = F.lit(0) if at is None else at
+    return df.select(
+        "docid", F.lit(field).alias("field"), value.alias("value"),
+        F.lit(weight).alias("weight"), place.cast("bigint").alias("at"),
+    ).where("value is not null and value <> ''")
 
 
 def text_fields(msgs: DataFrame) -> DataFrame:
-    """(docid, field, value, weight) of the headers and body of plain messages.
+    """(docid, field, value, weight, at) of the headers and body of plain messages.
 
     Quoted text gets weight 0: it can be found but does not raise the score.
+    `at` orders the blocks of a field.
     """
     rows = [
         _field(msgs, name, F.col(name))
         for name in ("subject", "from", "to", "cc") if name in msgs.columns
     ]
     if "mid" in msgs.columns:
+        long_words = F.array_join(ids.id_words(F.col("mid")), " ")
         rows.append(_field(msgs, "mid_text", F.col("mid")))
-        rows.append(_field(msgs, "mid_text", F.array_join(ids.id_words(F.col("mid")), " ")))
+        rows.append(_field(msgs, "mid_text", long_words, at=F.lit(1)))
     if "body" in msgs.columns:
-        blocks = msgs.select("docid", F.explode(text.quote_blocks(F.col("body"))).alias("b"))
+        base = F.col("part_pos") * PART_GAP if "part_pos" in msgs.columns else F.lit(0)
+        blocks = msgs.select(
+            "docid", base.alias("base"), F.explode(text.quote_blocks(F.col("body"))).alias("b")
+        )
         quoted = blocks.where("b.quoted")
         plain = blocks.where("not b.quoted")
         is_diff = diffs.looks_like_diff(F.col("b.text"))
-        rows.append(_field(quoted, "quoted", F.col("b.text"), 0))
-        rows.append(_field(plain.where(~is_diff), "nonquoted", F.col("b.text")))
+        at = F.col("base") + F.col("b.pos")
+        rows.append(_field(quoted, "quoted", F.col("b.text"), 0, at))
+        rows.append(_field(plain.where(~is_diff), "nonquoted", F.col("b.text"), 1, at))
         lines = plain.where(is_diff).select(
-            "docid", F.explode(diffs.diff_lines(F.col("b.text"))).alias("l")
+            "docid", at.alias("at0"), F.explode(diffs.diff_lines(F.col("b.text"))).alias("l")
         )
         kinds = F.create_map(*[F.lit(x) for kv in DIFF_FIELDS.items() for x in kv])
         named = lines.select(
             "docid", F.try_element_at(kinds, F.col("l.kind")).alias("field"),
             F.col("l.value").alias("value"), F.lit(1).alias("weight"),
+            (F.col("at0") + F.col("l.line")).cast("bigint").alias("at"),
         ).where("field is not null and value <> '' and field not in ('dfpre', 'dfpost')")
         rows.append(named)
     return reduce(DataFrame.unionByName, rows)
 
 
 def part_fields(parts: DataFrame) -> DataFrame:
-    """(docid, field, value, weight) of exploded MIME parts.
+    """`text_fields` rows of exploded MIME parts.
 
     Names of attachments are indexed, and attached messages give their own ids
     and headers to the message that carries them.
     """
-    text_rows = text_fields(parts.where("text is not null").select("docid", F.col("text").alias("body")))
-    names = _field(parts, "filename", F.col("filename"))
+    text_rows = text_fields(
+        parts.where("text is not null").select("docid", "part_pos", F.col("text").alias("body"))
+    )
+    at = F.col("part_pos") * PART_GAP
+    names = _field(parts, "filename", F.col("filename"), at=at)
     attached = parts.where("is_submsg")
-    head = F.decode(F.col("body"), "UTF-8")
+    head = F.split_part(F.decode("body", "UTF-8"), F.lit("\n\n"), F.lit(1))
     inner = [
-        _field(attached, field, F.regexp_extract(head, "(?im)^" + name + r":[ \t]*([^\r\n]*)", 1))
+        _field(attached, field,
+               F.regexp_extract(head, "(?im)^" + name + r":[ \t]*([^\r\n]*)", 1), at=at + 1)
         for field, name in (("subject", "subject"), ("from", "from"), ("to", "to"),
                             ("cc", "cc"), ("mid_text", "message-id"))
     ]
@@ -87,11 +106,11 @@ def build_postings(fields: DataFrame, positions: bool = True) -> DataFrame:
     """Postings (docid, field, term, wdf, positions) of text fields.
 
     `positions=False` is the smaller index level that cannot match phrases.
-    Blocks of one field follow each other with a gap of 100 positions.
     """
     tokens = fields.select(
-        "docid", "field", "weight", F.posexplode(text.words(F.col("value"))).alias("pos", "term")
-    )
+        "docid", "field", "weight", "at",
+        F.posexplode(text.words(F.col("value"))).alias("pos", "term"),
+    ).withColumn("pos", F.col("at") * BLOCK_GAP + F.col("pos"))
     grouped = tokens.groupBy("docid", "field", "term")
     wdf = F.sum("weight").cast("long").alias("wdf")
     if not positions:
@@ -107,7 +126,7 @@ def exact_terms(docs: DataFrame, field: str, values: Column, prefixes_to: int |
         rows = rows.select("docid", F.explode(ids.id_prefixes(F.col("term"), prefixes_to)).alias("term"))
     return rows.distinct().select(
         "docid", F.lit(field).alias("field"), "term", F.lit(0).cast("long").alias("wdf"),
-        F.array().cast("array<int>").alias("positions"),
+        F.array().cast("array<bigint>").alias("positions"),
     )
 
 
@@ -120,7 +139,7 @@ def altid_terms(message_ids: DataFrame, altid: DataFrame) -> DataFrame:
     )
     return joined.select("docid", F.explode("alts").alias("a")).select(
         "docid", F.col("a.prefix").alias("field"), F.col("a.num").cast("string").alias("term"),
-        F.lit(0).cast("long").alias("wdf"), F.array().cast("array<int>").alias("positions"),
+        F.lit(0).cast("long").alias("wdf"), F.array().cast("array<bigint>").alias("positions"),
     )
 
 

@@ -18,4 +18,4 @@ DECODED = (
 XREF3 = "docid bigint, inbox string, xnum bigint, oid string"
 ANNOTATIONS = "docid bigint, kw array<string>, labels array<string>"
 BLOB_LOCATIONS = "oid string, folder string, uid bigint, name string"
-POSTINGS = "docid bigint, field string, term string, wdf bigint, positions array<int>"
+POSTINGS = "docid bigint, field string, term string, wdf bigint, positions array<bigint>"
