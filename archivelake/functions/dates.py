@@ -68,9 +68,8 @@ def _zone_text(sign: Column, hours: Column, minutes: Column) -> Column:
 
 def _result(local: Column, sign: Column, hours: Column, minutes: Column) -> Column:
     shift = F.when(sign == "-", -1).otherwise(1) * (hours * 3600 + minutes * 60)
-    good = local.isNotNull() & (local >= 0)
     return F.when(
-        good,
+        local >= 0,
         F.struct(
             (local - shift).cast("long").alias("epoch"),
             _zone_text(sign, hours, minutes).alias("zone"),
@@ -78,18 +77,29 @@ def _result(local: Column, sign: Column, hours: Column, minutes: Column) -> Colu
     )
 
 
-def _rfc822(text: Column) -> Column:
-    g = [F.regexp_extract(text, DATE_PATTERN, i) for i in range(9)]
-    year = _int(g[3])
-    year = F.when(F.length(g[3]) <= 3, year + 1900).otherwise(year)
-    year = F.when((F.length(g[3]) <= 3) & (year < 1950), year + 100).otherwise(year)
-    second = F.when(g[6] == "", F.lit(0)).otherwise(_int(g[6]))
-    local = _seconds(year, _month_number(g[2]), _int(g[1]), _int(g[4]), _int(g[5]), second)
-    named = F.try_element_at(_constant_map(OBSOLETE_ZONES), g[8])
+def _groups(text: Column, pattern: str, count: int) -> Column:
+    """All groups of the first match as an array, or a one-element array."""
+    marks = "\u0001".join(f"${i}" for i in range(1, count + 1))
+    return F.split(F.regexp_replace(text, r"(?s)^.*?(?:" + pattern + r").*$", marks), "\u0001", -1)
+
+
+def _once(value: Column, function) -> Column:
+    """Apply a function to a value computed once, not once per use."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _rfc822(g: Column) -> Column:
+    day, month, years, hour, minute, seconds, sign_text, zone = [F.get(g, F.lit(i)) for i in range(8)]
+    year = _int(years)
+    year = F.when(F.length(years) <= 3, year + 1900).otherwise(year)
+    year = F.when((F.length(years) <= 3) & (year < 1950), year + 100).otherwise(year)
+    second = F.when(seconds == "", F.lit(0)).otherwise(_int(seconds))
+    local = _seconds(year, _month_number(month), _int(day), _int(hour), _int(minute), second)
+    named = F.try_element_at(_constant_map(OBSOLETE_ZONES), zone)
     sign = F.when(named.isNotNull(), F.substring(named, 1, 1)).otherwise(
-        F.when(g[7] == "-", "-").otherwise("+")
+        F.when(sign_text == "-", "-").otherwise("+")
     )
-    digits = F.coalesce(F.substring(named, 2, 4), g[8])
+    digits = F.coalesce(F.substring(named, 2, 4), zone)
     size = F.length(digits)
     hours = F.when(size == 1, digits).when(size == 2, F.lit("0")).otherwise(
         F.substring(digits, F.lit(1), size - 2)
@@ -97,19 +107,18 @@ def _rfc822(text: Column) -> Column:
     minutes = F.when(size == 1, F.lit("0")).when(size == 2, digits).otherwise(
         F.right(digits, F.lit(2))
     ).try_cast("long")
-    carry = F.floor(minutes / 60)
-    return F.when(g[0] != "", _result(local, sign, hours + carry, minutes % 60))
+    return F.when(F.size(g) == 8, _result(local, sign, hours + F.floor(minutes / 60), minutes % 60))
 
 
-def _iso(text: Column) -> Column:
-    g = [F.regexp_extract(text, ISO_PATTERN, i) for i in range(8)]
-    second = F.when(g[6] == "", F.lit(0)).otherwise(_int(g[6]))
-    local = _seconds(_int(g[1]), _int(g[2]), _int(g[3]), _int(g[4]), _int(g[5]), second)
-    zone = F.when(g[7].isin("", "Z"), F.lit("+0000")).otherwise(
-        F.regexp_replace(g[7], ":", "")
+def _iso(g: Column) -> Column:
+    year, month, day, hour, minute, seconds, zone_text = [F.get(g, F.lit(i)) for i in range(7)]
+    second = F.when(seconds == "", F.lit(0)).otherwise(_int(seconds))
+    local = _seconds(_int(year), _int(month), _int(day), _int(hour), _int(minute), second)
+    zone = F.when(zone_text.isin("", "Z"), F.lit("+0000")).otherwise(
+        F.regexp_replace(zone_text, ":", "")
     )
     return F.when(
-        g[0] != "",
+        F.size(g) == 7,
         _result(
             local,
             F.substring(zone, 1, 1),
@@ -121,7 +130,9 @@ def _iso(text: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """`struct(epoch, zone)` of a Date header value, or null."""
-    return F.coalesce(_rfc822(text), _iso(text))
+    return F.coalesce(
+        _once(_groups(text, DATE_PATTERN, 8), _rfc822), _once(_groups(text, ISO_PATTERN, 7), _iso)
+    )
 
 
 def _first_parsed(values: Column, parse) -> Column:

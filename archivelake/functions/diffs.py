@@ -142,9 +142,7 @@ def classify_lines(text: str) -> list[tuple[int, str, str]]:
     return out
 
 
-@F.pandas_udf(LINE_TYPE)
-def diff_lines(text: pd.Series) -> pd.Series:
-    """Classified lines of each text; one Arrow batch at a time."""
+def _classify_batch(text: pd.Series) -> pd.Series:
     return text.map(
         lambda t: None
         if t is None
@@ -152,6 +150,11 @@ def diff_lines(text: pd.Series) -> pd.Series:
     )
 
 
+def diff_lines(text: Column) -> Column:
+    """Classified lines of each text; one Arrow batch at a time."""
+    return F.pandas_udf(_classify_batch, LINE_TYPE)(text)
+
+
 def looks_like_diff(text: Column) -> Column:
     return text.rlike(r"(?m)^(?:diff|---|\+\+\+) ")
 

@@ -49,10 +49,13 @@ def without_unwanted(headers: Column) -> Column:
 
 def restore_gmane(headers: Column) -> Column:
     """Original-Received/-To take the place of Received/To; added ones go."""
+    def others(h: Column, name: str) -> Column:
+        return F.map_filter(h, lambda k, v: ~k.isin(name, "original-" + name))
+
     restored = headers
     for name in ("received", "to"):
         original = F.try_element_at(headers, F.lit("original-" + name))
-        other = F.map_filter(restored, lambda k, v, n=name: ~k.isin(n, "original-" + n))
+        other = others(restored, name)
         restored = F.when(
             original.isNotNull(),
             F.map_concat(other, F.create_map(F.lit(name), original)),

@@ -48,15 +48,12 @@ def content_reasons(parts: Column, suffixes: list[str] | None = None,
     """Sorted reasons to reject content types and file suffixes."""
     types = REJECT_TYPES if types is None else types
     suffixes = REJECT_SUFFIXES if suffixes is None else suffixes
-    bad_type = [
-        F.when(
-            F.exists(parts, lambda p, g=glob: p["content_type"].rlike(
-                r"(?i)\b" + wildmat_regex(g).strip("^$") + r"\b" if not g.endswith("*")
-                else r"(?i)\b" + wildmat_regex(g).strip("^$"))),
-            F.lit(f"no {what}"),
-        )
-        for glob, what in types.items()
-    ]
+
+    def of_type(glob: str) -> Column:
+        pattern = r"(?i)\b" + wildmat_regex(glob).strip("^$") + ("" if glob.endswith("*") else r"\b")
+        return F.exists(parts, lambda p: p["content_type"].rlike(pattern))
+
+    bad_type = [F.when(of_type(glob), F.lit(f"no {what}")) for glob, what in types.items()]
     pattern = r"(?i)\.(" + "|".join(suffixes) + r")\s*$"
     found = F.array_sort(
         F.array_distinct(
@@ -75,8 +72,11 @@ def watched(hdr: Column, rules: list[tuple[str, str]]) -> Column:
     """True when any configured header matches; no rules admit everything."""
     if not rules:
         return F.lit(True)
-    tests = [F.exists(headers.values(hdr, h), lambda v, p=p: v.rlike(p)) for h, p in rules]
-    return reduce(lambda a, b: a | b, tests)
+
+    def matches(name: str, pattern: str) -> Column:
+        return F.exists(headers.values(hdr, name), lambda v: v.rlike(pattern))
+
+    return reduce(lambda a, b: a | b, [matches(h, p) for h, p in rules])
 
 
 def watched_lists(hdr: Column, list_ids: list[str]) -> Column:

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _parent(conv: Column, turn: Column) -> Column:
     """Turn a message replies to: a chain, a star or a binary tree."""
     return (
-        F.when(turn <= 0, None)
+        F.when(turn.isNull() | (turn <= 0), None)
         .when(conv % 3 == 0, turn - 1)
         .when(conv % 3 == 1, F.lit(0))
         .otherwise(F.floor((turn - 1) / 2))
@@ -198,3 +198,31 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(
         (F.col("doc_id") + 1).alias("docid"), kw.alias("kw"), names.alias("labels")
     )
+
+
+def patch_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as patches: twenty files, each document the next version of one.
+
+    The whole text is what the patch adds.
+    """
+    d = F.col("doc_id")
+    hist, v = d % 20, F.floor(d / 20).cast("long")
+
+    def blob(version: Column) -> Column:
+        return F.substring(
+            F.sha1(F.concat(hist.cast("string"), F.lit(":"), version.cast("string"))), 1, 10
+        )
+
+    pre = F.when(v == 0, "0000000000").otherwise(blob(v - 1))
+    name = F.concat(F.lit("src/file"), hist.cast("string"), F.lit(".txt"))
+    body = F.concat(
+        F.lit("Please review.\n---\n "), name, F.lit(" | 2 +-\n\ndiff --git a/"), name,
+        F.lit(" b/"), name, F.lit("\nindex "), pre, F.lit(".."), blob(v), F.lit(" 100644\n--- a/"),
+        name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1,2 +1,2 @@ section\n keep\n-old v"),
+        v.cast("string"), F.lit("\n+"), F.replace("text", F.lit("\n"), F.lit("\n+")),
+        F.lit("\n-- \n2.30.0\n"),
+    )
+    return table(spark, sf_dir, "documents").select(
+        (d + 1).alias("docid"), (F.lit(BASE_DS) + d * 60).alias("ts"), hist.alias("hist"),
+        v.alias("v"), pre.alias("pre"), blob(v).alias("post"), body.alias("body"), "text",
+    )
