@@ -47,32 +47,42 @@ def _int(text: Column) -> Column:
     return F.trim(text).try_cast("int")
 
 
-def _seconds(year, month, day, hour, minute, second) -> Column:
-    text = F.format_string("%04d-%02d-%02d", year, month, day)
-    date = text.try_cast("date")
-    fine = (hour < 24) & (minute < 60) & (second < 60) & date.isNotNull()
+def _once(value: Column, function) -> Column:
+    """Apply a function to a value computed once, not once per use."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _seconds(p: Column) -> Column:
+    """Epoch seconds of struct(date, hour, minute, second) when all are valid."""
+    fine = (p["hour"] < 24) & (p["minute"] < 60) & (p["second"] < 60)
     total = (
-        F.unix_date(date).cast("long") * 86400 + hour * 3600 + minute * 60 + second
+        F.unix_date(p["date"]).cast("long") * 86400
+        + p["hour"] * 3600 + p["minute"] * 60 + p["second"]
     )
     return F.when(fine, total)
 
 
-def _zone_text(sign: Column, hours: Column, minutes: Column) -> Column:
-    plus = (hours * 3600 + minutes * 60) == 0
-    shown = F.when(plus, F.lit("+")).otherwise(sign)
-    number = hours * 100 + minutes
-    return F.when(number >= 1400, F.lit("+0000")).otherwise(
-        F.concat(shown, F.format_string("%02d%02d", hours, minutes))
+def _local(year, month, day, hour, minute, second) -> Column:
+    parts = F.struct(
+        F.format_string("%04d-%02d-%02d", year, month, day).try_cast("date").alias("date"),
+        hour.alias("hour"), minute.alias("minute"), second.alias("second"),
     )
+    return _once(parts, _seconds)
 
 
-def _result(local: Column, sign: Column, hours: Column, minutes: Column) -> Column:
-    shift = F.when(sign == "-", -1).otherwise(1) * (hours * 3600 + minutes * 60)
+def _finish(p: Column) -> Column:
+    """struct(epoch, zone) from struct(local, sign, hours, minutes)."""
+    size = p["hours"] * 3600 + p["minutes"] * 60
+    number = p["hours"] * 100 + p["minutes"]
+    sign = F.when(size == 0, F.lit("+")).otherwise(p["sign"])
+    zone = F.when(number >= 1400, F.lit("+0000")).otherwise(
+        F.concat(sign, F.lpad(number.cast("string"), 4, "0"))
+    )
     return F.when(
-        local >= 0,
+        p["local"] >= 0,
         F.struct(
-            (local - shift).cast("long").alias("epoch"),
-            _zone_text(sign, hours, minutes).alias("zone"),
+            (p["local"] - F.when(p["sign"] == "-", -size).otherwise(size)).cast("long").alias("epoch"),
+            zone.alias("zone"),
         ),
     )
 
@@ -83,49 +93,56 @@ def _groups(text: Column, pattern: str, count: int) -> Column:
     return F.split(F.regexp_replace(text, r"(?s)^.*?(?:" + pattern + r").*$", marks), "\u0001", -1)
 
 
-def _once(value: Column, function) -> Column:
-    """Apply a function to a value computed once, not once per use."""
-    return F.get(F.transform(F.array(value), function), F.lit(0))
+def _zone_hours(p: Column) -> Column:
+    """struct(hours, minutes) of zone digits: H, MM, or any hours then MM."""
+    digits = p
+    size = F.length(digits)
+    hours = F.when(size == 1, digits).when(size == 2, F.lit("0")).otherwise(
+        F.substring(digits, F.lit(1), size - 2)
+    )
+    minutes = F.when(size == 1, F.lit("0")).otherwise(F.right(digits, F.lit(2)))
+    return F.struct(hours.try_cast("long").alias("h"), minutes.try_cast("long").alias("m"))
 
 
 def _rfc822(g: Column) -> Column:
     day, month, years, hour, minute, seconds, sign_text, zone = [F.get(g, F.lit(i)) for i in range(8)]
-    year = _int(years)
-    year = F.when(F.length(years) <= 3, year + 1900).otherwise(year)
-    year = F.when((F.length(years) <= 3) & (year < 1950), year + 100).otherwise(year)
+
+    def full_year(y: Column) -> Column:
+        return F.when(F.length(years) > 3, y).otherwise(y + F.when(y < 50, 2000).otherwise(1900))
+
     second = F.when(seconds == "", F.lit(0)).otherwise(_int(seconds))
-    local = _seconds(year, _month_number(month), _int(day), _int(hour), _int(minute), second)
+    local = _local(_once(_int(years), full_year), _month_number(month), _int(day), _int(hour),
+                   _int(minute), second)
+
+    def with_zone(named: Column) -> Column:
+        sign = F.coalesce(F.substring(named, 1, 1), F.when(sign_text == "-", "-").otherwise("+"))
+        digits = F.coalesce(F.substring(named, 2, 4), zone)
+        return F.struct(sign.alias("sign"), _once(digits, _zone_hours).alias("z"))
+
     named = F.try_element_at(_constant_map(OBSOLETE_ZONES), zone)
-    sign = F.when(named.isNotNull(), F.substring(named, 1, 1)).otherwise(
-        F.when(sign_text == "-", "-").otherwise("+")
+    parts = _once(
+        _once(named, with_zone),
+        lambda p: F.struct(
+            local.alias("local"), p["sign"].alias("sign"),
+            (p["z"]["h"] + F.floor(p["z"]["m"] / 60)).alias("hours"), (p["z"]["m"] % 60).alias("minutes"),
+        ),
     )
-    digits = F.coalesce(F.substring(named, 2, 4), zone)
-    size = F.length(digits)
-    hours = F.when(size == 1, digits).when(size == 2, F.lit("0")).otherwise(
-        F.substring(digits, F.lit(1), size - 2)
-    ).try_cast("long")
-    minutes = F.when(size == 1, F.lit("0")).when(size == 2, digits).otherwise(
-        F.right(digits, F.lit(2))
-    ).try_cast("long")
-    return F.when(F.size(g) == 8, _result(local, sign, hours + F.floor(minutes / 60), minutes % 60))
+    return F.when(F.size(g) == 8, _once(parts, _finish))
 
 
 def _iso(g: Column) -> Column:
     year, month, day, hour, minute, seconds, zone_text = [F.get(g, F.lit(i)) for i in range(7)]
     second = F.when(seconds == "", F.lit(0)).otherwise(_int(seconds))
-    local = _seconds(_int(year), _int(month), _int(day), _int(hour), _int(minute), second)
+    local = _local(_int(year), _int(month), _int(day), _int(hour), _int(minute), second)
     zone = F.when(zone_text.isin("", "Z"), F.lit("+0000")).otherwise(
-        F.regexp_replace(zone_text, ":", "")
-    )
-    return F.when(
-        F.size(g) == 7,
-        _result(
-            local,
-            F.substring(zone, 1, 1),
-            F.substring(zone, 2, 2).try_cast("long"),
-            F.substring(zone, 4, 2).try_cast("long"),
-        ),
+        F.replace(zone_text, F.lit(":"), F.lit(""))
     )
+    parts = _once(zone, lambda z: F.struct(
+        local.alias("local"), F.substring(z, 1, 1).alias("sign"),
+        F.substring(z, 2, 2).try_cast("long").alias("hours"),
+        F.substring(z, 4, 2).try_cast("long").alias("minutes"),
+    ))
+    return F.when(F.size(g) == 7, _once(parts, _finish))
 
 
 def parse_date(text: Column) -> Column:

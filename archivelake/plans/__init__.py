@@ -1,6 +1,6 @@
 """Composed queries over the test tables."""
 
-from archivelake.plans import normalize_queries
+from archivelake.plans import normalize_queries, overview_queries
 from archivelake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "normalize_queries"]
+__all__ = ["ORACLES", "QUERIES", "normalize_queries", "overview_queries"]
