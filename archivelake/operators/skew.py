@@ -71,6 +71,6 @@ def keep_first(
     semi join on the unique row id, so copies of one key are never gathered.
     """
     ids = [row_id] if isinstance(row_id, str) else row_id
-    best = df.groupBy(*keys).agg(F.min(F.struct(*order, *ids)).alias("_best"))
+    best = df.groupBy(*keys).agg(F.min(F.struct(*dict.fromkeys([*order, *ids]))).alias("_best"))
     winners = best.select(*[F.col("_best")[i].alias(i) for i in ids])
     return df.join(winners, ids, "left_semi")

@@ -1,6 +1,22 @@
 """Composed queries over the test tables."""
 
-from archivelake.plans import normalize_queries, overview_queries
+from archivelake.plans import (
+    merged_queries,
+    normalize_queries,
+    overview_queries,
+    patch_queries,
+    search_queries,
+    thread_queries,
+)
 from archivelake.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "normalize_queries", "overview_queries"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "merged_queries",
+    "normalize_queries",
+    "overview_queries",
+    "patch_queries",
+    "search_queries",
+    "thread_queries",
+]
