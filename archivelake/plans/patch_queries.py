@@ -65,7 +65,7 @@ def patch_groups(spark, d):
     mail = views.patch_mail(spark, d).select("docid", "body")
     again = mail.where("docid % 3 = 0").select(
         F.col("docid") + 1_000_000,
-        F.regexp_replace(F.regexp_replace("body", "@@ -1,2", "@@ -7,2"), " ", "  ").alias("body"),
+        F.regexp_replace(F.regexp_replace("body", "@@ -1,2", "@@ -7,2"), "\n\\+", "\n+  ").alias("body"),
     )
     return patches.by_patch_key(mail.union(again)).select("n", "first_docid")
 
