@@ -6,6 +6,7 @@ from archivelake.plans import (
     overview_queries,
     patch_queries,
     search_queries,
+    stream_queries,
     thread_queries,
 )
 from archivelake.plans.registry import ORACLES, QUERIES
@@ -18,5 +19,6 @@ __all__ = [
     "overview_queries",
     "patch_queries",
     "search_queries",
+    "stream_queries",
     "thread_queries",
 ]

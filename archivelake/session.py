@@ -71,3 +71,11 @@ def ship_package(spark: SparkSession) -> None:
     )
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for tables of one run."""
+    import uuid
+
+    _checkpoint_dir_ready(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
