@@ -127,32 +127,29 @@ def settle_arrivals(arriving: DataFrame, stored: DataFrame, max_rounds: int = 20
     decided ones count as stored in the next round. Ids met once in a batch, the
     normal case, are all decided in the first round.
     """
-    from archivelake.session import durable
+    from archivelake.session import durable, durable_count
 
     stored = stored.select("inbox", "mid", "content_hash")
-    open_rows = durable(arriving)
-    decided = None
+    open_rows, decided = durable(arriving), None
     for _ in range(max_rounds):
-        # Copies of the first message with an id and content are duplicates of it
-        # whatever else happens, so only the first of each counts as a rival.
-        lead = open_rows.withColumn("_mid", F.get("mids", F.lit(0)))
-        verdicts = arrival_verdicts(open_rows, stored)
+        lead = open_rows.select("inbox", "seq", F.get("mids", F.lit(0)).alias("_mid"))
         first = lead.groupBy("inbox", "_mid").agg(F.min("seq").alias("seq"))
-        ready = verdicts.join(first.select("inbox", "seq"), ["inbox", "seq"], "left_semi")
-        ready = durable(
-            ready.unionByName(
-                verdicts.where("verdict = 'duplicate'").join(
-                    first.select("inbox", "seq"), ["inbox", "seq"], "left_anti"
-                )
-            )
+        verdicts = arrival_verdicts(open_rows, stored).join(
+            first.select("inbox", "seq", F.lit(True).alias("_first")), ["inbox", "seq"], "left"
         )
-        decided = ready if decided is None else decided.unionByName(ready)
-        kept = ready.where("store_mid is not null")
-        stored = stored.unionByName(kept.select("inbox", F.col("store_mid").alias("mid"), "content_hash"))
-        stored = durable(stored)
-        open_rows = durable(open_rows.join(ready.select("inbox", "seq"), ["inbox", "seq"], "left_anti"))
-        if open_rows.isEmpty():
+        # A duplicate stays one whatever comes before it, so it need not wait.
+        ready = F.coalesce("_first", F.lit(False)) | (F.col("verdict") == "duplicate")
+        marked, waiting = durable_count(verdicts.withColumn("_ready", ready), ~ready)
+        done = marked.where("_ready").drop("_first", "_ready")
+        decided = done if decided is None else decided.unionByName(done)
+        if not waiting:
             return decided
+        kept = done.where("store_mid is not null")
+        stored = stored.unionByName(
+            kept.select("inbox", F.explode(F.array_distinct(F.concat(F.array("store_mid"), "mids"))).alias("mid"),
+                        "content_hash")
+        )
+        open_rows = marked.where("not _ready").select(*arriving.columns)
     raise RuntimeError(f"{max_rounds} rounds did not settle all reused ids")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from archivelake.operators.ordered import neighbours
 from archivelake.operators.skew import keep_first, salted_lookup
-from archivelake.session import durable
+from archivelake.session import durable, durable_count
 
 HOUR = 3_600
 _REAL = 1 << 20  # sorts a message after the ghosts first named at its time
@@ -71,23 +71,23 @@ def _rank(holders: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _backward(links: DataFrame, rank: DataFrame) -> DataFrame:
-    """Links whose parent is not before the child and that could lie on a cycle."""
+    """Links whose parent is not before the child in time."""
     edges = links.select("tid", "parent", "child").distinct()
     up = rank.select(F.col("node").alias("parent"), F.col("rank").alias("p_rank"))
     down = rank.select(F.col("node").alias("child"), F.col("rank").alias("c_rank"))
-    ranked = salted_lookup(edges, up, ["parent"], spread_on="child")
-    ranked = salted_lookup(ranked, down, ["child"], spread_on="parent")
-    back = ranked.where("p_rank >= c_rank")
-    # A link out of a root or into a leaf is on no cycle.
-    for _ in range(2):
-        has_children = edges.select(F.col("parent").alias("child")).distinct()
-        has_parents = edges.select(F.col("child").alias("parent")).distinct()
-        back = back.join(has_children, "child", "left_semi").join(
-            has_parents, "parent", "left_semi"
-        )
-        leaf = edges.join(has_children, "child", "left_semi")
-        edges = leaf.join(has_parents, "parent", "left_semi")
-    return back
+    ranked = salted_lookup(edges, up, ["parent"], spread_on="child").join(down, "child")
+    return ranked.where("p_rank >= c_rank")
+
+
+def _inner(back: DataFrame, links: DataFrame) -> DataFrame:
+    """Backward links that could lie on a cycle: not into a leaf or out of a root."""
+    ends = back.select(F.col("parent").alias("node")).union(back.select(F.col("child"))).distinct()
+    near = links.select("parent", "child").distinct()
+    has_children = near.select(F.col("parent").alias("node")).join(ends, "node", "left_semi").distinct()
+    has_parents = near.select(F.col("child").alias("node")).join(ends, "node", "left_semi").distinct()
+    return back.join(has_children.withColumnRenamed("node", "child"), "child", "left_semi").join(
+        has_parents.withColumnRenamed("node", "parent"), "parent", "left_semi"
+    )
 
 
 def _spans(back: DataFrame) -> DataFrame:
@@ -132,9 +132,11 @@ def parents(messages: DataFrame) -> DataFrame:
     links = candidate_links(holders)
     simple = _simple_parents(links)
     rank = _rank(holders, links)
-    back = durable(_backward(links, rank))
+    back, found = durable_count(_backward(links, rank), F.lit(True))
     resolved = simple
-    if not back.isEmpty():
+    if found:
+        back, found = durable_count(_inner(back, links), F.lit(True))
+    if found:
         spans = _spans(back)
         nodes = links.select("tid", "child").distinct().join(
             rank.withColumnRenamed("node", "child"), "child"
@@ -185,22 +187,24 @@ def _sort_times(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     ghost = nodes.where("is_ghost").select("node", "parent")
     below = real.groupBy(F.col("parent").alias("node")).agg(F.min("ds").alias("key"))
     up = ghost.select(F.col("node").alias("jump"))
-    state = durable(
+    state, left = durable_count(
         ghost.join(below, "node", "left").withColumnRenamed("parent", "jump").join(
             up.withColumn("_g", F.lit(True)), "jump", "left"
-        ).select("node", "key", F.when(F.col("_g"), F.col("jump")).alias("jump"))
+        ).select("node", "key", F.when(F.col("_g"), F.col("jump")).alias("jump")),
+        F.col("jump").isNotNull(),
     )
     for _ in range(max_rounds):
-        if state.where("jump is not null").isEmpty():
+        if not left:
             break
         lifted = state.where("jump is not null").groupBy(F.col("jump").alias("node")).agg(
             F.min("key").alias("low")
         )
         further = state.select(F.col("node").alias("jump"), F.col("jump").alias("next"))
-        state = durable(
+        state, left = durable_count(
             state.join(lifted, "node", "left").join(further, "jump", "left").select(
                 "node", F.least("key", "low").alias("key"), F.col("next").alias("jump")
-            )
+            ),
+            F.col("jump").isNotNull(),
         )
     keyed = nodes.join(state.select("node", F.col("key").alias("_k")), "node", "left")
     return keyed.withColumn("key", F.coalesce("ds", "_k")).drop("_k")
@@ -254,22 +258,21 @@ def preorder(nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
         F.coalesce(F.concat(F.lit("+"), "next"), F.concat(F.lit("-"), "parent")).alias("to"),
         F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("d"),
     )
-    state = durable(enter.unionByName(leave).withColumn("last", F.col("arc")))
+    going = F.col("to").isNotNull()
+    state, left = durable_count(enter.unionByName(leave).withColumn("last", F.col("arc")), going)
     for _ in range(max_rounds):
-        if state.where(F.col("to").isNotNull()).isEmpty():
+        if not left:
             break
-        moving = state.where(F.col("to").isNotNull())
-        done = state.where(F.col("to").isNull())
         target = state.select(
             F.col("arc").alias("to"), F.col("to").alias("to2"),
             F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("last").alias("last2"),
         )
         # A step is the target of at most one moving step: keys are unique.
-        jumped = moving.join(target, "to").select(
+        jumped = state.where(going).join(target, "to").select(
             "arc", F.col("to2").alias("to"), (F.col("n") + F.col("n2")).alias("n"),
             (F.col("d") + F.col("d2")).alias("d"), F.col("last2").alias("last"),
         )
-        state = durable(jumped.unionByName(done))
+        state, left = durable_count(jumped.unionByName(state.where(~going)), going)
     else:
         raise RuntimeError("a thread walk did not end; parents hold a loop")
     into = state.where(F.col("arc").startswith("+")).select(

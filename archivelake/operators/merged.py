@@ -100,6 +100,25 @@ def number_documents(new: DataFrame, max_docid: int, order: str = "seq", ties: l
     ).drop("rn")
 
 
+def place_adds(adds: DataFrame, documents: DataFrame, max_docid: int) -> tuple[DataFrame, DataFrame]:
+    """(adds with their docid, new documents) for added copies.
+
+    A copy joins the document with equal id and content; else it opens one,
+    numbered above `max_docid` by first arrival.
+    """
+    known = documents.groupBy("mid", "content_hash").agg(F.min("docid").alias("docid"))
+    matched = salted_lookup(adds, known, ["mid", "content_hash"], spread_on="seq", how="left")
+    unseen = matched.where("docid is null").groupBy("mid", "content_hash").agg(
+        F.min("seq").alias("seq")
+    )
+    fresh = number_documents(unseen, max_docid, "seq", ["mid", "content_hash"])
+    placed = salted_lookup(
+        matched.withColumnRenamed("docid", "_old"),
+        fresh.select("mid", "content_hash", "docid"), ["mid", "content_hash"], "seq", "left",
+    )
+    return placed.withColumn("docid", F.coalesce("_old", "docid")).drop("_old"), fresh
+
+
 def apply_changes(
     xref: DataFrame, documents: DataFrame, changes: DataFrame, max_docid: int
 ) -> dict[str, DataFrame]:
@@ -112,19 +131,10 @@ def apply_changes(
     """
     deletes = changes.where("op = 'd'").select("inbox", "oid").distinct()
     kept = xref.join(deletes, ["inbox", "oid"], "left_anti")
-    adds = changes.where("op = 'm'")
-    known = documents.groupBy("mid", "content_hash").agg(F.min("docid").alias("docid"))
-    matched = salted_lookup(adds, known, ["mid", "content_hash"], spread_on="seq", how="left")
-    unseen = matched.where("docid is null").groupBy("mid", "content_hash").agg(
-        F.min("seq").alias("seq")
-    )
-    fresh = number_documents(unseen, max_docid, "seq", ["mid", "content_hash"])
-    placed = salted_lookup(
-        matched.withColumnRenamed("docid", "_old"),
-        fresh.select("mid", "content_hash", "docid"), ["mid", "content_hash"], "seq", "left",
-    ).withColumn("docid", F.coalesce("_old", "docid"))
-    new_rows = placed.select("docid", "inbox", "xnum", "oid")
-    new_xref = kept.select("docid", "inbox", "xnum", "oid").union(new_rows).distinct()
+    new_rows, fresh = place_adds(changes.where("op = 'm'"), documents, max_docid)
+    new_xref = kept.select("docid", "inbox", "xnum", "oid").union(
+        new_rows.select("docid", "inbox", "xnum", "oid")
+    ).distinct()
     new_docs = documents.select("docid", "mid", "content_hash").union(
         fresh.select("docid", "mid", "content_hash")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from archivelake.functions import diffs, ids
 from archivelake.operators.skew import salted_lookup
-from archivelake.session import durable
+from archivelake.session import durable, durable_count
 
 ZERO = "^0+$"
 SHORTEST = 7
@@ -54,15 +54,15 @@ def lineage(edges: DataFrame, wanted: DataFrame, known: DataFrame | None = None,
     ))
     jumps = durable(hop.select("blob", "jump").where("jump is not null"))
     start = wanted.select(F.col("oid").alias("want"), F.substring("oid", 1, SHORTEST).alias("blob")).distinct()
-    chain = durable(start.withColumn("step", F.lit(0)))
+    chain, size = durable_count(start.withColumn("step", F.lit(0)), F.lit(True))
     for k in range(max_rounds):
         further = salted_lookup(chain, jumps, ["blob"], spread_on="want").select(
             "want", F.col("jump").alias("blob"), (F.col("step") + (1 << k)).alias("step")
         )
         grown = chain.unionByName(further).groupBy("want", "blob").agg(F.min("step").alias("step"))
-        before = chain.count()
-        chain = durable(grown)
-        if chain.count() == before:
+        before = size
+        chain, size = durable_count(grown, F.lit(True))
+        if size == before:
             break
         second = jumps.select(F.col("blob").alias("jump"), F.col("jump").alias("next"))
         jumps = durable(jumps.join(second, "jump").select("blob", F.col("next").alias("jump")))

@@ -31,9 +31,15 @@ def _with_min(edges: DataFrame) -> DataFrame:
 
 def _settled(edges: DataFrame) -> bool:
     """True when every node points at one root and no root points on."""
-    many = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-    onward = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-    return many.select("a").union(onward.select("a")).isEmpty()
+    ends = F.array(
+        F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")),
+        F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("into")),
+    )
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(
+        F.sum("e.out").alias("out"), F.max("e.into").alias("into")
+    )
+    open_nodes = nodes.where("out > 1 or (out > 0 and into > 0)")
+    return open_nodes.agg(F.count("*").alias("n")).first().n == 0
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -349,3 +349,37 @@ def maildir_scan(spark, d):
     return files.maildir_entries(e.select("event_id", path.alias("path"))).select(
         "event_id", "place", "flags", F.array_join("kw", ",").alias("kw")
     )
+
+
+@query("mailbox_records", """
+    SELECT seq, 'From m@mboxrd Thu Jan  1 00:00:00 1970' || chr(10) || regexp_replace(regexp_replace(split_part(raw, chr(10) || chr(10), 1),
+      '\\nStatus: [A-Z]+', ''), '\\nX-Status: [A-Z]+', '') || chr(10) || 'Status: RO' || chr(10) || 'X-Status: F' || chr(10) || chr(10)
+      || regexp_replace(substr(raw, instr(raw, chr(10) || chr(10)) + 2), '(?m)^(>*From )', '>\\1', 'g') AS record FROM raw_mail""", "raw_mail")
+def mailbox_records(spark, d):
+    from archivelake.sources import sinks
+
+    kw = F.array(F.lit("seen"), F.lit("flagged"))
+    return views.raw_mail(spark, d).select(
+        "seq", sinks.mailbox_text(F.col("raw"), kw, "mboxrd", F.lit("m")).alias("record")
+    )
+
+
+@query("maildir_names", """
+    SELECT docid, sha1(docid::VARCHAR) || '=' || (docid % 99) || ':2,' || CASE WHEN list_contains(kw, 'flagged') THEN 'F' ELSE '' END AS name
+    FROM annotations""", "annotations")
+def maildir_names(spark, d):
+    from archivelake.sources import sinks
+
+    a = views.annotations(spark, d)
+    name = sinks.maildir_name(F.sha1(F.col("docid").cast("string")), F.col("kw"), F.col("docid") % 99)
+    return a.select("docid", name.alias("name"))
+
+
+@query("from_line_escapes", """
+    SELECT doc_id, 'x' || chr(10) || '>From ' || text || chr(10) || '>>From x' AS escaped, 'x' || chr(10) || 'From ' || text || chr(10)
+      || '>From x' AS restored FROM documents""")
+def from_line_escapes(spark, d):
+    body = F.concat(F.lit("x\nFrom "), "text", F.lit("\n>From x"))
+    escaped = text.escape_from(body, "mboxrd")
+    docs = views.table(spark, d, "documents")
+    return docs.select("doc_id", escaped.alias("escaped"), text.unescape_from(escaped, "mboxrd").alias("restored"))

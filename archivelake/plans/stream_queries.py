@@ -86,7 +86,7 @@ def stream_merge_log(spark, d):
     )
     base = work_folder(spark, "merge")
     ingest.merge_log(changes, base, available_now=True).awaitTermination()
-    return read_table(spark, f"{base}/xref", ingest.XREF).select("docid", "inbox", "xnum")
+    return ingest.merged_xref(spark, base).select("docid", "inbox", "xnum")
 
 
 @query("stream_moderation", """

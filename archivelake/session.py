@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every job relies on. UTC keeps epoch arithmetic and date text equal
 #: everywhere; the adaptive settings let Spark merge small shuffle partitions
@@ -53,6 +54,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """`durable`, and how many rows meet a condition, in the same job."""
+    seen = Observation()
+    kept = durable(df.observe(seen, F.count(F.when(condition, 1)).alias("n")))
+    return kept, seen.get["n"]
+
+
 _shipped: set[str] = set()
 
 

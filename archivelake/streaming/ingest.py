@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,6 +20,7 @@ MESSAGES = (
     "verdict string, raw binary"
 )
 REMOVALS = "inbox string, mid string, content_hash string, seq bigint"
+DELETES = "inbox string, oid string"
 XREF = "docid bigint, inbox string, xnum bigint, oid string, mid string, content_hash string"
 
 
@@ -129,22 +130,39 @@ def merge_log(stream: DataFrame, base: str, available_now: bool = False) -> Stre
     """Incremental merged index: apply a stream of (op, inbox, xnum, oid, mid,
     content_hash, seq) changes.
 
-    Every micro-batch writes the next snapshot of the index from the one before,
-    in a folder named by the batch, so a repeated batch gives the same snapshot.
+    A micro-batch appends the copies it adds and the (inbox, blob) pairs it
+    deletes. Of the stored copies only those with an id and content of the batch
+    are looked at. Within a batch deletes come first; `merged_xref` reads the
+    index.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = read_table(spark, f"{base}/xref", XREF).where(F.col("batch") == batch_id - 1)
-        docs = old.select("docid", "mid", "content_hash").distinct()
-        top = old.agg(F.coalesce(F.max("docid"), F.lit(0)).alias("m")).first().m
-        out = merged.apply_changes(old.select("docid", "inbox", "xnum", "oid"), docs, durable(batch), top)
-        named = salted_lookup(
-            out["xref"], out["documents"].groupBy("docid").agg(
-                F.min("mid").alias("mid"), F.min("content_hash").alias("content_hash")),
-            ["docid"], spread_on=["inbox", "xnum"],
-        )
-        write_batch(named.select("docid", "inbox", "xnum", "oid", "mid", "content_hash"), f"{base}/xref", batch_id)
+        changes = durable(batch)
+        adds = changes.where("op = 'm'")
+        stored = read_table(spark, f"{base}/xref", XREF, before=batch_id)
+        top = stored.agg(F.coalesce(F.max("docid"), F.lit(0)).alias("m")).first().m
+        touched = adds.select("mid", "content_hash").distinct()
+        near = stored.join(touched, ["mid", "content_hash"], "left_semi")
+        deletes = changes.where("op = 'd'").select("inbox", "oid").distinct()
+        write_batch(deletes, f"{base}/xref_deletes", batch_id)
+        live = _live(near, read_table(spark, f"{base}/xref_deletes", DELETES, before=batch_id + 1))
+        placed, _ = merged.place_adds(adds, live.select("docid", "mid", "content_hash").distinct(), top)
+        write_batch(placed.select("docid", "inbox", "xnum", "oid", "mid", "content_hash"), f"{base}/xref", batch_id)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/_checkpoints/merge")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _live(xref: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Copies that no later batch has deleted."""
+    last = deletes.groupBy("inbox", "oid").agg(F.max("batch").alias("_gone"))
+    marked = salted_lookup(xref, last, ["inbox", "oid"], spread_on="xnum", how="left")
+    return marked.where("_gone is null or _gone <= batch").drop("_gone")
+
+
+def merged_xref(spark: SparkSession, base: str) -> DataFrame:
+    """The merged index a `merge_log` stream has built so far."""
+    return _live(
+        read_table(spark, f"{base}/xref", XREF), read_table(spark, f"{base}/xref_deletes", DELETES)
+    ).drop("batch")
