@@ -13,6 +13,8 @@ the spans are walked link by link, each as a group of its own.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,23 +105,31 @@ def _spans(back: DataFrame) -> DataFrame:
     )
 
 
-def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Try the links of one span in order, refusing any that closes a loop."""
-    parent: dict[str, str] = {}
-    ordered = pdf.sort_values(["ds", "docid", "pos"])
-    for up, child, own in zip(ordered.parent, ordered.child, ordered.own):
-        if not own and child in parent:
-            continue
-        node, seen = up, set()
-        while node is not None and node != child and node not in seen:
-            seen.add(node)
-            node = parent.get(node)
-        if node is None:
-            parent[child] = up
-    children = list(dict.fromkeys(ordered.child))
-    return pd.DataFrame(
-        {"child": children, "parent": [parent.get(c) for c in children]}
-    )
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Try the links of each span in order, refusing any that closes a loop.
+
+    Rows come sorted by span and order, so only one span is held at a time.
+    """
+    at, parent, children = None, {}, {}
+    for batch in batches:
+        out: list[tuple[str, str | None]] = []
+        for tid, span, up, child, own in zip(
+            batch.tid, batch.span, batch.parent, batch.child, batch.own
+        ):
+            if (tid, span) != at:
+                out += [(c, parent.get(c)) for c in children]
+                at, parent, children = (tid, span), {}, {}
+            children[child] = None
+            if not own and child in parent:
+                continue
+            node, seen = up, set()
+            while node is not None and node != child and node not in seen:
+                seen.add(node)
+                node = parent.get(node)
+            if node is None:
+                parent[child] = up
+        yield pd.DataFrame(out, columns=["child", "parent"])
+    yield pd.DataFrame([(c, parent.get(c)) for c in children], columns=["child", "parent"])
 
 
 def parents(messages: DataFrame) -> DataFrame:
@@ -129,7 +139,8 @@ def parents(messages: DataFrame) -> DataFrame:
     the node name `<id>` NUL `<docid>` and hangs below the first holder.
     """
     holders, reused = _holders(messages)
-    links = candidate_links(holders)
+    holders = durable(holders)
+    links = durable(candidate_links(holders))
     simple = _simple_parents(links)
     rank = _rank(holders, links)
     back, found = durable_count(_backward(links, rank), F.lit(True))
@@ -147,8 +158,11 @@ def parents(messages: DataFrame) -> DataFrame:
             .select("child", "span")
         )
         tangled = salted_lookup(links, inside, ["child"], spread_on="docid")
-        walked = tangled.groupBy("tid", "span").applyInPandas(
-            _walk, "child string, parent string"
+        walked = durable(
+            tangled.select("tid", "span", "parent", "child", "own", "ds", "docid", "pos")
+            .repartition("tid", "span")
+            .sortWithinPartitions("tid", "span", "ds", "docid", "pos")
+            .mapInPandas(_walk, "child string, parent string")
         )
         resolved = (
             simple.join(walked.select("child"), "child", "left_anti")

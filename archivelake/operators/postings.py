@@ -59,15 +59,21 @@ def text_fields(msgs: DataFrame) -> DataFrame:
     if "body" in msgs.columns:
         base = F.col("part_pos") * PART_GAP if "part_pos" in msgs.columns else F.lit(0)
         blocks = msgs.select(
-            "docid", base.alias("base"), F.explode(text.quote_blocks(F.col("body"))).alias("b")
+            "docid", "body", base.alias("base"), F.explode(text.quote_blocks(F.col("body"))).alias("b")
         )
-        quoted = blocks.where("b.quoted")
-        plain = blocks.where("not b.quoted")
-        is_diff = diffs.looks_like_diff(F.col("b.text"))
-        at = F.col("base") + F.col("b.pos")
-        rows.append(_field(quoted, "quoted", F.col("b.text"), 0, at))
-        rows.append(_field(plain.where(~is_diff), "nonquoted", F.col("b.text"), 1, at))
-        lines = plain.where(is_diff).select(
+        is_diff = ~F.col("b.quoted") & diffs.looks_like_diff(F.col("b.text"))
+        at = (F.col("base") + F.col("b.pos")).cast("bigint")
+        rows.append(
+            blocks.where(~is_diff).select(
+                "docid",
+                F.when(F.col("b.quoted"), "quoted").otherwise("nonquoted").alias("field"),
+                F.col("b.text").alias("value"),
+                F.when(F.col("b.quoted"), 0).otherwise(1).alias("weight"),
+                at.alias("at"),
+            )
+        )
+        # Diffs are classified line by line; other messages skip this branch.
+        lines = blocks.where(diffs.looks_like_diff(F.col("body")) & is_diff).select(
             "docid", at.alias("at0"), F.explode(diffs.diff_lines(F.col("b.text"))).alias("l")
         )
         kinds = F.create_map(*[F.lit(x) for kv in DIFF_FIELDS.items() for x in kv])

@@ -43,7 +43,7 @@ def _settled(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) of every node with an edge; root is the least node id.
+    """(node, root) of every node but the roots; a root is its part's least id.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014).
     Both are a group minimum attached to the rows, salted so that a node with
@@ -55,7 +55,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        large = _with_min(both).where("v > u and v <> m").select("v", "m").distinct()
+        # No more rows than edges; duplicates fall together in the next step.
+        large = _with_min(both).where("v > u and v <> m").select("v", "m")
         small = _with_min(large.select(F.col("v").alias("u"), F.col("m").alias("v")))
         links = F.array(
             F.struct(F.col("v").alias("a"), F.col("m").alias("b")),
@@ -68,8 +69,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"threads did not settle in {max_rounds} rounds")
-    roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return current.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def assign_threads(messages: DataFrame) -> DataFrame:
@@ -79,14 +79,13 @@ def assign_threads(messages: DataFrame) -> DataFrame:
     order.
     """
     labels = components(reference_edges(messages))
-    own = messages.select("docid", F.explode_outer("mids").alias("node"))
-    rooted = own.join(labels, "node", "left").select(
+    # All ids of a message are in one component, so any of them will do.
+    node = F.coalesce(F.get("mids", F.lit(0)), F.get("refs", F.lit(0)))
+    rooted = messages.select("docid", node.alias("node")).join(labels, "node", "left").select(
         "docid", F.coalesce("root", "node", F.concat(F.lit("\u0000"), F.col("docid"))).alias("root")
     )
-    # One component holds all mids of a message, so any of them will do.
-    per_doc = rooted.groupBy("docid").agg(F.min("root").alias("root"))
     with_tid = with_group_totals(
-        per_doc, ["root"], {"tid": (F.col("docid"), "min")}, spread_on="docid"
+        rooted, ["root"], {"tid": (F.col("docid"), "min")}, spread_on="docid"
     )
     return messages.join(with_tid.select("docid", "tid"), "docid")
 
@@ -123,12 +122,12 @@ def merge_threads(threaded: DataFrame, arrivals: DataFrame) -> DataFrame:
     labels = components(reference_edges(arrivals).union(summary).distinct())
     old = (
         reached.select("tid").distinct().withColumn("node", tag)
-        .join(labels, "node").select("root", "tid")
+        .join(labels, "node", "left").select(F.coalesce("root", "node").alias("root"), "tid")
     )
+    node = F.coalesce(F.get("mids", F.lit(0)), F.get("refs", F.lit(0)))
     new = (
-        arrivals.select("docid", F.explode("mids").alias("node"))
-        .join(labels, "node", "left")
-        .select("docid", F.coalesce("root", "node").alias("root"))
+        arrivals.select("docid", node.alias("node")).join(labels, "node", "left")
+        .select("docid", F.coalesce("root", "node", F.concat(F.lit("\u0000"), F.col("docid"))).alias("root"))
     )
     best = (
         old.select("root", "tid").union(new.select("root", F.col("docid").alias("tid")))
@@ -142,7 +141,7 @@ def merge_threads(threaded: DataFrame, arrivals: DataFrame) -> DataFrame:
         spread_on="docid",
     ).select("docid", "tid")
     arrived = salted_lookup(
-        new.dropDuplicates(["docid"]), best, ["root"], spread_on="docid"
+        new, best, ["root"], spread_on="docid"
     ).select("docid", F.col("new_tid").alias("tid"))
     return changed.union(arrived)
 

@@ -12,8 +12,22 @@ from pyspark.sql import functions as F
 BASE_DS = 1_700_000_000
 
 
+_TEXT_KEYS = {
+    "documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"],
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. A text table of few files is spread over the cores first.
+
+    A small file is one row group and so one task, which is too few for work on
+    its text. A table with at least as many files as cores is not shuffled.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name not in _TEXT_KEYS or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *_TEXT_KEYS[name])
 
 
 def _parent(conv: Column, turn: Column) -> Column:
