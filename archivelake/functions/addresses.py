@@ -7,23 +7,18 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters accepted in a mail address.
-LOCAL_PART = r"[\w.+=?\"()\-!#$%&'*/^`|{}~]+"
-DOMAIN = r"[\w.\-()]+"
-EMAIL_PATTERN = (
-    "(" + LOCAL_PART + "@" + DOMAIN + r")(?:\s[^>]*)?>?\s*(?:\(.*?\))?(?:,\s*|$)"
-)
-# One list entry: optional phrase, address, optional trailing comment.
+# One list entry: optional phrase, address, optional trailing comment. Only single
+# character classes repeat, so long junk headers cost no stack.
 ENTRY_PATTERN = (
-    r"(?s)((?:\"[^\"]*\"|[^<>@,\"])*?)\s*<?\s*("
-    + r"[\w.+=?!#$%&'*/^`|{}~-]+@[\w.-]+"
-    + r")\s*>?\s*(\([^)]*\))?\s*(?:,|$)"
+    r"((?:\"[^\"]*\")?[^<>@,\"]*?)\s*<?\s*"
+    r"([\w.+=?!#$%&'*/^`|{}~-]+@[\w.-]+)"
+    r"\s*>?\s*(\([^)]*\))?\s*(?:,|$)"
 )
 
 
 def emails(header: Column) -> Column:
     """Addresses of one header value, in order."""
-    return F.regexp_extract_all(header, F.lit(EMAIL_PATTERN), F.lit(1))
+    return F.regexp_extract_all(header, F.lit(ENTRY_PATTERN), F.lit(2))
 
 
 def _phrase(entry: Column) -> Column:

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 NAME = r"(?:\"?[^/\n]+/[^\n]+|/dev/null)"
 OID = r"[a-f0-9]{7,}"
 DIFF_HEADER = (
-    r"(?m)(?:^diff --git " + NAME + " " + NAME + r"\n(?:^[a-z][^\n]+\n)*?)?"
+    r"(?md)(?:^diff --git " + NAME + " " + NAME + r"\n(?:^[a-z][^\n]+\n)*?)?"
     r"^index (" + OID + r")\.\.(" + OID + r")[^\n]*\n"
     r"^--- (" + NAME + r")\n^\+{3} (" + NAME + r")\n"
 )
-DIFFSTAT_LINE = r"(?m)^ (\S[^\n]*?) +\| +([0-9]+)(?: [+-]+)?$"
+DIFFSTAT_LINE = r"(?md)^ (\S[^\n]*?) +\| +([0-9]+)(?: [+-]+)?$"
 DIFFSTAT_NOTE = r"(?: *\((?:new|gone|(?:new|mode) [+-][lx])\))? *$"
 BASE85 = r"[a-zA-Z0-9!#$%&()*+;<=>?@^_`{|}~-]+"
 IGNORED_LINES = re.compile(
@@ -156,7 +156,7 @@ def diff_lines(text: Column) -> Column:
 
 
 def looks_like_diff(text: Column) -> Column:
-    return text.rlike(r"(?m)^(?:diff|---|\+\+\+) ")
+    return text.rlike(r"(?md)^(?:diff|---|\+\+\+) ")
 
 
 def diff_headers(text: Column) -> Column:
@@ -211,7 +211,7 @@ def patch_key(text: Column) -> Column:
     hashed again, so the order of files does not matter either.
     """
     files = F.filter(
-        F.split(text, r"(?m)^(?=diff --git )"), lambda s: s.startswith("diff --git ")
+        F.split(text, r"(?md)^(?=diff --git )"), lambda s: s.startswith("diff --git ")
     )
 
     def one(segment: Column) -> Column:

@@ -80,16 +80,16 @@ def words(text: Column) -> Column:
 def unescape_from(body: Column, variant: str) -> Column:
     """Undo the `From ` escaping of a mailbox variant."""
     if variant == "mboxrd":
-        return F.regexp_replace(body, r"(?m)^>(>*From )", "$1")
+        return F.regexp_replace(body, r"(?md)^>(>*From )", "$1")
     if variant in ("mboxo", "mboxcl"):
-        return F.regexp_replace(body, r"(?m)^>(From )", "$1")
+        return F.regexp_replace(body, r"(?md)^>(From )", "$1")
     return body
 
 
 def escape_from(body: Column, variant: str) -> Column:
     """Escape `From ` lines for a mailbox variant."""
     if variant == "mboxrd":
-        return F.regexp_replace(body, r"(?m)^(>*From )", ">$1")
+        return F.regexp_replace(body, r"(?md)^(>*From )", ">$1")
     if variant in ("mboxo", "mboxcl"):
-        return F.regexp_replace(body, r"(?m)^From ", ">From ")
+        return F.regexp_replace(body, r"(?md)^From ", ">From ")
     return body

@@ -101,7 +101,7 @@ def part_fields(parts: DataFrame) -> DataFrame:
     head = F.split_part(F.decode("body", "UTF-8"), F.lit("\n\n"), F.lit(1))
     inner = [
         _field(attached, field,
-               F.regexp_extract(head, "(?im)^" + name + r":[ \t]*([^\r\n]*)", 1), at=at + 1)
+               F.regexp_extract(head, "(?imd)^" + name + r":[ \t]*([^\r\n]*)", 1), at=at + 1)
         for field, name in (("subject", "subject"), ("from", "from"), ("to", "to"),
                             ("cc", "cc"), ("mid_text", "message-id"))
     ]

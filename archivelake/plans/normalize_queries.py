@@ -376,8 +376,8 @@ def maildir_names(spark, d):
 
 
 @query("from_line_escapes", """
-    SELECT doc_id, 'x' || chr(10) || '>From ' || text || chr(10) || '>>From x' AS escaped, 'x' || chr(10) || 'From ' || text || chr(10)
-      || '>From x' AS restored FROM documents""")
+    SELECT doc_id, regexp_replace('x' || chr(10) || 'From ' || text || chr(10) || '>From x', '(?m)^(>*From )', '>\\1', 'g') AS escaped,
+      'x' || chr(10) || 'From ' || text || chr(10) || '>From x' AS restored FROM documents""")
 def from_line_escapes(spark, d):
     body = F.concat(F.lit("x\nFrom "), "text", F.lit("\n>From x"))
     escaped = text.escape_from(body, "mboxrd")

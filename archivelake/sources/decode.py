@@ -145,8 +145,11 @@ def decode(messages: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def explode_parts(decoded: DataFrame) -> DataFrame:
-    """One row per MIME part, with its position in the walk."""
-    rest = [c for c in decoded.columns if c != "parts"]
+    """One row per MIME part, with its position in the walk.
+
+    The part's own `body` takes the place of the whole message's.
+    """
+    rest = [c for c in decoded.columns if c not in ("parts", "body")]
     return decoded.select(*rest, F.posexplode("parts").alias("part_pos", "part")).select(
         *rest, "part_pos", "part.*"
     )

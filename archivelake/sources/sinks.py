@@ -17,7 +17,7 @@ from archivelake.operators.overview import json_records
 # headers a mailbox writer replaces.
 STATUS_LETTERS = {"seen": "R"}
 X_STATUS_LETTERS = {"answered": "A", "draft": "T", "flagged": "F"}
-REPLACED_HEADERS = r"(?im)^(?:Lines|Bytes|Content-Length|Status|X-Status):[^\n]*\n(?:[ \t][^\n]*\n)*"
+REPLACED_HEADERS = r"(?imd)^(?:Lines|Bytes|Content-Length|Status|X-Status):[^\n]*\n(?:[ \t][^\n]*\n)*"
 
 
 def _letters(kw: Column, table: dict[str, str]) -> Column:
