@@ -120,37 +120,57 @@ def arrival_verdicts(arriving: DataFrame, stored: DataFrame) -> DataFrame:
     ).drop("first_free", "known_content", "other")
 
 
-def settle_arrivals(arriving: DataFrame, stored: DataFrame, max_rounds: int = 20) -> DataFrame:
+def settle_arrivals(arriving: DataFrame, stored: DataFrame) -> DataFrame:
     """`arrival_verdicts` when messages of the same batch also compete.
 
-    Each round decides, per contested id, the earliest message still open; the
-    decided ones count as stored in the next round. Ids met once in a batch, the
-    normal case, are all decided in the first round.
+    A message is decided once it is the earliest open one for all of its ids, or
+    is a duplicate anyway. Messages with one id that is taken do not wait for
+    each other: the first with its content gets a made-up id, the others are
+    duplicates of it. So ids met once are settled in the first round and one id
+    used by very many messages in the second; only messages with several ids
+    may need more.
     """
     from archivelake.session import durable, durable_count
 
     stored = stored.select("inbox", "mid", "content_hash")
     open_rows, decided = durable(arriving), None
-    for _ in range(max_rounds):
-        lead = open_rows.select("inbox", "seq", F.get("mids", F.lit(0)).alias("_mid"))
-        first = lead.groupBy("inbox", "_mid").agg(F.min("seq").alias("seq"))
-        verdicts = arrival_verdicts(open_rows, stored).join(
-            first.select("inbox", "seq", F.lit(True).alias("_first")), ["inbox", "seq"], "left"
+    while True:
+        each = open_rows.select(
+            "inbox", "seq", "content_hash", (F.size("mids") > 1).alias("several"), F.explode("mids").alias("mid")
         )
-        # A duplicate stays one whatever comes before it, so it need not wait.
-        ready = F.coalesce("_first", F.lit(False)) | (F.col("verdict") == "duplicate")
-        marked, waiting = durable_count(verdicts.withColumn("_ready", ready), ~ready)
-        done = marked.where("_ready").drop("_first", "_ready")
+        turn = each.groupBy("inbox", "mid").agg(F.min("seq").alias("first_seq"))
+        late = salted_lookup(each, turn, ["inbox", "mid"], spread_on="seq").where("seq > first_seq")
+        waits = late.groupBy("inbox", "seq").agg(F.lit(True).alias("_waits"))
+        same = each.groupBy("inbox", "mid", "content_hash").agg(
+            F.min(F.when(~F.col("several"), F.col("seq"))).alias("_lead"),
+            F.min(F.when(F.col("several"), F.col("seq"))).alias("_rival"),
+        )
+        verdicts = arrival_verdicts(open_rows, stored).join(waits, ["inbox", "seq"], "left")
+        single = F.when(F.size("mids") == 1, F.get("mids", F.lit(0)))
+        peers = salted_lookup(
+            verdicts.withColumn("_id", single), same.withColumnRenamed("mid", "_id"),
+            ["inbox", "_id", "content_hash"], spread_on="seq", how="left",
+        )
+        alone = (F.col("verdict") == "generated id") & F.col("_id").isNotNull() & (
+            F.col("_rival").isNull() | (F.col("_rival") > F.col("seq"))
+        )
+        alone = F.coalesce(alone, F.lit(False))
+        copy = alone & (F.col("_lead") < F.col("seq"))
+        ready = F.col("_waits").isNull() | (F.col("verdict") == "duplicate") | alone
+        marked, waiting = durable_count(
+            peers.withColumn("_ready", ready).withColumn("_copy", copy), ~F.col("_ready")
+        )
+        done = marked.where("_ready").withColumn(
+            "verdict", F.when(F.col("_copy"), "duplicate").otherwise(F.col("verdict"))
+        ).withColumn("store_mid", F.when(~F.col("_copy"), F.col("store_mid")))
+        done = done.select(*arriving.columns, "verdict", "store_mid")
         decided = done if decided is None else decided.unionByName(done)
         if not waiting:
             return decided
         kept = done.where("store_mid is not null")
-        stored = stored.unionByName(
-            kept.select("inbox", F.explode(F.array_distinct(F.concat(F.array("store_mid"), "mids"))).alias("mid"),
-                        "content_hash")
-        )
+        held = F.array_distinct(F.concat(F.array("store_mid"), F.col("mids")))
+        stored = durable(stored.unionByName(kept.select("inbox", F.explode(held).alias("mid"), "content_hash")))
         open_rows = marked.where("not _ready").select(*arriving.columns)
-    raise RuntimeError(f"{max_rounds} rounds did not settle all reused ids")
 
 
 def shared_docids(posts: DataFrame) -> DataFrame:
