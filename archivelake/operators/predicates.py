@@ -16,6 +16,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archivelake.functions.stem import stem
 from archivelake.operators.postings import FIELDS, expand_prefix
 
 
@@ -40,7 +41,7 @@ class Term(Predicate):
 
 @dataclass(frozen=True)
 class Stem(Predicate):
-    """Any word with the same English stem."""
+    """Any word with the same English stem; needs postings from `with_stems`."""
 
     word: str
     field: str = ""
@@ -235,7 +236,7 @@ def search(postings: DataFrame, docs: DataFrame, predicate: Predicate) -> DataFr
         if isinstance(leaf, Prefix):
             match = F.col("term").isin(expand_prefix(postings, leaf.prefix, fields))
         elif isinstance(leaf, Stem):
-            match = F.col("stem") == leaf.word
+            match = F.col("stem") == stem(leaf.word.lower())
         else:
             match = F.col("term") == leaf.term
         tests.append((here & match, 1 << i))

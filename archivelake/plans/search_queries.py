@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from archivelake.functions.stem import with_stems
 from archivelake.operators import postings as post
 from archivelake.operators import predicates as p
 from archivelake.operators import rank
@@ -78,9 +79,16 @@ def phrase_search(spark, d):
     return p.search(_index(spark, d), _docs(spark, d), p.Phrase(("of", "the"))).select("docid")
 
 
-@query("prefix_search", "SELECT DISTINCT docid FROM tokens WHERE starts_with(term, 'withi')", "tokens")
+@query("stem_search", """
+    SELECT DISTINCT docid FROM tokens WHERE term = 'is'""", "tokens")
+def stem_search(spark, d):
+    """`is` shares its stem with no other word, so SQL can name the matches."""
+    return p.search(with_stems(_index(spark, d, False)), _docs(spark, d), p.Stem("is")).select("docid")
+
+
+@query("prefix_search", "SELECT DISTINCT docid FROM tokens WHERE starts_with(term, 'eneinheit')", "tokens")
 def prefix_search(spark, d):
-    return p.search(_index(spark, d), _docs(spark, d), p.Prefix("withi")).select("docid")
+    return p.search(_index(spark, d), _docs(spark, d), p.Prefix("eneinheit")).select("docid")
 
 
 @query("field_search", f"""

@@ -225,3 +225,15 @@ def test_patch_key_ignores_space_and_line_numbers(spark):
     assert key == one(spark, diffs.patch_key(F.lit(moved)))
     assert key != one(spark, diffs.patch_key(F.lit(PATCH.replace("+come", "+else"))))
     assert one(spark, diffs.patch_key(F.lit("no patch"))) is None
+
+
+@pytest.mark.parametrize(
+    "word, want",
+    [("consigned", "consign"), ("consistency", "consist"), ("knots", "knot"), ("hopping", "hop"), ("hoping", "hope"),
+     ("relational", "relat"), ("cries", "cri"), ("ties", "tie"), ("gas", "gas"), ("generously", "generous"),
+     ("skies", "sky"), ("agreed", "agre"), ("nationality", "nation"), ("café", "café"), ("by", "by")],
+)
+def test_stems(word, want):
+    from archivelake.functions.stem import stem
+
+    assert stem(word) == want

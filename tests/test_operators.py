@@ -150,6 +150,14 @@ def test_golden_searches(golden):
         assert got == want, predicate
 
 
+def test_stemmed_search(spark, golden):
+    from archivelake.functions.stem import with_stems
+
+    index, docs = golden
+    got = p.search(with_stems(index), docs, p.Stem("quotes", "q") | p.Stem("noted"))
+    assert sorted(r.docid for r in got.collect()) == [1, 3]
+
+
 def test_wildcards_have_a_limit(golden):
     with pytest.raises(ValueError):
         post.expand_prefix(golden[0], "", ["nonquoted", "subject"], cap=3)
