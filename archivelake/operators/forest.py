@@ -16,10 +16,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivelake.operators.ordered import neighbours
+from archivelake.operators.ordered import neighbours, running_latest
 from archivelake.operators.skew import keep_first, salted_lookup
 from archivelake.session import durable, durable_count
 
@@ -92,17 +92,38 @@ def _inner(back: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _hour(rank: str) -> Column:
+    return F.floor(F.col(rank)["ds"] / HOUR).cast("long")
+
+
 def _spans(back: DataFrame) -> DataFrame:
-    """Merged (tid, lo, hi) time spans of the backward links of each thread."""
-    by = Window.partitionBy("tid").orderBy("c_rank", "p_rank")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    opened = back.withColumn("_reach", F.max("p_rank").over(before)).withColumn(
-        "_new", (F.col("_reach").isNull() | (F.col("c_rank") > F.col("_reach"))).cast("int")
+    """Merged, disjoint (tid, lo, hi) time spans of the backward links of each thread."""
+    reach = running_latest(
+        back, ["tid"], _hour("c_rank"), ["c_rank", "p_rank", "child"], F.col("p_rank"), "reach",
+        largest=True, inclusive=False,
     )
-    numbered = opened.withColumn("span", F.sum("_new").over(by))
-    return numbered.groupBy("tid", "span").agg(
-        F.min("c_rank").alias("lo"), F.max("p_rank").alias("hi")
+    opens = F.col("reach").isNull() | (F.col("c_rank") > F.col("reach"))
+    placed = running_latest(
+        reach, ["tid"], _hour("c_rank"), ["c_rank", "p_rank", "child"], F.when(opens, F.col("c_rank")), "lo"
+    )
+    return placed.groupBy("tid", "lo").agg(F.max("p_rank").alias("hi"))
+
+
+def _inside_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+    """(child, span) of the nodes whose rank lies in a span of their thread.
+
+    Spans are disjoint, so the last one opened at or before a node decides.
+    """
+    marks = spans.select(
+        "tid", F.col("lo").alias("rank"), F.struct("lo", "hi").alias("_span"), F.lit(0).alias("_kind"),
+        F.lit(None).cast("string").alias("child"),
     )
+    rows = nodes.select(
+        "tid", "rank", F.lit(None).cast(spans.select(F.struct("lo", "hi").alias("s")).schema["s"].dataType).alias("_span"),
+        F.lit(1).alias("_kind"), "child",
+    ).unionByName(marks)
+    found = running_latest(rows, ["tid"], _hour("rank"), ["rank", "_kind", "child"], F.col("_span"), "span")
+    return found.where("_kind = 1 and rank <= span.hi").select("child", F.col("span.lo").alias("span"))
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,14 +173,10 @@ def parents(messages: DataFrame) -> DataFrame:
         nodes = links.select("tid", "child").distinct().join(
             rank.withColumnRenamed("node", "child"), "child"
         )
-        inside = (
-            nodes.join(spans, "tid")
-            .where((F.col("rank") >= F.col("lo")) & (F.col("rank") <= F.col("hi")))
-            .select("child", "span")
-        )
+        inside = _inside_spans(nodes, spans)
         tangled = salted_lookup(links, inside, ["child"], spread_on="docid")
         walked = durable(
-            tangled.select("tid", "span", "parent", "child", "own", "ds", "docid", "pos")
+            tangled.select("tid", F.to_json("span").alias("span"), "parent", "child", "own", "ds", "docid", "pos")
             .repartition("tid", "span")
             .sortWithinPartitions("tid", "span", "ds", "docid", "pos")
             .mapInPandas(_walk, "child string, parent string")

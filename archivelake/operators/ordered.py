@@ -144,3 +144,31 @@ def neighbours(
     if following:
         joined = joined.withColumn(following, shown("_next", "_after"))
     return joined.drop("_bucket", "_item", "_prev", "_next", "_before", "_after")
+
+
+def running_latest(
+    df: DataFrame, keys: list[str], cut: Column, order: list[str], value: Column, out: str,
+    largest: bool = False, inclusive: bool = True,
+) -> DataFrame:
+    """Latest non-null (or largest) `value` at or before each row, per key.
+
+    `cut` is a bucket that never falls along the order. The window runs inside
+    (keys, bucket); one row per bucket carries the value onward.
+    """
+    rows = df.withColumn("_bucket", cut).withColumn("_value", value)
+    pick = F.max if largest else (lambda c: F.last(c, ignorenulls=True))
+    inside = (
+        Window.partitionBy(*keys, "_bucket").orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    )
+    local = rows.withColumn("_near", pick("_value").over(inside))
+    known = rows.where(F.col("_value").isNotNull())
+    per_bucket = known.groupBy(*keys, "_bucket").agg(
+        (F.max("_value") if largest else F.max_by("_value", F.struct(*order))).alias("_end")
+    )
+    buckets = rows.select(*keys, "_bucket").distinct().join(per_bucket, [*keys, "_bucket"], "left")
+    across = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.withColumn("_far", pick("_end").over(across)).drop("_end")
+    joined = local.join(carried, [*keys, "_bucket"], "left")
+    both = F.greatest("_near", "_far") if largest else F.coalesce("_near", "_far")
+    return joined.withColumn(out, both).drop("_bucket", "_value", "_near", "_far")

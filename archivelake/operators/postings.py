@@ -153,6 +153,12 @@ def document_lengths(postings: DataFrame) -> DataFrame:
     return postings.groupBy("docid").agg(F.sum("wdf").alias("doclen"))
 
 
+def field_lengths(fields: DataFrame) -> DataFrame:
+    """`document_lengths` straight from text fields: no term leaves its task."""
+    size = F.size(text.words(F.col("value"))) * F.col("weight")
+    return fields.groupBy("docid").agg(F.sum(size).cast("bigint").alias("doclen"))
+
+
 def document_frequency(postings: DataFrame) -> DataFrame:
     """Documents and weighted occurrences of every (field, term)."""
     return postings.groupBy("field", "term").agg(

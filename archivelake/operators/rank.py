@@ -11,16 +11,19 @@ from archivelake.operators.skew import keep_first, salted_lookup
 K1, B = 1.2, 0.75  # BM25 parameters
 
 
-def bm25(postings: DataFrame, terms: list[str], field: str = "") -> DataFrame:
+def bm25(postings: DataFrame, terms: list[str], field: str = "",
+         lengths: DataFrame | None = None) -> DataFrame:
     """(docid, score) of the documents holding any of the terms.
 
+    `lengths` has (docid, doclen), counted from the postings when not given.
     Each term's share is rounded to a millionth and added as an integer, so the
     score does not depend on the order of addition.
     """
     fields = FIELDS.get(field, [field])
     chosen = postings.where(F.col("field").isin(fields) & F.col("term").isin(terms))
     wanted = chosen.groupBy("docid", "term").agg(F.sum("wdf").alias("wdf"))
-    lengths = document_lengths(postings)
+    if lengths is None:
+        lengths = document_lengths(postings)
     corpus = lengths.agg(F.count("*").alias("_n"), F.avg("doclen").alias("_avg"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     # As many rows as query terms, and one row of corpus figures.

@@ -71,6 +71,10 @@ def keep_first(
     semi join on the unique row id, so copies of one key are never gathered.
     """
     ids = [row_id] if isinstance(row_id, str) else row_id
-    best = df.groupBy(*keys).agg(F.min(F.struct(*dict.fromkeys([*order, *ids]))).alias("_best"))
-    winners = best.select(*[F.col("_best")[i].alias(i) for i in ids])
+    names = list(dict.fromkeys([*order, *ids]))
+    if len(names) == 1:  # a plain minimum stays in a hash aggregate
+        winners = df.groupBy(*keys).agg(F.min(names[0]).alias(names[0])).select(names[0])
+    else:
+        best = df.groupBy(*keys).agg(F.min(F.struct(*names)).alias("_best"))
+        winners = best.select(*[F.col("_best")[i].alias(i) for i in ids])
     return df.join(winners, ids, "left_semi")

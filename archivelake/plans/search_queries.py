@@ -151,20 +151,25 @@ _BM25 = """
 _WORDS = ["that", "with", "for"]
 
 
+def _scored(spark, d):
+    fields = post.text_fields(_docs(spark, d).select("docid", "body"))
+    return rank.bm25(post.build_postings(fields, False), _WORDS, lengths=post.field_lengths(fields))
+
+
 @query("relevance_scores", f"""WITH {_BM25} SELECT docid, score, least(99, floor(100 * score / (SELECT max(score) FROM s)))::INT AS pct FROM s""", "tokens")
 def relevance_scores(spark, d):
-    return rank.percent(rank.bm25(_index(spark, d, False), _WORDS)).select("docid", "score", "pct")
+    return rank.percent(_scored(spark, d)).select("docid", "score", "pct")
 
 
 @query("relevance_topk", f"""WITH {_BM25} SELECT docid, score FROM s JOIN doc_posts USING (docid) ORDER BY score DESC, ts DESC, docid LIMIT 200""", "tokens")
 def relevance_topk(spark, d):
-    scored = rank.bm25(_index(spark, d, False), _WORDS).join(_docs(spark, d).select("docid", "ts"), "docid")
+    scored = _scored(spark, d).join(_docs(spark, d).select("docid", "ts"), "docid")
     return rank.page(scored, rank.sort_order(1), limit=200).select("docid", "score")
 
 
 @query("newest_hits_page", f"""WITH {_BM25} SELECT docid, score, ts FROM s JOIN doc_posts USING (docid) ORDER BY ts DESC, score DESC, docid LIMIT 50 OFFSET 25""", "tokens")
 def newest_hits_page(spark, d):
-    scored = rank.bm25(_index(spark, d, False), _WORDS).join(_docs(spark, d).select("docid", "ts"), "docid")
+    scored = _scored(spark, d).join(_docs(spark, d).select("docid", "ts"), "docid")
     return rank.page(scored, rank.sort_order(0), limit=50, offset=25).select("docid", "score", "ts")
 
 
@@ -182,7 +187,7 @@ def match_counts(spark, d):
 @query("percent_bounds", f"""WITH {_BM25} SELECT min(p) AS min_pct, max(p) AS max_pct FROM (SELECT
     least(99, floor(100 * score / (SELECT max(score) FROM s)))::INT AS p FROM s)""", "tokens")
 def percent_bounds(spark, d):
-    return rank.percent_bounds(rank.percent(rank.bm25(_index(spark, d, False), _WORDS)))
+    return rank.percent_bounds(rank.percent(_scored(spark, d)))
 
 
 @query("source_union_search", """
