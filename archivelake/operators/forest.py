@@ -253,6 +253,7 @@ def preorder(nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
         _sort_times(nodes)
         .withColumn("key", F.coalesce("key", F.lit(0)))
         .withColumn("_late", (~F.col("reused")).cast("int"))
+        .repartition("node")
     )
     kids = keyed.where("parent is not null")
     # Reused ids come first below their holder, then children by time.
@@ -303,7 +304,10 @@ def preorder(nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
             "arc", F.col("to2").alias("to"), (F.col("n") + F.col("n2")).alias("n"),
             (F.col("d") + F.col("d2")).alias("d"), F.col("last2").alias("last"),
         )
-        state, left = durable_count(jumped.unionByName(state.where(~going)), going)
+        # Without this the partitions of both sides would add up round by round.
+        state, left = durable_count(
+            jumped.unionByName(state.where(~going)).repartition("arc"), going
+        )
     else:
         raise RuntimeError("a thread walk did not end; parents hold a loop")
     into = state.where(F.col("arc").startswith("+")).select(
