@@ -17,7 +17,9 @@ QUICK = [
     "xref_peers", "split_documents", "dedupe_content", "annotations_modified", "phrase_search", "boolean_search",
     "relevance_topk", "probe_passages", "patch_lineage", "blob_search", "thread_ids", "stream_notifications",
 ]
-NAMES = sorted(entry_points.queries()) if os.environ.get("ARCHIVELAKE_ALL_QUERIES") else QUICK
+from archivelake.plans import QUERIES  # noqa: E402
+
+NAMES = sorted(QUERIES) if os.environ.get("ARCHIVELAKE_ALL_QUERIES") else QUICK
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
@@ -49,7 +51,7 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
+    assert set(QUERIES) <= set(entry_points.oracle_sql())
 
 
 def test_flagship(spark):
