@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivelake.llm import bitpack, packing
+from archivelake.llm import bitpack, packing, simhash
 from archivelake.llm.base import prepare, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,10 @@ def op10_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written to packed token files and read back, a row each."""
     manifest, folder = bitpack.encode_to_files(read_table(spark, sf_dir, "documents"))
     return bitpack.read_files(manifest, folder)
+
+
+@query("op8_simhash_golay")
+def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
