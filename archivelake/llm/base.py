@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,42 @@ def fold(doc_id: Column, parts: int) -> Column:
 def unit_hash(*columns: str | Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the values and the seed alone."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+class WordMemory:
+    """What a worker has worked out about words, in bounded space.
+
+    `learn(words)` gives the values of new words. Values are kept in two generations of
+    `limit` words each; when the younger is full it becomes the older, and words that
+    are met again move back, so frequent words stay.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], dict[str, Any]], limit: int) -> None:
+        self._learn, self._limit = learn, limit
+        self._young: dict[str, Any] = {}
+        self._old: dict[str, Any] = {}
+
+    def values(self, texts: list[list[str]]) -> list[list[Any]]:
+        """Values of the words of each text. No value may be None."""
+        get = self._young.get
+        found = [list(map(get, text)) for text in texts]
+        missing = {
+            w for text, values in zip(texts, found, strict=True) if None in values
+            for w, v in zip(text, values, strict=True) if v is None
+        }
+        if not missing:
+            return found
+        old = self._old
+        again = {w: old[w] for w in missing if w in old}
+        new = self._learn([w for w in missing if w not in again])
+        if len(self._young) + len(missing) > self._limit:
+            self._old, self._young = self._young, {}
+        self._young |= again
+        self._young |= new
+        return [
+            values if None not in values else [
+                v if v is not None else again[w] if w in again else new[w]
+                for w, v in zip(text, values, strict=True)
+            ]
+            for text, values in zip(texts, found, strict=True)
+        ]

@@ -14,11 +14,13 @@ from functools import lru_cache
 
 import numpy as np
 
+from archivelake.llm.base import WordMemory
+
 #: Name of the vocabulary file; callers may pass a path instead.
 VOCABULARY = "word_bpe_49k.json"
 
-#: Words a worker remembers before it starts afresh: about 200 MB at most.
-MEMORY_WORDS = 700_000
+#: Words in each of the two generations a worker remembers: about 200 MB in all.
+MEMORY_WORDS = 600_000
 
 _TAIL = '.,;:!?*$%&#|()"'
 #: Only these characters are lowered before the look-up; for others the order of
@@ -42,25 +44,28 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self._ends = np.zeros(self.size, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._memory: dict[str, bytes] = {}
+        self._memory = WordMemory(self._learn, MEMORY_WORDS)
+        self._cores: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Encode unknown words: plain letters together, the others one by one."""
-        memory, cores = self._memory, {}
+        cores = {}
         for word in new:
             core = word.rstrip(_TAIL)
             # A letter before the punctuation always ends a piece there.
             cores[word] = core if core and core[-1].isalpha() else word
-        unknown = [c for c in {*cores.values(), *(w[len(c):] for w, c in cores.items())}
-                   if c and c not in memory]
+        if len(self._cores) > MEMORY_WORDS:
+            self._cores.clear()
+        known = self._cores
+        unknown = {c for c in {*cores.values(), *(w[len(c):] for w, c in cores.items())} if c not in known}
         letters = [c for c in unknown if c.isalpha()]
         for c in unknown:
             if not c.isalpha():
-                memory[c] = self._whole(c)
+                known[c] = self._whole(c)
         width = self.dtype.itemsize
         for at in range(0, len(letters), 256):
             part = letters[at:at + 256]
@@ -68,15 +73,13 @@ class WordEncoder:
             ends = (np.flatnonzero(self._ends[ids]) + 1) * width
             buffer = ids.tobytes()
             if len(ends) != len(part):  # a letter that the tokenizer parts words at
-                memory.update((c, self._whole(c)) for c in part)
+                known.update((c, self._whole(c)) for c in part)
                 continue
             low = 0
             for c, high in zip(part, ends.tolist(), strict=True):
-                memory[c] = buffer[low:high]
+                known[c] = buffer[low:high]
                 low = high
-        for word, core in cores.items():
-            if core != word:
-                memory[word] = memory[core] + memory[word[len(core):]]
+        return {w: known[c] + known[w[len(c):]] if c != w else known[c] for w, c in cores.items()}
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Id buffers of the texts, in `dtype`; a null text has none."""
@@ -88,14 +91,7 @@ class WordEncoder:
                 split.append([])
             else:
                 split.append((text if _OTHER.search(text) else text.lower()).split())
-        seen: set[str] = set().union(*split)
-        if len(self._memory) + len(seen) > MEMORY_WORDS:
-            self._memory.clear()
-        memory = self._memory
-        if new := [w for w in seen if w not in memory]:
-            self._learn(new)
-        get = memory.__getitem__
-        out = [b"".join(map(get, ws)) for ws in split]
+        out = [b"".join(parts) for parts in self._memory.values(split)]
         for i, buffer in whole.items():
             out[i] = buffer
         return out
