@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivelake.llm import bitpack, packing, simhash
+from archivelake.llm import bitpack, langid, packing, simhash, toxicity
 from archivelake.llm.base import prepare, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,16 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query("op3_hyperdimensional_language")
+def op3_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op4_toxic_spans_crf")
+def op4_toxic_spans_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, with the offending spans."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.judge(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
