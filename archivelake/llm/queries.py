@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivelake.llm import bitpack, langid, packing, simhash, toxicity
+from archivelake.llm import bitpack, langid, packing, quality, simhash, toxicity
 from archivelake.llm.base import prepare, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,9 @@ def op4_toxic_spans_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, with the offending spans."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.judge(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+@query("op6_robust_quality_rules")
+def op6_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text counts, base rules and robust outlier verdict of every document."""
+    return quality.judge(read_table(spark, sf_dir, "documents"))
