@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from archivelake.llm import bitpack, langid, packing, quality, simhash, toxicity
+from archivelake.llm import bitpack, langid, minhash, packing, quality, simhash, toxicity
 from archivelake.llm.base import prepare, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,3 +68,12 @@ def op4_toxic_spans_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text counts, base rules and robust outlier verdict of every document."""
     return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_minhash_fingerprints")
+def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    found = minhash.compare_with_next(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lower(F.hex("fingerprint"))).withColumn(
+        "edited_fingerprint", F.lower(F.hex("edited_fingerprint"))
+    )
