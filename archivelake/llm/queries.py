@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivelake.llm import bitpack, langid, minhash, packing, quality, simhash, toxicity
+from archivelake.llm import bitpack, chat, langid, minhash, packing, quality, simhash, toxicity
 from archivelake.llm.base import prepare, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,54 @@ def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.hex("fingerprint"))).withColumn(
         "edited_fingerprint", F.lower(F.hex("edited_fingerprint"))
     )
+
+
+#: A conversation whose texts hold escape and control strings.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+@query(
+    "op2_chat_formatting",
+    r"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+    ), placed AS (
+        SELECT *, lag(role) OVER w AS before, row_number() OVER w AS place,
+            count(*) OVER (PARTITION BY conv_id) AS n
+        FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+    ), judged AS (
+        SELECT *, CASE
+            WHEN before IS NULL THEN role IN ('system', 'user')
+            WHEN before IN ('system', 'assistant') THEN role = 'user'
+            WHEN before = 'user' THEN role = 'assistant'
+            ELSE false END AND (place < n OR role = 'assistant') AS allowed
+        FROM placed
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum(4 + 2 + 8 + 2 * length(role || text) - length(regexp_replace(role || text, '[\\#:<]', '', 'g')))::BIGINT
+            AS formatted_chars,
+        bool_and(allowed) AS valid
+    FROM judged GROUP BY conv_id
+    """,
+)
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and digests of what is read back from the output."""
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = chat.read_back(chat.render(chat.segments(turns.unionByName(extra))))
+    said = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    learned = F.array_join("loss_texts", "")
+    return found.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
