@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivelake.llm import bitpack, chat, langid, minhash, packing, quality, simhash, toxicity
+from archivelake.llm import bitpack, chat, langid, minhash, mixing, packing, quality, simhash, toxicity
 from archivelake.llm.base import prepare, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"), "valid",
     )
+
+
+@query("op1_raked_mixing")
+def op1_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling probability and draw of every document, raked to the target shares."""
+    found = mixing.sample(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
