@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivelake.llm import bitpack, chat, langid, minhash, mixing, packing, quality, simhash, toxicity
+from archivelake.llm import bitpack, chat, langid, minhash, mixing, packing, quality, simhash, toxicity, url_lists
 from archivelake.llm.base import prepare, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,80 @@ def op1_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probability and draw of every document, raked to the target shares."""
     found = mixing.sample(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
+
+
+def _url_list(pages: DataFrame, events: DataFrame) -> DataFrame:
+    """A dated list from the tables: every event is an entry about the page of its number.
+
+    Views and purchases list its host, clicks its address, sign-ups its domain; errors
+    take its host off. Purchases expire after a day and sign-ups after six hours.
+    """
+    kind = F.when(F.col("event_type") == "click", "url").when(F.col("event_type") == "signup", "domain").otherwise("host")
+    name = url_lists.host(F.col("url"))
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    met = events.select(F.col("event_id").alias("page_id"), "event_type", "ts").join(
+        pages.select("page_id", "url"), "page_id"
+    )
+    return met.select(
+        kind.alias("kind"),
+        F.when(kind == "url", url_lists.address(F.col("url")))
+        .when(kind == "domain", F.substring_index(name, ".", -2)).otherwise(name).alias("pattern"),
+        at.alias("at"), F.when(F.col("event_type") == "error", "remove").otherwise("add").alias("action"),
+        F.when(F.col("event_type") == "purchase", at + 86400).when(F.col("event_type") == "signup", at + 21600).alias("expires"),
+    )
+
+
+@query(
+    "op5_temporal_url_lists",
+    r"""
+    WITH parsed AS (
+        SELECT page_id, url, 1704067200 + (page_id * 7919) % 2592000 AS fetched,
+            coalesce(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '')), '') AS host,
+            regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS rest
+        FROM pages
+    ), addressed AS (
+        SELECT *, CASE WHEN host = '' THEN '' ELSE host || rest END AS address, string_split(host, '.') AS labels FROM parsed
+    ), listed AS (
+        SELECT DISTINCT
+            CASE event_type WHEN 'click' THEN 'url' WHEN 'signup' THEN 'domain' ELSE 'host' END AS kind,
+            CASE event_type WHEN 'click' THEN address WHEN 'signup' THEN array_to_string(labels[-2:], '.') ELSE host END AS pattern,
+            floor(epoch(ts))::BIGINT AS since, (event_type = 'error')::INT AS off,
+            CASE event_type WHEN 'purchase' THEN floor(epoch(ts))::BIGINT + 86400
+                WHEN 'signup' THEN floor(epoch(ts))::BIGINT + 21600 END AS expires
+        FROM events JOIN addressed ON event_id = page_id
+    ), chained AS (
+        SELECT *, lead(since) OVER (PARTITION BY kind, pattern ORDER BY since, off, expires NULLS FIRST) AS next_at
+        FROM listed WHERE pattern <> ''
+    ), valid AS (
+        SELECT kind, pattern, since AS valid_from,
+            least(coalesce(next_at, 4611686018427387904), coalesce(expires, 4611686018427387904)) AS valid_to
+        FROM chained WHERE off = 0
+    ), tried AS (
+        SELECT page_id, url, fetched, host, 1 AS rank, 'url' AS kind, address AS pattern FROM addressed
+        UNION ALL SELECT page_id, url, fetched, host, 2, 'host', host FROM addressed
+        UNION ALL
+        SELECT page_id, url, fetched, host, 3, 'domain', array_to_string(labels[i:], '.')
+        FROM addressed, unnest(range(1, len(labels))) AS t(i)
+    ), met AS (
+        SELECT t.*, v.valid_from FROM tried t JOIN valid v
+            ON t.kind = v.kind AND t.pattern = v.pattern AND v.valid_from <= t.fetched AND t.fetched < v.valid_to
+    ), best AS (
+        SELECT page_id, url, fetched, count(DISTINCT kind || ' ' || pattern) AS n,
+            min((rank, -length(pattern), kind, pattern, valid_from)) AS b
+        FROM met GROUP BY ALL
+    )
+    SELECT DISTINCT p.page_id AS capture_id, p.host, p.fetched, b.n IS NOT NULL AS blocked, coalesce(b.n, 0) AS n_matches,
+        b.b[3] AS kind, b.b[4] AS pattern, b.b[5] AS valid_from
+    FROM addressed p LEFT JOIN best b ON p.page_id = b.page_id AND p.url = b.url AND p.fetched = b.fetched
+    """,
+)
+def op5_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries active when it was fetched.
+
+    The tables hold no fetch times: a page is fetched at a second of the month of the
+    events that follows from its number.
+    """
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.lit(1704067200) + (F.col("page_id") * 7919) % 2592000
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", fetched.alias("fetched"))
+    return url_lists.judge(captures, _url_list(pages, read_table(spark, sf_dir, "events")))
