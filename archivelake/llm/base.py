@@ -49,6 +49,14 @@ def unit_hash(*columns: str | Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as keep it from beginning a column's."""
+    taken = [c.lower() for c in docs.columns]
+    while any(c.startswith(name) for c in taken):
+        name = "_" + name
+    return name
+
+
 class WordMemory:
     """What a worker has worked out about words, in bounded space.
 

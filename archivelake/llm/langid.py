@@ -28,6 +28,9 @@ LETTERS = 64
 #: Expected number of texts per language that prototypes are learned from.
 LEARN_DOCS = 2000
 UNDETERMINED = "und"
+#: Cosine below which a text is like none of the learned languages: two unlike vectors
+#: of this many dimensions are rarely (two deviations) as close as that.
+LEAST_SCORE = 2 / DIMENSIONS**0.5
 
 _CHUNK = 1 << 20
 #: Most cells of a count matrix held at once: 32 MB.
@@ -147,15 +150,16 @@ def learn(labelled: DataFrame, per_language: int = LEARN_DOCS) -> tuple[list[str
     return names, _unit(prototypes).astype(np.float32)
 
 
-def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFrame:
-    """Add `lang_pred` and `score` to any table with a `text`.
+def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, out: str = "language") -> DataFrame:
+    """Add `language` and `language_score` to any table with a `text`.
 
-    `score` is the cosine with the chosen prototype, not below 0. A text that is null
-    or has no letter, or any text if no language was learned, is `und` with score 0.
-    Equal cosines go to the language that comes first by name.
+    `language_score` is the cosine with the chosen prototype, not below 0. A text that is
+    null or has no letter, or any text if no language was learned, is `und` with score 0.
+    Equal cosines go to the language that comes first by name. `out` is the beginning of
+    the new columns' names; no column of `docs` may begin with it.
     """
     columns = docs.columns
-    schema = docs.select("*").schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select("*").schema.add(out, "string").add(f"{out}_score", "double")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +173,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray) -> DataFr
                 lang[told] = np.array(names, object)[best[told]]
                 score[told] = np.clip(cosine[np.arange(len(best)), best], 0, 1)[told]
             arrays = [batch.column(c) for c in columns] + [pa.array(lang, pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(task, schema)
 
@@ -183,4 +187,6 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of (doc_id, text, lang)."""
     names, prototypes = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))
     told = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), names, prototypes)
-    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return told.select(
+        "doc_id", held_out().alias("held_out"), F.col("language").alias("lang_pred"), F.col("language_score").alias("score")
+    )

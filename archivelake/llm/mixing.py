@@ -156,29 +156,31 @@ def sampling_rates(cells: DataFrame, mix: Mix) -> tuple[DataFrame, int]:
     return durable(rated.crossJoin(F.broadcast(most)).select(*mix.targets, rate.alias("rate"))), n_cells
 
 
-def sample(docs: DataFrame, mix: Mix | None = None, seed: int = SEED) -> DataFrame:
-    """Add source, lang and topic as used, `tokens`, `probability` and `sampled`.
-
-    `docs` needs doc_id, text, source and lang. A null source or language is the empty
-    value. A text without words carries no tokens: its probability is its cell's, or 0
-    if no text of the cell has any. Whether a document is sampled depends on its id, its
-    text and the seed alone, so repeated rows share a fate and a lost task repeats it.
-    Other columns of `docs` are kept; those five names are replaced.
+def sample(docs: DataFrame, mix: Mix | None = None, seed: int = SEED, out: str = "mix") -> DataFrame:
+    """Add mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_sampled.
+
+    `docs` needs doc_id, text, source and lang; all its columns are kept, and
+    `out` is the beginning of the new ones' names, which none of them may have. A null source or language is the empty value. A text
+    without words carries no tokens: its probability is its cell's, or 0 if no text of
+    the cell has any. Whether a document is sampled depends on its id, its text and the
+    seed alone, so repeated rows share a fate and a lost task repeats it.
     """
     mix = mix or Mix()
     names = list(mix.targets)
-    described = docs.withColumns({
+    keys = [f"{out}_{n}" for n in names]
+    values = {
         "source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        "topic": topic(F.coalesce("text", F.lit(""))), "tokens": word_count(F.col("text")),
-    })
-    cells = durable(described.groupBy(*names).agg(F.sum("tokens").alias("tokens")))
+        "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": topic(F.coalesce("text", F.lit(""))),
+    }
+    described = docs.withColumns(
+        {f"{out}_{n}": values[n] for n in names} | {f"{out}_tokens": word_count(F.col("text"))}
+    )
+    cells = durable(described.groupBy(*keys).agg(F.sum(f"{out}_tokens").alias("tokens")).toDF(*names, "tokens"))
     rates, _ = sampling_rates(cells, mix)
-    n_cells = cells.count()
     # Cells without tokens have no rate of their own.
     every = cells.select(*names).join(rates, names, "left").select(
-        *names, F.coalesce("rate", F.lit(0.0)).alias("probability")
+        *[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], F.coalesce("rate", F.lit(0.0)).alias(f"{out}_probability")
     )
-    rated = _lookup(described.drop("probability"), every, names, n_cells, mix, ["doc_id"])
+    rated = _lookup(described, every, keys, cells.count(), mix, ["doc_id"])
     draw = unit_hash("doc_id", F.xxhash64("text"), seed=seed)
-    return rated.withColumn("sampled", draw < F.col("probability"))
+    return rated.withColumn(f"{out}_sampled", draw < F.col(f"{out}_probability"))

@@ -133,8 +133,9 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_raked_mixing")
 def op1_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probability and draw of every document, raked to the target shares."""
-    found = mixing.sample(read_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
+    found = mixing.sample(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    names = ("source", "lang", "topic", "tokens", "probability", "sampled")
+    return found.select("doc_id", *[F.col(f"mix_{n}").alias(n) for n in names])
 
 
 def _url_list(pages: DataFrame, events: DataFrame) -> DataFrame:

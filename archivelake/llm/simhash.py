@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivelake.llm.base import free_name
 from archivelake.operators.skew import salted_lookup, with_group_totals
 from archivelake.operators.threads import components
 from archivelake.session import durable
@@ -68,17 +69,24 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long. A null text has no words."""
+    """(doc_id, text_key, fp): the text's hash and its fingerprint, both signed longs.
+
+    A null text has no words.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"]
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(found.view(np.int64))],
+                names=["doc_id", "text_key", "fp"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(task, "doc_id long, fp long")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
+        F.col("text").cast("binary").alias("text"),
+    )
+    return rows.mapInArrow(task, "doc_id long, text_key long, fp long")
 
 
 def _remainders(words: np.ndarray) -> np.ndarray:
@@ -163,19 +171,37 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of (doc_id, text).
+    """(doc_id, text_key, fp, component_id, first) of every row of (doc_id, text).
 
     `component_id` is the least doc_id that links reach, and null only if every
-    reachable doc_id is null. Equal texts, nulls and empty texts included, always share
-    a component. Copies are one fingerprint from the first step on, so groups of
-    copies of any size cost no more than one text.
+    reachable doc_id is null. `first` marks the component's row of least doc_id, then
+    least text_key; repeated rows share the mark. Equal texts, nulls and empty texts
+    included, always share a component. Copies are one fingerprint from the first step
+    on, so groups of copies of any size cost no more than one text.
     """
     hashed = durable(fingerprints(docs))
-    fps = durable(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    fps = durable(hashed.groupBy("fp").agg(F.min(rank).alias("least")))
     roots = components(links(fps, pairwise)).select(F.col("node").alias("fp"), "root")
     rooted = fps.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    labelled = with_group_totals(rooted, ["root"], {"component_id": (F.col("first_id"), "min")}, spread_on="fp")
-    return salted_lookup(hashed, labelled.select("fp", "component_id"), ["fp"], spread_on="doc_id")
+    labelled = with_group_totals(rooted, ["root"], {"best": (F.col("least"), "min")}, spread_on="fp")
+    met = salted_lookup(hashed, labelled.select("fp", "best"), ["fp"], spread_on="doc_id")
+    return met.select(
+        "doc_id", "text_key", "fp", F.col("best.doc_id").alias("component_id"), (F.col("best") == rank).alias("first")
+    )
+
+
+def keep_first(docs: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
+    """Documents without near duplicates: the first of every component, once.
+
+    All columns of `docs` are kept. Texts are shuffled once, to meet the decisions.
+    """
+    own = free_name(docs, "_row")
+    an_id = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keys = [f"{own}_id", f"{own}_text"]
+    first = near_duplicates(docs, pairwise).where("first").select(an_id, F.col("text_key")).toDF(*keys).distinct()
+    keyed = docs.withColumns(dict(zip(keys, (an_id, F.xxhash64("text")), strict=True)))
+    return keyed.join(first, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def hex_fingerprint(fp: str = "fp"):

@@ -316,22 +316,26 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = LEARN_DOCS) -> Mo
     weights, bias, start, move = fit_chain(windows, len(names))
     model = Model({f: float(weights[i]) for f, i in number.items()}, bias, start, move, np.array([0.0, 0.0, 0.0]))
 
-    seen = np.array([tuple(r) for r in _tagged(sample, model, ["y"]).select("y", "any", "many").collect()], float)
+    seen = np.array([tuple(r) for r in _tagged(sample, model, ["y"], "toxic").select(
+        "y", "toxic_any", "toxic_many"
+    ).collect()], float)
     # Each row stands for as many documents as the sample left out.
     weight = np.array([1 / rates[int(y)] for y in seen[:, 0]])
     model.scale = fit_scale(np.column_stack([np.ones(len(seen)), seen[:, 1:]]), seen[:, 0], weight / weight.mean())
     return model
 
 
-_SPANS = "array<struct<start:int,length:int,probability:double>>"
+_ADDED = (
+    "{0}_any double, {0}_many double, {0}_score double, "
+    "{0}_spans array<struct<start:int,length:int,probability:double>>"
+)
 
 
-def _tagged(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """`keep` and any, many, score, spans of every row with a `text`."""
-    added = f"any double, many double, score double, spans {_SPANS}"
+def _tagged(docs: DataFrame, model: Model, keep: list[str], out: str) -> DataFrame:
+    """`keep` and the columns of _ADDED of every row with a `text`."""
     schema = docs.select(*keep).schema
-    for field in StructType.fromDDL(added).fields:
-        schema = schema.add(field)
+    for column in StructType.fromDDL(_ADDED.format(out)).fields:
+        schema = schema.add(column)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("probability", pa.float64())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,25 +362,30 @@ def _tagged(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             arrays = [batch.column(c) for c in keep] + [pa.array(c, pa.float64()) for c in columns[:3]]
             yield pa.RecordBatch.from_arrays(
-                [*arrays, pa.array(columns[3], span_type)], names=[*keep, "any", "many", "score", "spans"]
+                [*arrays, pa.array(columns[3], span_type)], names=schema.names
             )
 
-    return docs.select(*keep, "text").mapInArrow(task, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(task, schema)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """`keep`, score (0 to 1), predicted (0/1) and the offending spans of every row.
+def score(
+    docs: DataFrame, model: Model, keep: list[str], threshold: float = THRESHOLD, out: str = "toxic"
+) -> DataFrame:
+    """`keep`, toxic_score (0 to 1), toxic (0/1) and toxic_spans of every row.
 
     A null or empty text has no spans and the score of a text without known words.
-    Spans are character offsets of words whose marginal is at least one half. `keep`
-    may not hold columns named score, predicted or spans.
+    Spans are character offsets of words whose marginal is at least one half. `out` is
+    the beginning of the new columns' names; no kept column may begin with it.
     """
-    tagged = _tagged(docs, model, keep)
-    return tagged.select(*keep, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    toxic = (F.col(f"{out}_score") >= threshold).cast("int").alias(out)
+    return _tagged(docs, model, keep, out).select(*keep, f"{out}_score", toxic, f"{out}_spans")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans) of every document."""
     model = learn(docs, labels)
     told = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
-    return told.select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
+    return told.select(
+        "doc_id", held_out().alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").alias("predicted"),
+        F.col("toxic_spans").alias("spans"),
+    )

@@ -10,6 +10,7 @@ from archivelake.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 NAME = "op1_raked_mixing"
+NAMES = ("source", "lang", "topic", "tokens", "probability", "sampled")
 
 
 def plain_topic(text):
@@ -59,6 +60,8 @@ def plain_rates(docs, mix):
 
 
 def check(got, docs, mix=None):
+    if "mix_sampled" in got.columns:
+        got = got.select("doc_id", *[got[f"mix_{n}"].alias(n) for n in NAMES])
     rows = got.collect()
     rates = plain_rates(docs, mix or mixing.Mix())
     assert len(rows) == len(docs)
@@ -78,8 +81,9 @@ def test_query_equals_brute_force(spark):
 
 
 def test_odd_rows(odd_docs, store, spark):
-    clashing = odd_docs.selectExpr("*", "1 AS rate", "2 AS weight", "3 AS share", "4 AS tokens", "5 AS probability")
+    clashing = odd_docs.selectExpr("*", "1 AS rate", "2 AS weight", "3 AS share", "4 AS tokens", "5 AS topic")
     check(queries.QUERIES[NAME](spark, store(documents=clashing)), odd_docs.collect())
+    check(mixing.sample(clashing), odd_docs.collect())
 
 
 def test_empty_and_wordless_tables(odd_docs, store, spark):
