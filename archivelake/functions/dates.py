@@ -17,15 +17,6 @@ OBSOLETE_ZONES = {
     "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
     "UT": "+0000", "GMT": "+0000", "Z": "+0000",
 }
-DATE_PATTERN = (
-    r"(?:[A-Za-z]+,?\s+)?([0-9]+),?\s+([A-Za-z]+)\s+([0-9]{2,4})\s+"
-    r"([0-9]+)[:.]([0-9]{2}|\s?[0-9])(?:[:.]([0-9]{2}|\s?[0-9]))?"
-    r"\s+([+-])?[+-]*([0-9]+|" + "|".join(OBSOLETE_ZONES) + r")(?:\s|$)"
-)
-RECEIVED_PATTERN = (
-    r"\s*([0-9]+\s+[a-zA-Z]+\s+[0-9]{2,4}\s+"
-    r"[0-9]+[^0-9][0-9]+(?:[^0-9][0-9]+)\s+[+-][0-9]+)"
-)
 # ISO-like dates, the usual shape that is not RFC 822.
 ISO_PATTERN = (
     r"^\s*([0-9]{4})-([0-9]{2})-([0-9]{2})[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?"
@@ -93,41 +84,58 @@ def _groups(text: Column, pattern: str, count: int) -> Column:
     return F.split(F.regexp_replace(text, r"(?s)^.*?(?:" + pattern + r").*$", marks), "\u0001", -1)
 
 
-def _zone_hours(p: Column) -> Column:
-    """struct(hours, minutes) of zone digits: H, MM, or any hours then MM."""
-    digits = p
-    size = F.length(digits)
-    hours = F.when(size == 1, digits).when(size == 2, F.lit("0")).otherwise(
-        F.substring(digits, F.lit(1), size - 2)
-    )
-    minutes = F.when(size == 1, F.lit("0")).otherwise(F.right(digits, F.lit(2)))
-    return F.struct(hours.try_cast("long").alias("h"), minutes.try_cast("long").alias("m"))
+def _words(text: Column) -> Column:
+    """Words of a date-time: comments, folding and commas only part them (RFC 5322)."""
+    bare = F.regexp_replace(text, r"\([^()]*\)", " ")
+    return F.filter(F.split(bare, r"[\s,]+"), lambda w: w != "")
 
 
-def _rfc822(g: Column) -> Column:
-    day, month, years, hour, minute, seconds, sign_text, zone = [F.get(g, F.lit(i)) for i in range(8)]
+def _zone(word: Column) -> Column:
+    """struct(sign, hours, minutes) of a zone word: an offset or an obsolete name.
 
-    def full_year(y: Column) -> Column:
-        return F.when(F.length(years) > 3, y).otherwise(y + F.when(y < 50, 2000).otherwise(1900))
+    RFC 5322 takes a name without known meaning, or no zone, as UTC. Offsets may lack
+    leading zeros; minutes are the last two digits.
+    """
+    offset = F.coalesce(F.try_element_at(_constant_map(OBSOLETE_ZONES), F.upper(word)), word)
+    known = F.when(offset.rlike(r"^[+-]\d{1,4}$"), offset).otherwise(F.lit("+0000"))
 
-    second = F.when(seconds == "", F.lit(0)).otherwise(_int(seconds))
-    local = _local(_once(_int(years), full_year), _month_number(month), _int(day), _int(hour),
-                   _int(minute), second)
-
-    def with_zone(named: Column) -> Column:
-        sign = F.coalesce(F.substring(named, 1, 1), F.when(sign_text == "-", "-").otherwise("+"))
-        digits = F.coalesce(F.substring(named, 2, 4), zone)
-        return F.struct(sign.alias("sign"), _once(digits, _zone_hours).alias("z"))
-
-    named = F.try_element_at(_constant_map(OBSOLETE_ZONES), zone)
-    parts = _once(
-        _once(named, with_zone),
-        lambda p: F.struct(
-            local.alias("local"), p["sign"].alias("sign"),
-            (p["z"]["h"] + F.floor(p["z"]["m"] / 60)).alias("hours"), (p["z"]["m"] % 60).alias("minutes"),
-        ),
-    )
-    return F.when(F.size(g) == 8, _once(parts, _finish))
+    def parts(text: Column) -> Column:
+        digits = F.substring(text, 2, 4)
+        # One digit alone is a number of hours.
+        number = (digits.cast("long") * F.when(F.length(digits) == 1, 100).otherwise(1))
+        minutes = number % 100
+        return F.struct(
+            F.substring(text, 1, 1).alias("sign"), (F.floor(number / 100) + F.floor(minutes / 60)).alias("hours"),
+            (minutes % 60).alias("minutes"),
+        )
+
+    return _once(known, parts)
+
+
+def _rfc5322(words: Column) -> Column:
+    """Date of the words [day-name] day month year time [zone].
+
+    Years of two digits below 50 are 20xx, other years of two or three digits are
+    counted from 1900 (RFC 5322, section 4.3).
+    """
+    named = F.get(words, F.lit(0)).rlike(r"^[A-Za-z]+\.?$")
+
+    def read(own: Column) -> Column:
+        day, month, years, time = [F.get(own, F.lit(i)) for i in range(4)]
+        zone = F.coalesce(F.get(own, F.lit(4)), F.lit("+0000"))
+        clock = F.split(time, "[:.]")
+        year = _int(F.when(years.rlike(r"^\d{2,4}$"), years))
+        full = F.when(F.length(years) > 3, year).otherwise(
+            year + F.when((F.length(years) == 2) & (year < 50), 2000).otherwise(1900)
+        )
+        second = F.when(F.size(clock) == 2, F.lit(0)).otherwise(_int(F.get(clock, F.lit(2))))
+        local = _local(full, _month_number(month), _int(day), _int(F.get(clock, F.lit(0))),
+                       _int(F.get(clock, F.lit(1))), second)
+        return _once(_zone(zone), lambda z: _once(F.struct(
+            local.alias("local"), z["sign"].alias("sign"), z["hours"].alias("hours"), z["minutes"].alias("minutes")
+        ), _finish))
+
+    return _once(F.when(named, F.slice(words, 2, F.size(words))).otherwise(words), read)
 
 
 def _iso(g: Column) -> Column:
@@ -148,7 +156,7 @@ def _iso(g: Column) -> Column:
 def parse_date(text: Column) -> Column:
     """`struct(epoch, zone)` of a Date header value, or null."""
     return F.coalesce(
-        _once(_groups(text, DATE_PATTERN, 8), _rfc822), _once(_groups(text, ISO_PATTERN, 7), _iso)
+        _once(_words(text), _rfc5322), _once(_groups(text, ISO_PATTERN, 7), _iso)
     )
 
 
@@ -163,9 +171,9 @@ def date_of(values: Column) -> Column:
 
 
 def received_of(values: Column) -> Column:
-    """First parsable date inside the Received headers."""
+    """First parsable date of the Received headers: what stands after the last `;`."""
     return _first_parsed(
-        values, lambda v: parse_date(F.regexp_extract(v, RECEIVED_PATTERN, 1))
+        values, lambda v: parse_date(F.when(F.contains(v, F.lit(";")), F.substring_index(v, ";", -1)))
     )
 
 

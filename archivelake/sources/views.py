@@ -232,7 +232,8 @@ def patch_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(
         F.lit("Please review.\n---\n "), name, F.lit(" | 2 +-\n\ndiff --git a/"), name,
         F.lit(" b/"), name, F.lit("\nindex "), pre, F.lit(".."), blob(v), F.lit(" 100644\n--- a/"),
-        name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1,2 +1,2 @@ section\n keep\n-old v"),
+        name, F.lit("\n+++ b/"), name, F.lit("\n@@ -1,2 +1,"),
+        (F.regexp_count("text", F.lit("\n")) + 2).cast("string"), F.lit(" @@ section\n keep\n-old v"),
         v.cast("string"), F.lit("\n+"), F.replace("text", F.lit("\n"), F.lit("\n+")),
         F.lit("\n-- \n2.30.0\n"),
     )
