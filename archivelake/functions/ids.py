@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Longest Message-ID kept, longest id left uncompressed, and
-# words typed by mistake at an In-Reply-To prompt.
-MID_MAX = 244
+# Longest id left uncompressed, and words typed by mistake at an
+# In-Reply-To prompt.
 ID_MAX = 40
 NOT_REFERENCES = ["y", "n"]
 
 BRACKETED = r"<([^>]+)>"
 
 
-def _strip_and_cut(ids: Column) -> Column:
-    return F.transform(
-        ids, lambda x: F.substring(F.translate(x, "\n\t\r", ""), 1, MID_MAX)
-    )
+def _unfolded(ids: Column) -> Column:
+    return F.transform(ids, lambda x: F.translate(x, "\n\t\r", ""))
 
 
 def bracketed(value: Column) -> Column:
@@ -31,23 +28,20 @@ def message_ids(values: Column) -> Column:
         values,
         lambda v: F.when(F.size(bracketed(v)) > 0, bracketed(v)).otherwise(F.array(v)),
     )
-    return F.array_distinct(_strip_and_cut(F.flatten(per_value)))
+    return F.array_distinct(_unfolded(F.flatten(per_value)))
 
 
 def references(references: Column, in_reply_to: Column, addresses: Column) -> Column:
     """References ids then In-Reply-To ids, without mail addresses."""
     found = F.flatten(F.transform(F.concat(references, in_reply_to), bracketed))
     banned = F.concat(addresses, F.array(*[F.lit(x) for x in NOT_REFERENCES]))
-    return F.array_except(_strip_and_cut(found), banned)
+    return F.array_except(_unfolded(found), banned)
 
 
 def clean_references(refs: Column, mids: Column, mid: Column) -> Column:
     """Add the other own ids when there are several, drop the message's own id."""
     extra = F.when(F.size(mids) > 1, mids).otherwise(F.array().cast("array<string>"))
-    kept = F.filter(
-        F.concat(refs, extra), lambda r: (r != mid) & (F.length(r) <= MID_MAX)
-    )
-    return F.array_distinct(kept)
+    return F.array_distinct(F.filter(F.concat(refs, extra), lambda r: r != mid))
 
 
 def in_reply_to(refs: Column) -> Column:

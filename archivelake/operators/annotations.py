@@ -10,7 +10,6 @@ from archivelake.sources.files import MAILDIR_KEYWORDS, flag_keywords
 
 # System keywords and the rule for label names.
 KEYWORDS = ["seen", "answered", "flagged", "draft", "forwarded", "phishing", "junk", "notjunk"]
-LABEL_MAX = 244
 LABEL_PATTERN = r"^[a-z0-9_](?:[a-z0-9_\-./@,]*[a-z0-9])?$"
 
 
@@ -27,7 +26,7 @@ def valid_keywords(names: Column) -> Column:
 
 
 def valid_labels(names: Column) -> Column:
-    return F.filter(names, lambda n: (F.length(n) < LABEL_MAX) & n.rlike(LABEL_PATTERN))
+    return F.filter(names, lambda n: n.rlike(LABEL_PATTERN))
 
 
 def _per_doc(changes: DataFrame, columns: list[str]) -> DataFrame:
@@ -148,6 +147,14 @@ def blob_folders(locations: DataFrame) -> DataFrame:
     )
 
 
+def blob_places(locations: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Every (oid, folder, uid, name) where a blob lies: of all blobs or the wanted ones."""
+    places = locations.select("oid", "folder", "uid", "name").distinct()
+    if wanted is None:
+        return places
+    return salted_lookup(places, wanted.select("oid").distinct(), ["oid"], ["folder", "uid", "name"], "left_semi")
+
+
 def blob_names(locations: DataFrame, folders: DataFrame) -> DataFrame:
     """File-named places with their folder path, even when the folder is gone."""
     named = locations.where("name is not null")

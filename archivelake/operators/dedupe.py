@@ -24,19 +24,23 @@ def dedupe_key(strategy: str) -> Column:
 
 
 def dedupe(
-    messages: DataFrame, strategy: str = "content", order: str = "num", row_id: str = "num"
+    messages: DataFrame, strategy: str = "content", order: str = "num",
+    row_id: tuple[str, ...] = ("inbox", "num"),
 ) -> DataFrame:
-    """First message of each key by arrival order; rows without a key stay."""
+    """First message of each key by arrival order; rows without a key stay.
+
+    `row_id` names a row: article numbers are unique within an inbox only.
+    """
     if strategy == "none":
         return messages
     keyed = messages.withColumn("_key", dedupe_key(strategy))
-    first = keep_first(keyed.where("_key is not null"), ["_key"], [order], row_id)
+    first = keep_first(keyed.where("_key is not null"), ["_key"], [order], list(row_id))
     return first.unionByName(keyed.where("_key is null")).drop("_key")
 
 
 def dedupe_against(
     new: DataFrame, existing: DataFrame, strategy: str = "content", order: str = "num",
-    row_id: str = "num",
+    row_id: tuple[str, ...] = ("inbox", "num"),
 ) -> DataFrame:
     """New messages whose key neither an earlier one nor `existing` has."""
     if strategy == "none":
@@ -230,25 +234,27 @@ def global_numbers(df: DataFrame, order: str, ties: list[str], width: int = 50_0
 def difference_report(inputs: DataFrame, baseline: DataFrame) -> DataFrame:
     """Components in which messages differ from their baseline.
 
-    Both have (group, component, value); `inputs` also has `docid`. Rows say
-    `changed`, `added` or `removed`.
+    Both have (group, component, value); `inputs` also has `docid`. Rows say `changed`,
+    `added` or `removed`. A component that comes more than once is compared as the set
+    of its values; a message whose group has no baseline is left out.
     """
+
+    def summed(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return rows.groupBy(*keys, "component").agg(F.array_sort(F.collect_set("value")).alias(name))
+
+    base = summed(baseline, ["group"], "_base")
+    mine = summed(inputs, ["group", "docid"], "_mine")
     members = inputs.select("group", "docid").distinct()
-    expected = salted_lookup(
-        members.withColumn("_j", F.col("group")), baseline.groupBy("group").agg(
-            F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("base")
-        ), ["group"], spread_on="docid",
-    ).select("group", "docid", "base")
-    mine = inputs.groupBy("group", "docid").agg(
-        F.map_from_entries(F.collect_list(F.struct("component", "value"))).alias("mine")
+    # Groups may be large, so members meet the baseline's components by (group, salt).
+    components = base.groupBy("group").agg(F.collect_list(F.struct("component", "_base")).alias("_all"))
+    expected = salted_lookup(members, components, ["group"], spread_on="docid").select(
+        "group", "docid", F.inline("_all")
+    )
+    known = baseline.select("group").distinct()
+    found = salted_lookup(mine, known, ["group"], spread_on="docid", how="left_semi")
+    both = expected.join(found, ["group", "docid", "component"], "full_outer")
+    difference = (
+        F.when(F.col("_base").isNull(), "added").when(F.col("_mine").isNull(), "removed")
+        .when(F.col("_base") != F.col("_mine"), "changed")
     )
-    both = expected.join(mine, ["group", "docid"])
-    names = F.array_sort(F.array_union(F.map_keys("base"), F.map_keys("mine")))
-    rows = both.select("group", "docid", "base", "mine", F.explode(names).alias("component"))
-    old = F.try_element_at("base", F.col("component"))
-    new = F.try_element_at("mine", F.col("component"))
-    return rows.select(
-        "group", "docid", "component",
-        F.when(old.isNull(), "added").when(new.isNull(), "removed")
-        .when(old != new, "changed").alias("difference"),
-    ).where("difference is not null")
+    return both.select("group", "docid", "component", difference.alias("difference")).where("difference is not null")

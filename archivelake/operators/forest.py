@@ -24,7 +24,7 @@ from archivelake.operators.skew import keep_first, salted_lookup
 from archivelake.session import durable, durable_count
 
 HOUR = 3_600
-_REAL = 1 << 20  # sorts a message after the ghosts first named at its time
+_REAL = 1 << 40  # sorts a message after the ghosts first named at its time
 
 
 def _holders(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -237,6 +237,8 @@ def _sort_times(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
             ),
             F.col("jump").isNotNull(),
         )
+    if left:
+        raise RuntimeError(f"runs of ghosts did not fold in {max_rounds} rounds")
     keyed = nodes.join(state.select("node", F.col("key").alias("_k")), "node", "left")
     return keyed.withColumn("key", F.coalesce("ds", "_k")).drop("_k")
 

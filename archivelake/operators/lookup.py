@@ -154,16 +154,34 @@ def reply_recipients(messages: DataFrame, policy: Column, list_address: Column)
     return messages.withColumn("reply_to", to).withColumn("reply_cc", cc)
 
 
-def inspect(message_mid: str, messages: DataFrame, xref: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Everything known about one id, as one JSON text per document.
-
-    Copies are counted, not listed: a message may have any number of them.
+def inspect(
+    messages: DataFrame, xref: DataFrame, annotations: DataFrame, mid: str | None = None, oid: str | None = None,
+    inbox: str | None = None, num: int | None = None, folder: str | None = None, locations: DataFrame | None = None,
+) -> DataFrame:
+    """Everything known about the messages named, as one JSON text per document.
+
+    Named by message id, by blob, by inbox and number, or by a folder that `locations`
+    (oid, folder) records. Copies are counted, not listed: a message may have any number
+    of them. The few documents are found first; the other tables are filtered by them.
     """
-    docs = messages.where(F.col("mid") == message_mid)
-    places = xref.groupBy("docid").agg(
+    if mid is not None:
+        docs = messages.where(F.col("mid") == mid)
+    else:
+        rows = xref
+        if oid is not None:
+            rows = rows.where(F.col("oid") == oid)
+        elif folder is not None:
+            here = locations.where(F.col("folder") == folder).select("oid").distinct()
+            rows = rows.join(here, "oid", "left_semi")
+        else:
+            rows = rows.where((F.col("inbox") == inbox) & (F.col("xnum") == num))
+        docs = messages.join(rows.select("docid").distinct(), "docid", "left_semi")
+    ids = docs.select("docid").distinct()
+    places = xref.join(ids, "docid", "left_semi").groupBy("docid").agg(
         F.count("*").alias("copies"), F.min(F.struct("inbox", "xnum")).alias("first_copy")
     )
-    joined = docs.join(places, "docid", "left").join(annotations, "docid", "left")
+    noted = annotations.join(ids, "docid", "left_semi")
+    joined = docs.join(places, "docid", "left").join(noted, "docid", "left")
     return joined.select(
         "docid",
         F.to_json(F.struct("mid", "subject", "ds", "ts", "bytes", "copies", "first_copy", "kw", "labels")).alias("json"),

@@ -42,9 +42,20 @@ def peer_counts(xref: DataFrame) -> DataFrame:
 
 
 def locations(xref: DataFrame, max_listed: int | None = None) -> DataFrame:
-    """Distinct (docid, inbox, xnum) locations, one row each."""
+    """Distinct (docid, inbox, xnum) locations, one row each: all, or the first few."""
     rows = xref.select("docid", "inbox", "xnum").distinct()
-    return rows if max_listed is None else rows.limit(max_listed)
+    return rows if max_listed is None else rows.orderBy("docid", "inbox", "xnum").limit(max_listed)
+
+
+def peers_of(wanted: DataFrame, xref: DataFrame) -> DataFrame:
+    """Every copy that other inboxes hold of the wanted copies, one row each.
+
+    `wanted` has (docid, inbox, xnum); rows add peer_inbox and peer_xnum. Meant for
+    chosen copies: all copies of all documents at once would be paired with each other.
+    """
+    asked = wanted.select("docid", "inbox", "xnum").distinct()
+    held = xref.select("docid", F.col("inbox").alias("peer_inbox"), F.col("xnum").alias("peer_xnum")).distinct()
+    return asked.join(held, "docid").where("inbox <> peer_inbox")
 
 
 def locations_of(message_ids: DataFrame, xref: DataFrame) -> DataFrame:

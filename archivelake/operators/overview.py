@@ -14,13 +14,16 @@ from archivelake.operators.skew import keep_first, salted_lookup
 SLICE = 50_000  # fixed value: article numbers per mailbox slice
 
 
-def number_range(msgs: DataFrame, first: int, last: int, limit: int = 1000) -> DataFrame:
-    return msgs.where(F.col("num").between(first, last)).orderBy("num").limit(limit)
+def number_range(msgs: DataFrame, first: int, last: int, limit: int | None = None) -> DataFrame:
+    """Messages of a number range in order: all, or the first `limit`."""
+    found = msgs.where(F.col("num").between(first, last)).orderBy("num")
+    return found if limit is None else found.limit(limit)
 
 
-def after_number(msgs: DataFrame, num: int, limit: int = 1000) -> DataFrame:
-    """Next page after a number (keyset pagination)."""
-    return msgs.where(F.col("num") > num).orderBy("num").limit(limit)
+def after_number(msgs: DataFrame, num: int, limit: int | None = None) -> DataFrame:
+    """What follows a number: all, or the next page of `limit` (keyset pagination)."""
+    found = msgs.where(F.col("num") > num).orderBy("num")
+    return found if limit is None else found.limit(limit)
 
 
 def by_numbers(msgs: DataFrame, wanted: DataFrame) -> DataFrame:

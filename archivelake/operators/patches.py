@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,33 +29,63 @@ def changed_files(messages: DataFrame, text: str = "body") -> DataFrame:
     )
 
 
+def full_ids(named: DataFrame) -> DataFrame:
+    """(oid, full, ambiguous) of every distinct id of (oid).
+
+    An id may be written short. It stands for the one longer id that begins with it, or
+    for itself if there is none; `full` is null and `ambiguous` true if several unlike
+    ones do. Ids are only compared at the lengths that occur, of which there are few.
+    """
+    every = durable(named.where(F.length("oid") >= SHORTEST).select("oid").distinct())
+    sizes = sorted(r.n for r in every.select(F.length("oid").alias("n")).distinct().collect())
+    cut = [F.when(F.length("oid") > n, F.substring("oid", 1, n)) for n in sizes] or [F.lit(None).cast("string")]
+    begins = every.select("oid", F.explode(F.array_compact(F.array(*cut))).alias("short"))
+    longest = every.join(begins.select(F.col("short").alias("oid")).distinct(), "oid", "left_anti")
+    meant = (
+        begins.join(longest, "oid", "left_semi").groupBy(F.col("short").alias("oid"))
+        .agg(F.count("*").alias("n"), F.min("oid").alias("one"))
+    )
+    joined = every.join(meant, "oid", "left")
+    return joined.select(
+        "oid", F.when(F.coalesce("n", F.lit(1)) == 1, F.coalesce("one", "oid")).alias("full"),
+        (F.coalesce("n", F.lit(1)) > 1).alias("ambiguous"),
+    )
+
+
 def lineage(edges: DataFrame, wanted: DataFrame, known: DataFrame | None = None,
-            max_rounds: int = 16) -> DataFrame:
+            max_rounds: int = 60) -> DataFrame:
     """Patches from each wanted blob back to a null or known blob.
 
-    Returns (want, step, blob, pre, docid). Ids are matched by their first seven
-    digits and then by the longer one starting with the shorter. Of several
-    patches making one blob, the latest is followed. Steps are enumerated by
-    doubling: after round k every step below 2^k is there, so a long history
-    takes few rounds; a loop ends where it meets a blob again, and no history is
-    followed past 2^14 steps.
+    Returns (want, step, blob, pre, docid, ambiguous). Blobs are compared by their full
+    ids; short ones are resolved first (`full_ids`). A history ends with `ambiguous` set
+    where a patch changes a blob whose short id fits several. Of several patches making
+    one blob, the latest is followed. Steps are enumerated by doubling: after round k
+    every step below 2^k is there, so a long history takes few rounds; a loop ends where
+    it meets a blob again.
     """
-    short = F.substring("post", 1, SHORTEST)
     usable = edges.where(
         ~F.col("post").rlike(ZERO) & (F.length("post") >= SHORTEST) & (F.col("post") != F.col("pre"))
     )
-    newest = usable.groupBy(short.alias("blob")).agg(
-        F.max(F.struct("ts", "docid", "pre", "post")).alias("e")
-    )
+    ids = [usable.select(F.col("post").alias("oid")), usable.where(~F.col("pre").rlike(ZERO)).select(F.col("pre").alias("oid")),
+           wanted.select("oid")] + ([] if known is None else [known.select("oid")])
+    resolved = durable(full_ids(reduce(DataFrame.union, ids)))
+    post = resolved.where("full is not null").select(F.col("oid").alias("post"), F.col("full").alias("blob"))
+    pre = resolved.select(F.col("oid").alias("pre"), F.col("full").alias("jump"), "ambiguous")
+    newest = salted_lookup(usable.select("ts", "docid", "pre", "post"), post, ["post"], spread_on="docid").groupBy("blob").agg(
+        F.max(F.struct("ts", "docid", "pre")).alias("e")
+    ).select("blob", F.col("e.docid").alias("docid"), F.col("e.pre").alias("pre"))
     if known is not None:
-        stop = known.select(F.substring("oid", 1, SHORTEST).alias("blob")).distinct()
+        stop = salted_lookup(
+            known.select("oid"), resolved.where("full is not null").select("oid", "full"), ["oid"], spread_on="oid"
+        ).select(F.col("full").alias("blob")).distinct()
         newest = newest.join(stop, "blob", "left_anti")
-    hop = durable(newest.select(
-        "blob", F.col("e.docid").alias("docid"), F.col("e.pre").alias("pre"), F.col("e.post").alias("post"),
-        F.when(~F.col("e.pre").rlike(ZERO), F.substring("e.pre", 1, SHORTEST)).alias("jump"),
+    hop = durable(salted_lookup(newest, pre, ["pre"], spread_on="blob", how="left").select(
+        "blob", "docid", "pre", "jump", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous")
     ))
     jumps = durable(hop.select("blob", "jump").where("jump is not null"))
-    start = wanted.select(F.col("oid").alias("want"), F.substring("oid", 1, SHORTEST).alias("blob")).distinct()
+    start = wanted.select("oid").distinct().join(resolved.where("full is not null"), "oid").select(
+        F.col("oid").alias("want"), F.col("full").alias("blob")
+    )
     chain, size = durable_count(start.withColumn("step", F.lit(0)), F.lit(True))
     for k in range(max_rounds):
         further = salted_lookup(chain, jumps, ["blob"], spread_on="want").select(
@@ -66,9 +98,10 @@ def lineage(edges: DataFrame, wanted: DataFrame, known: DataFrame | None = None,
             break
         second = jumps.select(F.col("blob").alias("jump"), F.col("jump").alias("next"))
         jumps = durable(jumps.join(second, "jump").select("blob", F.col("next").alias("jump")))
+    else:
+        raise RuntimeError(f"histories did not end in {max_rounds} doublings")
     found = salted_lookup(chain, hop, ["blob"], spread_on="want")
-    agrees = (F.col("step") > 0) | F.col("post").startswith(F.col("want")) | F.col("want").startswith(F.col("post"))
-    return found.where(agrees).select("want", "step", "blob", "pre", "docid")
+    return found.select("want", "step", "blob", "pre", "docid", "ambiguous")
 
 
 def patch_terms(messages: DataFrame, text: str = "body") -> DataFrame:
@@ -85,17 +118,20 @@ def patch_terms(messages: DataFrame, text: str = "body") -> DataFrame:
     ).where("field is not null and term <> ''").distinct()
 
 
-def similar_patches(features: DataFrame, probe: int, want: list[str] | None = None,
-                    shortest: int = SHORTEST) -> DataFrame:
+def similar_patches(features: DataFrame, probe: int, want: list[str] | None = None) -> DataFrame:
     """Messages sharing features with one patch, by how many they share.
 
-    Blob ids count as shared when the first `shortest` digits agree.
+    Blob ids are compared in full, short ones once resolved; a short id that fits
+    several is shared with none.
     """
-    fields = want or ["dfpost"]
+    chosen = features.where(F.col("field").isin(want or ["dfpost"])).select("docid", "field", "term").distinct()
     blob = F.col("field").isin("dfpre", "dfpost")
-    keyed = features.where(F.col("field").isin(fields)).withColumn(
-        "term", F.when(blob, F.substring("term", 1, shortest)).otherwise(F.col("term"))
-    ).distinct()
+    blobs = chosen.where(blob)
+    resolved = full_ids(blobs.select(F.col("term").alias("oid"))).where("full is not null").select(
+        F.col("oid").alias("term"), "full"
+    )
+    named = salted_lookup(blobs, resolved, ["term"], spread_on="docid").select("docid", "field", F.col("full").alias("term"))
+    keyed = chosen.where(~blob).unionByName(named).distinct()
     mine = keyed.where(F.col("docid") == probe).select("field", "term")
     return (
         salted_lookup(keyed.where(F.col("docid") != probe), mine, ["field", "term"], "docid", "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from archivelake.functions import addresses, dates, headers
 from archivelake.operators.overview import wildmat_regex
 
-# Size limit, rejected file suffixes and content types.
+# Default size limit, rejected file suffixes and content types.
 DELIVERY_MAX = 500 * 1024
 REJECT_SUFFIXES = ["exe", "bat", "cmd", "com", "pif", "scr", "vbs", "cpl", "zip", "swf", "swfl"]
 REJECT_TYPES = {
@@ -21,8 +21,13 @@ REJECT_TYPES = {
 }
 
 
-def delivery_reasons(hdr: Column, raw: Column, our_addresses: list[str]) -> Column:
-    """Reasons to turn a message away; empty when it may be delivered."""
+def delivery_reasons(
+    hdr: Column, raw: Column, our_addresses: list[str], max_bytes: int | None = DELIVERY_MAX
+) -> Column:
+    """Reasons to turn a message away; empty when it may be delivered.
+
+    `max_bytes` is the largest message taken; None takes any size.
+    """
     mids = headers.values(hdr, "message-id")
     mid = F.get(mids, F.lit(0))
     ours = [a.lower().split("@")[0].split("+")[0] + "@" + a.lower().split("@")[1] for a in our_addresses]
@@ -31,11 +36,11 @@ def delivery_reasons(hdr: Column, raw: Column, our_addresses: list[str]) -> Colu
     )
     named = F.exists(people, lambda a: addresses.without_plus(a).isin(ours))
     checks = [
-        ("message id", (F.size(mids) != 1) | (F.length(mid) > 244) | (F.length(mid) < 5) | ~F.contains(mid, F.lit("@"))),
+        ("message id", (F.size(mids) != 1) | (F.length(mid) < 5) | ~F.contains(mid, F.lit("@"))),
         ("from", F.length(F.coalesce(headers.first(hdr, "from"), F.lit(""))) < 3),
         ("subject", F.length(F.coalesce(headers.first(hdr, "subject"), F.lit(""))) < 2),
         ("date", dates.parse_date(headers.first(hdr, "date")).isNull()),
-        ("size", F.octet_length(raw) > DELIVERY_MAX),
+        ("size", F.lit(False) if max_bytes is None else F.octet_length(raw) > max_bytes),
         ("recipient", ~named),
     ]
     return F.array_compact(

@@ -177,12 +177,7 @@ def distinct_terms(postings: DataFrame, field: str) -> DataFrame:
     return postings.where(F.col("field") == field).select("term").distinct().orderBy("term")
 
 
-def expand_prefix(postings: DataFrame, prefix: str, fields: list[str], cap: int = 100) -> list[str]:
-    """Terms a trailing wildcard stands for; more than `cap` is an error."""
-    found = (
-        postings.where(F.col("field").isin(fields) & F.col("term").startswith(prefix))
-        .select("term").distinct().limit(cap + 1).collect()
-    )
-    if len(found) > cap:
-        raise ValueError(f"wildcard {prefix}* stands for more than {cap} terms")
-    return sorted(r.term for r in found)
+def expand_prefix(postings: DataFrame, prefix: str, fields: list[str]) -> DataFrame:
+    """Distinct terms a trailing wildcard stands for."""
+    found = postings.where(F.col("field").isin(fields) & F.col("term").startswith(prefix))
+    return found.select("term").distinct()

@@ -165,6 +165,10 @@ def label(name: str) -> Where:
     return Where(F.array_contains("labels", name))
 
 
+#: Conditions per bit column.
+BITS = 62
+
+
 def _leaves(p: Predicate) -> list[Predicate]:
     if isinstance(p, (And, Or)):
         return [x for i in p.items for x in _leaves(i)]
@@ -191,8 +195,9 @@ def _condition(p: Predicate, bits: dict[Predicate, int]) -> Column:
         return reduce(or_, [_condition(i, bits) for i in p.items])
     if isinstance(p, Not):
         return ~_condition(p.item, bits)
-    mask = F.coalesce(F.col("_bits"), F.lit(0))
-    return mask.bitwiseAND(F.lit(1 << bits[p])) != 0
+    word, bit = divmod(bits[p], BITS)
+    mask = F.coalesce(F.col(f"_bits{word}"), F.lit(0))
+    return mask.bitwiseAND(F.lit(1 << bit)) != 0
 
 
 def phrase_docs(postings: DataFrame, words: tuple[str, ...], fields: list[str]) -> DataFrame:
@@ -220,38 +225,39 @@ def phrase_docs(postings: DataFrame, words: tuple[str, ...], fields: list[str])
 def search(postings: DataFrame, docs: DataFrame, predicate: Predicate) -> DataFrame:
     """Documents that satisfy the predicate, with all their columns."""
     leaves = list(dict.fromkeys(_leaves(predicate)))
-    if len(leaves) > 62:
-        raise ValueError("more than 62 text conditions in one search")
     if not leaves:
         return docs.where(_condition(predicate, {}))
     bits = {leaf: i for i, leaf in enumerate(leaves)}
+    columns = [f"_bits{w}" for w in range(-(-len(leaves) // BITS))]
+
+    def masks(set_when: list[tuple[Column, int]]) -> list[Column]:
+        """One column per BITS conditions, with the bits of those that hold."""
+        out = []
+        for w, name in enumerate(columns):
+            own = [F.when(t, F.lit(1 << i % BITS)).otherwise(F.lit(0)).cast("bigint") for t, i in set_when if i // BITS == w]
+            out.append(reduce(lambda a, b: a + b, own, F.lit(0).cast("bigint")).alias(name))
+        return out
+
     tests, sets = [], []
     for leaf, i in bits.items():
         fields = FIELDS.get(leaf.field, [leaf.field])
         here = F.col("field").isin(fields)
         if isinstance(leaf, Phrase):
-            sets.append(phrase_docs(postings, leaf.words, fields).select(
-                "docid", F.lit(1 << i).cast("bigint").alias("_bits")))
+            sets.append(phrase_docs(postings, leaf.words, fields).select("docid", *masks([(F.lit(True), i)])))
             continue
         if isinstance(leaf, Prefix):
-            match = F.col("term").isin(expand_prefix(postings, leaf.prefix, fields))
+            match = F.col("term").startswith(leaf.prefix)
         elif isinstance(leaf, Stem):
             match = F.col("stem") == stem(leaf.word.lower())
         else:
             match = F.col("term") == leaf.term
-        tests.append((here & match, 1 << i))
+        tests.append((here & match, i))
     if tests:
         any_of = reduce(or_, [t for t, _ in tests])
-        mask = reduce(
-            lambda a, b: a + b,
-            [F.when(t, F.lit(bit)).otherwise(F.lit(0)).cast("bigint") for t, bit in tests],
-        )
-        sets.insert(0, postings.where(any_of).select("docid", mask.alias("_bits")))
-    hits = reduce(DataFrame.unionByName, sets).groupBy("docid").agg(
-        F.bit_or("_bits").alias("_bits")
-    )
+        sets.insert(0, postings.where(any_of).select("docid", *masks(tests)))
+    hits = reduce(DataFrame.unionByName, sets).groupBy("docid").agg(*[F.bit_or(c).alias(c) for c in columns])
     how = "inner" if _needs_text(predicate) else "left"
-    return docs.join(hits, "docid", how).where(_condition(predicate, bits)).drop("_bits")
+    return docs.join(hits, "docid", how).where(_condition(predicate, bits)).drop(*columns)
 
 
 def in_inbox(docs: DataFrame, xref: DataFrame, inbox: str, low: int | None = None,

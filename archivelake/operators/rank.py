@@ -47,30 +47,24 @@ def percent_bounds(page: DataFrame) -> DataFrame:
     return page.agg(F.min("pct").alias("min_pct"), F.max("pct").alias("max_pct"))
 
 
-def sort_order(relevance: int = 0, ascending: bool = False) -> list[Column]:
-    """Sort columns: 0 received time, >0 score, -1 docid up, -2 docid down."""
-    ts = F.asc("ts") if ascending else F.desc("ts")
-    if relevance == -2:
-        return [F.desc("docid")]
-    if relevance == -1:
-        return [F.asc("docid")]
-    if relevance == 0:
-        return [ts, F.desc("score"), F.asc("docid")]
-    return [F.desc("score"), ts, F.asc("docid")]
+#: One sort column: name, and whether it ascends.
+SortColumn = tuple[str, bool]
 
 
-def page(hits: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page; a negative offset pages from the other end."""
-    if offset < 0:
-        turned = [_reversed(c) for c in order]
-        return hits.orderBy(*turned).offset(-offset - 1).limit(limit)
-    return hits.orderBy(*order).offset(offset).limit(limit)
+def sort_order(relevance: int = 0, ascending: bool = False) -> list[SortColumn]:
+    """Sort columns: 0 received time, >0 score, -1 docid up, -2 docid down."""
+    if relevance < 0:
+        return [("docid", relevance == -1)]
+    if relevance == 0:
+        return [("ts", ascending), ("score", False), ("docid", True)]
+    return [("score", False), ("ts", ascending), ("docid", True)]
 
 
-def _reversed(order: Column) -> Column:
-    text = order._jc.toString() if hasattr(order, "_jc") else str(order)
-    name = text.split(" ")[0]
-    return F.asc(name) if " DESC" in text else F.desc(name)
+def page(hits: DataFrame, order: list[SortColumn], limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page; a negative offset pages from the other end. Nulls come last either way."""
+    back = offset < 0
+    columns = [F.col(n).asc_nulls_last() if up != back else F.col(n).desc_nulls_last() for n, up in order]
+    return hits.orderBy(*columns).offset(-offset - 1 if back else offset).limit(limit)
 
 
 def collapse_threads(hits: DataFrame) -> DataFrame:

@@ -67,14 +67,15 @@ def keep_first(
 ) -> DataFrame:
     """The first row of every key by `order`; ties are settled by `row_id`.
 
-    The winner is found with a partially aggregated minimum and kept with a
-    semi join on the unique row id, so copies of one key are never gathered.
+    The winner is found with a partially aggregated minimum and kept with a semi join
+    on key and row id, so copies of one key are never gathered and a row id that comes
+    again under another key does not save its row. Rows with a null key or id go.
     """
     ids = [row_id] if isinstance(row_id, str) else row_id
     names = list(dict.fromkeys([*order, *ids]))
     if len(names) == 1:  # a plain minimum stays in a hash aggregate
-        winners = df.groupBy(*keys).agg(F.min(names[0]).alias(names[0])).select(names[0])
+        winners = df.groupBy(*keys).agg(F.min(names[0]).alias(names[0]))
     else:
         best = df.groupBy(*keys).agg(F.min(F.struct(*names)).alias("_best"))
-        winners = best.select(*[F.col("_best")[i].alias(i) for i in ids])
-    return df.join(winners, ids, "left_semi")
+        winners = best.select(*keys, *[F.col("_best")[i].alias(i) for i in ids if i not in keys])
+    return df.join(winners, list(dict.fromkeys([*keys, *ids])), "left_semi")

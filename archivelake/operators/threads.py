@@ -165,40 +165,27 @@ def expand_to_threads(hits: DataFrame, threaded: DataFrame) -> DataFrame:
     )
 
 
-def loose_thread(threaded: DataFrame, mid: str, limit: int = 1000) -> DataFrame:
+def loose_thread(threaded: DataFrame, mid: str, limit: int | None = None) -> DataFrame:
     """Strict matches by sent time, then same-subject ones newest first.
 
-    `total` counts both kinds before the limit; a message without a subject has
-    no loose matches.
+    `total` counts both kinds. A message without a subject has no loose matches. With a
+    `limit` strict matches are never cut and loose ones fill up to it.
     """
     seed = (
         threaded.where(F.array_contains("mids", mid))
         .groupBy()
         .agg(F.min(F.struct("docid", "tid", "sid")).alias("s"))
-        .select(F.col("s.tid").alias("w_tid"), F.col("s.sid").alias("w_sid"))
+        .select(F.col("s.tid").alias("tid"), F.col("s.sid").alias("sid"))
     )
-    # One row, found by id: a broadcast filter, not a growing side.
-    same = (F.col("tid") == F.col("w_tid")) | (F.col("sid") == F.col("w_sid"))
-    found = threaded.join(F.broadcast(seed), same).withColumn(
-        "loose", F.col("tid") != F.col("w_tid")
-    ).drop("w_tid", "w_sid")
+    # One row, found by id: broadcast filters, not growing sides.
+    strict = threaded.join(F.broadcast(seed.select("tid")), "tid").withColumn("loose", F.lit(False))
+    same = threaded.join(F.broadcast(seed.select("sid", F.col("tid").alias("_tid"))), "sid").where("tid <> _tid")
+    loose = same.drop("_tid").withColumn("loose", F.lit(True)).select(*strict.columns)
+    found = strict.unionByName(loose)
     total = found.groupBy().agg(F.count("*").alias("total"))
-    strict = found.where(~F.col("loose"))
     place = F.when(F.col("loose"), -F.col("ds")).otherwise(F.col("ds"))
-    ranked = found.withColumn("place", place).orderBy("loose", "place", "docid")
-    # Strict matches are never cut; loose ones fill up to the limit.
-    room = strict.groupBy().agg((F.lit(limit) - F.count("*")).alias("room"))
-    loose = ranked.where("loose").limit(limit).select("docid", "place")
-    from pyspark.sql import Window
-
-    numbered = loose.withColumn(
-        "rn", F.row_number().over(Window.orderBy("place", "docid"))
-    )
-    kept_loose = numbered.join(F.broadcast(room), F.col("rn") <= F.col("room")).select("docid")
-    kept = strict.select("docid").union(kept_loose)
-    return (
-        found.join(kept, "docid", "left_semi")
-        .join(F.broadcast(total))
-        .withColumn("place", place)
-        .orderBy("loose", "place", "docid")
-    )
+    shown = found
+    if limit is not None:
+        room = max(0, limit - strict.count())
+        shown = strict.unionByName(loose.orderBy(F.desc("ds"), "docid").limit(room))
+    return shown.join(F.broadcast(total)).withColumn("place", place).orderBy("loose", "place", "docid")

@@ -91,7 +91,7 @@ def insert_or_replace(spark, d):
 @query("arrival_verdicts", """
     WITH a AS (SELECT num AS seq, content_hash, ds, 'k' || (num % 37) AS m1, 'alt' || num AS m2, num % 2 AS two FROM doc_posts
         WHERE num % 3 = 0),
-      s AS (SELECT DISTINCT 'k' || (num % 37) AS mid, content_hash FROM doc_posts WHERE num % 3 <> 0 AND num % 37 < 20),
+      s AS (SELECT DISTINCT 'k' || (num % 20) AS mid, content_hash FROM doc_posts WHERE num % 3 <> 0),
       t AS (SELECT DISTINCT mid FROM s), v AS (SELECT a.*, CASE WHEN t.mid IS NULL THEN 'new' WHEN s.mid IS NOT NULL THEN 'duplicate'
         WHEN two = 1 THEN 'other id' ELSE 'generated id' END AS verdict FROM a LEFT JOIN t ON t.mid = m1
         LEFT JOIN s ON s.mid = m1 AND s.content_hash = a.content_hash)
@@ -107,7 +107,9 @@ def arrival_verdicts(spark, d):
         "inbox", F.col("num").alias("seq"), "content_hash", "ds",
         F.when(F.col("num") % 2 == 1, F.array("k", alt)).otherwise(F.array("k")).alias("mids"),
     )
-    stored = p.where("num % 3 <> 0 and num % 37 < 20").select("inbox", F.col("k").alias("mid"), "content_hash")
+    stored = p.where("num % 3 <> 0").select(
+        "inbox", F.concat(F.lit("k"), (F.col("num") % 20).cast("string")).alias("mid"), "content_hash"
+    )
     return dedupe.arrival_verdicts(arriving, stored).select("seq", "verdict", "store_mid")
 
 
@@ -415,7 +417,7 @@ def label_list(spark, d):
       FROM doc_posts WHERE num % 2 = 0 GROUP BY content_hash) p ON a.oid = p.oid""", "doc_posts annotations")
 def external_records(spark, d):
     a = views.annotations(spark, d).withColumn("oid", F.concat(F.lit("x"), F.col("docid").cast("string")))
-    p = dedupe.dedupe(views.doc_posts(spark, d).where("num % 2 = 0"), "content").withColumn(
+    p = dedupe.dedupe(views.doc_posts(spark, d).where("num % 2 = 0"), "content", row_id=("num",)).withColumn(
         "oid", F.concat(F.lit("x"), F.col("num").cast("string")))
     return ann.external_only(a, p).select("oid", "bytes", F.col("imported").cast("int").alias("imported"))
 
@@ -571,16 +573,16 @@ def reply_recipients(spark, d):
 def inspected(spark, d):
     p = views.doc_posts(spark, d)
     x = p.select("docid", "inbox", F.col("num").alias("xnum"))
-    out = lookup.inspect("d7@z", p, x, views.annotations(spark, d))
+    out = lookup.inspect(p, x, views.annotations(spark, d), mid="d7@z")
     j = F.from_json("json", "mid string, bytes bigint, copies bigint")
     return out.select("docid", j["mid"].alias("mid"), j["bytes"].alias("bytes"), j["copies"].alias("copies"))
 
 
 @query("parents_found", """
-    SELECT num, parent AS parent_mid, CASE WHEN parent IN (SELECT mid FROM conv_msgs) THEN 1 ELSE 0 END AS found
-    FROM conv_msgs WHERE parent IS NOT NULL""", "conv_msgs")
+    SELECT num, parent AS parent_mid, CASE WHEN parent IN (SELECT mid FROM gap_msgs) THEN 1 ELSE 0 END AS found
+    FROM gap_msgs WHERE parent IS NOT NULL""", "gap_msgs")
 def parents_found(spark, d):
-    m = views.conv_msgs(spark, d)
+    m = views.gap_msgs(spark, d)
     return lookup.parents_found(m, m.select("mid")).select("num", "parent_mid", F.col("found").cast("int").alias("found"))
 
 
@@ -635,13 +637,18 @@ def filtered_by_inbox(spark, d):
 
 
 @query("message_differences", """
-    SELECT num AS docid, 'subject' AS component, 'changed' AS difference FROM conv_msgs m WHERE turn > 0 AND EXISTS
-      (SELECT 1 FROM conv_msgs b WHERE b.conv_id = m.conv_id AND b.turn = 0 AND b.subject <> m.subject)""", "conv_msgs")
+    WITH m AS (SELECT r.conv_id, r.turn, r.num, r."from", r.subject, r.ds, r.cc, len(r.refs) AS n_refs,
+        regexp_replace(b.body, '\\s+$', '') AS body FROM conv_msgs r JOIN bodies b ON b.conv_id = r.conv_id AND b.turn = r.turn),
+      p AS (SELECT x.num AS docid, unnest([
+        CASE WHEN x."from" <> y."from" THEN 'from' END, CASE WHEN x.subject <> y.subject THEN 'subject' END,
+        CASE WHEN x.ds <> y.ds THEN 'date' END, CASE WHEN x.cc IS NOT NULL THEN 'cc' END,
+        CASE WHEN x.n_refs > 0 THEN 'ref' END, CASE WHEN x.body <> y.body THEN 'part 1' END]) AS component
+      FROM m x JOIN m y ON x.conv_id = y.conv_id AND y.turn = 0 WHERE x.turn > 0)
+    SELECT docid, component, 'changed' AS difference FROM p WHERE component IS NOT NULL""", "conv_msgs bodies")
 def message_differences(spark, d):
     out = decode(views.raw_mail(spark, d)).select(
         F.col("conv_id").alias("group"), "turn", F.col("seq").alias("docid"),
         F.explode(hashing.hash_inputs(F.col("headers"), F.col("parts"))).alias("c"),
     ).select("group", "turn", "docid", "c.component", F.sha2("c.value", 256).alias("value"))
-    base = out.where("turn = 0")
-    report = dedupe.difference_report(out.where("turn > 0"), base)
-    return report.where("component = 'subject'").select("docid", "component", "difference")
+    report = dedupe.difference_report(out.where("turn > 0"), out.where("turn = 0"))
+    return report.select("docid", "component", "difference")

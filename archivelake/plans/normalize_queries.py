@@ -103,11 +103,10 @@ def header_subsets(spark, d):
 
 
 @query("body_sections", """
-    SELECT seq, substr(body, 11, 20) AS piece FROM raw_mail WHERE strlen(body) = length(body)""", "raw_mail")
+    SELECT seq, substr(hex(encode(body)), 21, 40) AS piece FROM raw_mail""", "raw_mail")
 def body_sections(spark, d):
     out = decode(views.raw_mail(spark, d))
-    plain = out.where(F.octet_length("body") == F.length(F.decode("body", "UTF-8")))
-    return plain.select("seq", F.decode(headers.section(F.col("body"), 10, 20), "UTF-8").alias("piece"))
+    return out.select("seq", F.hex(headers.section(F.col("body"), 10, 20)).alias("piece"))
 
 
 @query("picked_parts", """

@@ -45,7 +45,7 @@ _META = """meta AS (SELECT inbox, inbox AS name, max(ts) AS modified, min(ts) AS
     SELECT inbox, num, subject, "from", strftime(make_timestamp(ds * 1000000), '%a, %d %b %Y %H:%M:%S') || ' +0000' AS date,
       '<' || mid || '>' AS message_id, CASE WHEN len(refs) > 0 THEN '<' || array_to_string(refs, '> <') || '>' ELSE '' END
       AS "references", bytes, lines, inbox || ':' || num AS xref
-    FROM conv_msgs WHERE num BETWEEN 1000000 AND 60000000 ORDER BY num LIMIT 1000""", "conv_msgs")
+    FROM conv_msgs WHERE num BETWEEN 1000000 AND 60000000""", "conv_msgs")
 def overview_range(spark, d):
     return overview.overview_fields(overview.number_range(views.conv_msgs(spark, d), 1_000_000, 60_000_000))
 
@@ -313,11 +313,11 @@ def date_predicates(spark, d):
 @query("subject_elision", """
     SELECT num, CASE WHEN prev IS NULL THEN norm WHEN prev = norm THEN ' "' ELSE norm END AS shown
     FROM (SELECT num, norm, CASE WHEN prev_num = num - 1 THEN prev END AS prev FROM (
-      SELECT num, regexp_replace(regexp_replace(subject, '\\s+', ' ', 'g'), '^Re: ', '') AS norm,
-        lag(regexp_replace(regexp_replace(subject, '\\s+', ' ', 'g'), '^Re: ', '')) OVER (ORDER BY num) AS prev,
-        lag(num) OVER (ORDER BY num) AS prev_num FROM conv_msgs WHERE turn % 4 <> 3 AND subject <> ''))""", "conv_msgs")
+      SELECT num, regexp_replace(regexp_replace(regexp_replace(subject, '\\s+', ' ', 'g'), '\\.+$', ''), '^Re: ', '') AS norm,
+        lag(regexp_replace(regexp_replace(regexp_replace(subject, '\\s+', ' ', 'g'), '\\.+$', ''), '^Re: ', '')) OVER (ORDER BY num) AS prev,
+        lag(num) OVER (ORDER BY num) AS prev_num FROM conv_msgs))""", "conv_msgs")
 def subject_elision(spark, d):
-    m = views.conv_msgs(spark, d).where("turn % 4 <> 3 and subject <> ''").select(
+    m = views.conv_msgs(spark, d).select(
         "num", subjects.normalized(F.col("subject")).alias("norm")
     )
     before = m.select((F.col("num") + 1).alias("num"), F.col("norm").alias("prev"))
@@ -340,4 +340,4 @@ def hits_with_skeletons(spark, d):
 @query("reverse_page", "SELECT docid, ts FROM conv_msgs ORDER BY ts, docid DESC LIMIT 20 OFFSET 4", "conv_msgs")
 def reverse_page(spark, d):
     m = views.conv_msgs(spark, d)
-    return rank.page(m, [F.desc("ts"), F.asc("docid")], limit=20, offset=-5).select("docid", "ts")
+    return rank.page(m, [("ts", False), ("docid", True)], limit=20, offset=-5).select("docid", "ts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from archivelake.functions import diffs, ids
@@ -43,9 +45,9 @@ def patch_lineage_to_known(spark, d):
 
 
 @query("similar_patches", """
-    SELECT docid, 1 AS shared FROM patch_mail WHERE docid <> 41 AND hist = 0""", "patch_mail")
+    SELECT docid, 1 + CASE WHEN hist = 0 THEN 1 ELSE 0 END AS shared FROM patch_mail WHERE docid <> 41""", "patch_mail")
 def similar_patches(spark, d):
-    return patches.similar_patches(patches.patch_terms(views.patch_mail(spark, d)), 41, want=["dfn"])
+    return patches.similar_patches(patches.patch_terms(views.patch_mail(spark, d)), 41, want=["dfn", "dfctx", "dfpre", "dfpost"])
 
 
 @query("patch_successors", """
@@ -85,8 +87,7 @@ def blob_search(spark, d):
     edges = patches.patch_edges(mail)
     index = post.exact_terms(edges, "dfpre", F.array("pre"), 7).union(post.exact_terms(edges, "dfpost", F.array("post"), 7))
     # sha1("0:2") cut to seven digits: the blob the patch of docid 41 makes.
-    wanted = F.substring(F.sha1(F.lit("0:2")), 1, 7)
-    oid = spark.range(1).select(wanted.alias("w")).first().w
+    oid = hashlib.sha1(b"0:2").hexdigest()[:7]
     return p.search(index, mail, p.Term(oid, "dfblob")).select("docid")
 
 

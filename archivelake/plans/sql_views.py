@@ -10,7 +10,7 @@ _PARENT = (
 VIEWS = {
     "conv_a": "SELECT conv_id AS c, turn AS t, role, text, "
     + _PARENT.format(t="turn").replace("c %", "conv_id %")
-    + " AS a1 FROM conversations WHERE (conv_id * 31 + turn * 17) % 11 <> 5",
+    + " AS a1 FROM conversations",
     "conv_b": "SELECT *, " + _PARENT.format(t="a1") + " AS a2 FROM conv_a",
     "conv_c": "SELECT *, " + _PARENT.format(t="a2") + " AS a3 FROM conv_b",
     "conv_msgs": """
@@ -33,6 +33,7 @@ VIEWS = {
           strlen(text) AS bytes,
           length(text) - length(replace(text, chr(10), '')) AS lines, text AS body
         FROM conv_c""",
+    "gap_msgs": "SELECT * FROM conv_msgs WHERE (conv_id * 31 + turn * 17) % 11 <> 5",
     "bodies": """
         SELECT a.conv_id, a.turn, a.text, b.text AS quoted,
           coalesce('> ' || replace(b.text, chr(10), chr(10) || '> ') || chr(10), '')
@@ -56,7 +57,7 @@ VIEWS = {
         FROM conv_msgs m JOIN bodies b ON m.conv_id = b.conv_id AND m.turn = b.turn""",
     "doc_posts": """
         SELECT source AS inbox, doc_id + 1 AS num, doc_id + 1 AS docid,
-          'd' || doc_id || '@z' AS mid, substr(split_part(text, chr(10), 1), 1, 60) AS subject,
+          'd' || doc_id || '@z' AS mid, split_part(text, chr(10), 1) AS subject,
           lang || '@' || source || '.example.org' AS "from",
           source || '@lists.example.org' AS "to",
           1700000000 + doc_id * 60 AS ds, 1700000000 + doc_id * 60 + 5 AS ts,
@@ -96,7 +97,7 @@ VIEWS = {
         SELECT DISTINCT conv_id, mid, parent, docid, ds, turn FROM conv_msgs""",
 }
 DEPENDS = {
-    "conv_b": ["conv_a"], "conv_c": ["conv_b"], "conv_msgs": ["conv_c"],
+    "conv_b": ["conv_a"], "conv_c": ["conv_b"], "conv_msgs": ["conv_c"], "gap_msgs": ["conv_msgs"],
     "raw_mail": ["conv_msgs", "bodies"], "xposts": ["doc_posts"], "tokens": ["doc_posts"],
     "chain": ["conv_msgs"],
 }

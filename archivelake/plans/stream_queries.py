@@ -8,14 +8,14 @@ from archivelake.plans.registry import query
 from archivelake.session import work_folder
 from archivelake.sources import views
 from archivelake.streaming import ingest, searches
-from archivelake.streaming.tables import read_table, stream_files, write_batch
+from archivelake.streaming.tables import read_table, stream_files, stream_table, write_batch
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
 def _arrivals(spark, d):
-    e = stream_files(spark, d, EVENTS, glob="events.parquet")
+    e = stream_table(spark, d, "events", EVENTS)
     return e.select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("inbox"), (F.col("event_id") + 1).alias("num"),
         F.col("ts").alias("time"), F.unix_seconds("ts").alias("ts"), F.col("event_type").alias("kind"), "user_id",
@@ -62,7 +62,7 @@ def stream_reader_positions(spark, d):
     SELECT source AS inbox, min(doc_id) AS seq, row_number() OVER (PARTITION BY source ORDER BY min(doc_id)) AS num FROM documents
     GROUP BY source, text""")
 def stream_ingest(spark, d):
-    docs = stream_files(spark, d, DOCUMENTS, glob="documents.parquet")
+    docs = stream_table(spark, d, "documents", DOCUMENTS)
     head = F.concat(
         F.lit("From: a@example.org\nTo: list@example.org\nSubject: post\nDate: Tue, 14 Nov 2023 22:13:20 +0000\nMessage-ID: <"),
         F.sha1("text"), F.lit("@z>\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text",
@@ -78,7 +78,7 @@ def stream_ingest(spark, d):
     SELECT dense_rank() OVER (ORDER BY first_num) AS docid, inbox, xnum FROM (SELECT inbox, xnum,
       min(xnum) OVER (PARTITION BY content_hash) AS first_num FROM adds)""", "doc_posts")
 def stream_merge_log(spark, d):
-    docs = stream_files(spark, d, DOCUMENTS, glob="documents.parquet")
+    docs = stream_table(spark, d, "documents", DOCUMENTS)
     changes = docs.select(
         F.lit("m").alias("op"), F.col("source").alias("inbox"), (F.col("doc_id") + 1).alias("xnum"),
         F.sha1(F.concat_ws("\n", "source", "text")).alias("oid"), F.lit("m").alias("mid"),

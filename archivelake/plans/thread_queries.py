@@ -42,31 +42,36 @@ _NORM = "regexp_replace(regexp_replace(regexp_replace(subject, '\\s+', ' ', 'g')
 _SHOWN = f"CASE WHEN {_NORM} = '' THEN '(no subject)' ELSE {_NORM} END"
 
 
-def _threaded(spark, d):
-    m = views.conv_msgs(spark, d)
+def _threaded(spark, d, gaps=False):
+    m = views.gap_msgs(spark, d) if gaps else views.conv_msgs(spark, d)
     return threads.assign_threads(m).withColumn("sid", subjects.subject_key(F.col("subject")))
 
 
-def _walked(spark, d):
-    m = durable(_threaded(spark, d))
+def _gaps(sql):
+    """The SQL over messages of which some are missing."""
+    return sql.replace("conv_msgs", "gap_msgs")
+
+
+def _walked(spark, d, gaps=False):
+    m = durable(_threaded(spark, d, gaps))
     return m, forest.preorder(forest.parents(m))
 
 
-@query("thread_ids", f"{_WITH_TID} SELECT docid, tid FROM tids", "conv_msgs")
+@query("thread_ids", _gaps(f"{_WITH_TID} SELECT docid, tid FROM tids"), "gap_msgs")
 def thread_ids(spark, d):
-    return _threaded(spark, d).select("docid", "tid")
+    return _threaded(spark, d, gaps=True).select("docid", "tid")
 
 
-@query("thread_ghosts", f"""{_WITH_TID} SELECT id AS mid, min(tid) AS tid FROM links JOIN tids USING (docid)
-    WHERE id NOT IN (SELECT mid FROM conv_msgs) GROUP BY id""", "conv_msgs")
+@query("thread_ghosts", _gaps(f"""{_WITH_TID} SELECT id AS mid, min(tid) AS tid FROM links JOIN tids USING (docid)
+    WHERE id NOT IN (SELECT mid FROM conv_msgs) GROUP BY id"""), "gap_msgs")
 def thread_ghosts(spark, d):
-    return threads.ghosts(_threaded(spark, d))
+    return threads.ghosts(_threaded(spark, d, gaps=True))
 
 
-@query("thread_merge", f"{_WITH_TID} SELECT docid, tid FROM tids", "conv_msgs")
+@query("thread_merge", _gaps(f"{_WITH_TID} SELECT docid, tid FROM tids"), "gap_msgs")
 def thread_merge(spark, d):
     """Threads of the even turns, then the odd turns arrive and join them."""
-    m = views.conv_msgs(spark, d)
+    m = views.gap_msgs(spark, d)
     stored = durable(threads.assign_threads(m.where("turn % 2 = 0")))
     moved = threads.merge_threads(stored, m.where("turn % 2 = 1"))
     kept = stored.select("docid", "tid").join(moved.select("docid"), "docid", "left_anti")
@@ -104,32 +109,32 @@ def thread_collapse(spark, d):
     return rank.collapse_threads(hits).select("docid", "rank")
 
 
-@query("thread_forest", f"{_WALK} SELECT node, parent, root, depth, position FROM walked", "conv_msgs")
+@query("thread_forest", _gaps(f"{_WALK} SELECT node, parent, root, depth, position FROM walked"), "gap_msgs")
 def thread_forest(spark, d):
-    return _walked(spark, d)[1].select("node", "parent", "root", "depth", "position")
+    return _walked(spark, d, gaps=True)[1].select("node", "parent", "root", "depth", "position")
 
 
-@query("thread_skeleton", f"""{_WALK} SELECT w.node, w.root, w.position, w.depth, CASE WHEN m.docid IS NULL THEN '[not found]'
-    ELSE m.subject END AS subject FROM walked w LEFT JOIN conv_msgs m ON m.docid = w.docid""", "conv_msgs")
+@query("thread_skeleton", _gaps(f"""{_WALK} SELECT w.node, w.root, w.position, w.depth, CASE WHEN m.docid IS NULL THEN '[not found]'
+    ELSE m.subject END AS subject FROM walked w LEFT JOIN conv_msgs m ON m.docid = w.docid"""), "gap_msgs")
 def thread_skeleton(spark, d):
-    m, w = _walked(spark, d)
+    m, w = _walked(spark, d, gaps=True)
     return forest.skeleton(forest.visible(w), m).select("node", "root", "position", "depth", "subject")
 
 
-@query("thread_neighbours", f"""{_WALK} SELECT w.node, (SELECT count(*) FROM nodes c WHERE c.parent = w.node) AS replies,
+@query("thread_neighbours", _gaps(f"""{_WALK} SELECT w.node, (SELECT count(*) FROM nodes c WHERE c.parent = w.node) AS replies,
     CASE WHEN w.parent IS NULL THEN 0 ELSE (SELECT count(*) - 1 FROM nodes s WHERE s.parent = w.parent) END AS siblings,
     CASE WHEN w.parent IS NOT NULL THEN lag(w.node) OVER (PARTITION BY w.parent ORDER BY position) END AS prev_sibling,
     CASE WHEN w.parent IS NOT NULL THEN lead(w.node) OVER (PARTITION BY w.parent ORDER BY position) END AS next_sibling
-    FROM walked w""", "conv_msgs")
+    FROM walked w"""), "gap_msgs")
 def thread_neighbours(spark, d):
-    w = _walked(spark, d)[1]
+    w = _walked(spark, d, gaps=True)[1]
     return forest.family_counts(w).select("node", "replies", "siblings", "prev_sibling", "next_sibling")
 
 
-@query("thread_roots", f"""{_WALK} SELECT root, key, CASE WHEN root = (SELECT root FROM walked WHERE node = 'c7.1@z') THEN 1 ELSE 0 END AS holds
-    FROM walked WHERE node = root""", "conv_msgs")
+@query("thread_roots", _gaps(f"""{_WALK} SELECT root, key, CASE WHEN root = (SELECT root FROM walked WHERE node = 'c7.1@z') THEN 1 ELSE 0 END AS holds
+    FROM walked WHERE node = root"""), "gap_msgs")
 def thread_roots(spark, d):
-    w = _walked(spark, d)[1]
+    w = _walked(spark, d, gaps=True)[1]
     return forest.roots_for(w, "c7.1@z").select("root", "key", F.col("holds").cast("int").alias("holds"))
 
 

@@ -15,11 +15,6 @@ from pyspark.sql import types as T
 
 from archivelake.schema import DECODED
 
-# Limits on header size, part count and nesting.
-HEADER_MAX = 102_400
-PARTS_MAX = 1_000
-DEPTH_MAX = 20
-
 
 def _decode_words(value: str) -> str:
     try:
@@ -71,8 +66,6 @@ def _parts(root: Message) -> list[dict]:
     stack = [(root, 0, "1", False)]
     while stack:
         part, depth, idx, submessage = stack.pop()
-        if len(out) >= PARTS_MAX or depth > DEPTH_MAX:
-            break
         children = part.get_payload() if part.is_multipart() else []
         embedded = part.get_content_maintype() == "message"
         container = bool(children)
@@ -103,20 +96,16 @@ def decode_one(raw: bytes) -> dict:
     cut = raw.find(b"\n\n")
     crlf = raw.find(b"\r\n\r\n")
     if crlf >= 0 and (cut < 0 or crlf < cut):
-        head, body = raw[: crlf + 2], raw[crlf + 4 :]
-    elif cut >= 0:
-        head, body = raw[: cut + 1], raw[cut + 2 :]
+        body = raw[crlf + 4 :]
     else:
-        head, body = raw, b""
-    error = "header too long" if len(head) > HEADER_MAX else None
-    source = head[:HEADER_MAX] + b"\n" + body if error else raw
+        body = raw[cut + 2 :] if cut >= 0 else b""
     try:
-        message = BytesParser(policy=compat32).parsebytes(source)
+        message = BytesParser(policy=compat32).parsebytes(raw)
         return {
             "headers": _headers(message),
             "parts": _parts(message),
             "body": body,
-            "decode_error": error,
+            "decode_error": None,
         }
     except Exception as exc:  # a broken message must not lose its row
         return {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -30,30 +30,38 @@ def mailbox_text(
 ) -> Column:
     """One message as mailbox text, without the last line end.
 
-    `ident` goes into the separator line (blob id, maybe with `=pct`).
+    `ident` goes into the separator line (blob id, maybe with `=pct`). The message is
+    handled byte by byte, so any charset and either line end stay as they are; the result
+    holds the message's own bytes, whether or not they are UTF-8.
     """
-    full = F.decode(raw, "UTF-8")
-    has_body = F.contains(full, F.lit("\n\n"))
-    head = F.when(has_body, F.concat(F.substring_index(full, "\n\n", 1), F.lit("\n"))).otherwise(full)
-    body = F.when(has_body, F.substr(full, F.instr(full, "\n\n") + 2)).otherwise("")
+    full = F.decode(raw, "ISO-8859-1")
+    break_at = F.regexp_instr(full, F.lit(r"\r?\n\r?\n"))
+    # Headers end with their last line end, the body begins after the empty line.
+    blank = F.regexp_extract(full, r"(?s)^.*?(\r?\n\r?\n)", 1)
+    has_body = break_at > 0
+    line_end = F.when(F.startswith(blank, F.lit("\r\n")), F.lit("\r\n")).otherwise(F.lit("\n"))
+    head = F.when(has_body, F.concat(F.left(full, break_at - 1), line_end)).otherwise(full)
+    body = F.when(has_body, F.substr(full, break_at + F.length(blank))).otherwise("")
     head = F.regexp_replace(F.regexp_replace(head, r"\A[\r\n]*From [^\r\n]*\r?\n", ""), REPLACED_HEADERS, "")
     status = F.concat(_letters(kw, STATUS_LETTERS), F.lit("" if recent else "O"))
     x_status = _letters(kw, X_STATUS_LETTERS)
     body = text.escape_from(body, variant)
     head = F.concat(
         head,
-        F.when(status != "", F.concat(F.lit("Status: "), status, F.lit("\n"))).otherwise(""),
-        F.when(x_status != "", F.concat(F.lit("X-Status: "), x_status, F.lit("\n"))).otherwise(""),
+        F.when(status != "", F.concat(F.lit("Status: "), status, line_end)).otherwise(""),
+        F.when(x_status != "", F.concat(F.lit("X-Status: "), x_status, line_end)).otherwise(""),
     )
     if variant.startswith("mboxcl"):
+        # One character is one byte here.
         head = F.concat(
-            head, F.lit("Content-Length: "), F.octet_length(body).cast("string"),
-            F.lit("\nLines: "), F.regexp_count(body, F.lit("\n")).cast("string"), F.lit("\n"),
+            head, F.lit("Content-Length: "), F.length(body).cast("string"), line_end,
+            F.lit("Lines: "), F.regexp_count(body, F.lit("\n")).cast("string"), line_end,
         )
     name = F.lit("archive") if ident is None else ident
-    return F.concat(
-        F.lit("From "), name, F.lit(f"@{variant} Thu Jan  1 00:00:00 1970\n"), head, F.lit("\n"), body
+    record = F.concat(
+        F.lit("From "), name, F.lit(f"@{variant} Thu Jan  1 00:00:00 1970\n"), head, line_end, body
     )
+    return F.encode(record, "ISO-8859-1").cast("string")
 
 
 def write_mailbox(messages: DataFrame, path: str, variant: str = "mboxrd", compression: str | None = None,
@@ -75,24 +83,33 @@ def maildir_name(oid: Column, kw: Column, pct: Column | None = None) -> Column:
 
 
 def write_maildir(messages: DataFrame, path: str, augment: bool = False) -> None:
-    """One file per message below a folder that every task sees.
+    """One file per message below a folder, by its path or the URI of a shared store.
 
-    Names come from the blob, so a task that runs twice writes the same file;
-    each file appears by a rename. New mail goes to `new/` when adding to an
-    existing folder.
+    Names come from the blob, and from the docid where there is one, so that copies of
+    a blob do not replace each other and a task that runs twice writes the same file.
+    Each file appears by a rename from a name of its own. New mail goes to `new/` when
+    adding to an existing folder.
     """
+    from pyarrow import fs
+
+    def store() -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
     kw = F.col("kw") if "kw" in messages.columns else F.array().cast("array<string>")
-    rows = messages.select(maildir_name(F.col("oid"), kw).alias("name"), "raw")
+    base = F.concat("oid", F.lit("."), F.col("docid").cast("string")) if "docid" in messages.columns else F.col("oid")
+    rows = messages.select(maildir_name(base, kw).alias("name"), "raw")
     place = "new" if augment else "cur"
+    target, root = store()
     for name in ("tmp", "new", "cur"):
-        os.makedirs(os.path.join(path, name), exist_ok=True)
+        target.create_dir(f"{root}/{name}", recursive=True)
 
     def write(part: Iterator[Row]) -> None:
+        files, folder = store()
         for row in part:
-            temporary = os.path.join(path, "tmp", f"{os.getpid()}.{row.name}")
-            with open(temporary, "wb") as out:
+            temporary = f"{folder}/tmp/{uuid.uuid4().hex}"
+            with files.open_output_stream(temporary) as out:
                 out.write(bytes(row.raw))
-            os.replace(temporary, os.path.join(path, place, row.name))
+            files.move(temporary, f"{folder}/{place}/{row.name}")
 
     rows.foreachPartition(write)
 

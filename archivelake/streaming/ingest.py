@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,7 +12,7 @@ from archivelake.operators import dedupe, lookup, merged, normalize, overview, p
 from archivelake.operators.skew import salted_lookup
 from archivelake.session import durable
 from archivelake.sources.decode import decode
-from archivelake.streaming.tables import read_table, write_batch
+from archivelake.streaming.tables import last_batch, read_table, write_batch
 
 MESSAGES = (
     "inbox string, num bigint, seq bigint, mid string, content_hash string, subject string, "
@@ -21,6 +21,10 @@ MESSAGES = (
 )
 REMOVALS = "inbox string, mid string, content_hash string, seq bigint"
 DELETES = "inbox string, oid string"
+#: Ids of stored messages, in buckets by hash, and the highest number of every inbox.
+KNOWN_IDS = "inbox string, mid string, content_hash string, bucket int"
+MARKS = "inbox string, max_num bigint"
+ID_BUCKETS = 256
 XREF = "docid bigint, inbox string, xnum bigint, oid string, mid string, content_hash string"
 
 
@@ -42,21 +46,33 @@ def store_arrivals(
     if spam is not None:
         passed = spam(passed).where("verdict = 'accept'").drop("verdict")
     fresh = durable(normalize.to_messages(passed).drop("headers", "parts", "body"))
-    stored = read_table(spark, f"{base}/messages", MESSAGES, before=batch_id)
-    # Only stored ids that arrive again matter.
-    ids = fresh.select("inbox", F.explode("mids").alias("mid")).distinct()
-    known = stored.select("inbox", F.explode("mids").alias("mid"), "content_hash").join(
-        ids, ["inbox", "mid"], "left_semi"
-    )
+    # Only stored ids that arrive again matter: their buckets are read, no message.
+    ids = fresh.select("inbox", F.explode("mids").alias("mid")).distinct().withColumn("bucket", id_bucket())
+    touched = [r.bucket for r in ids.select("bucket").distinct().collect()]  # at most ID_BUCKETS
+    stored = read_table(spark, f"{base}/known_ids", KNOWN_IDS, before=batch_id).where(F.col("bucket").isin(touched))
+    known = stored.join(ids.select("inbox", "mid"), ["inbox", "mid"], "left_semi").select("inbox", "mid", "content_hash")
     settled = dedupe.settle_arrivals(fresh, known)
     kept = settled.where("store_mid is not null")
-    marks = stored.groupBy("inbox").agg(F.max("num").alias("max_num"))
-    numbered = overview.assign_numbers(kept, marks)
+    previous = last_batch(spark, f"{base}/marks", batch_id)
+    marks = (
+        spark.createDataFrame([], MARKS) if previous is None
+        else spark.read.schema(MARKS).parquet(f"{base}/marks/batch={previous}")
+    )
+    numbered = durable(overview.assign_numbers(kept, marks))
     out = numbered.withColumn("mid", F.col("store_mid")).withColumn(
         "mids", F.array_distinct(F.concat(F.array("store_mid"), F.col("mids")))
     )
     columns = [c.split(" ")[0] for c in MESSAGES.split(", ")]
     write_batch(out.select(*columns), f"{base}/messages", batch_id)
+    new_ids = out.select("inbox", F.explode("mids").alias("mid"), "content_hash").withColumn("bucket", id_bucket())
+    new_ids.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/known_ids/batch={batch_id}")
+    highest = numbered.groupBy("inbox").agg(F.max("num").alias("max_num")).unionByName(marks)
+    # All marks stand in the newest batch, a row per inbox.
+    write_batch(highest.groupBy("inbox").agg(F.max("max_num").alias("max_num")), f"{base}/marks", batch_id)
+
+
+def id_bucket() -> Column:
+    return F.pmod(F.xxhash64("inbox", "mid"), F.lit(ID_BUCKETS)).cast("int")
 
 
 def ingest(stream: DataFrame, base: str, available_now: bool = False, **options) -> StreamingQuery:

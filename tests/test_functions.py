@@ -14,10 +14,10 @@ def lits(*values):
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def test_message_ids_keep_order_and_cut(spark):
+def test_message_ids_keep_order_and_length(spark):
     long_id = "x" * 300
     got = one(spark, ids.message_ids(lits("<a@b> then <c\td@e> <a@b>", "bare", f"<{long_id}>")))
-    assert got == ["a@b", "cd@e", "bare", "x" * 244]
+    assert got == ["a@b", "cd@e", "bare", long_id]
 
 
 def test_references_drop_addresses_and_slips(spark):

@@ -99,7 +99,7 @@ def test_one_id_used_by_very_many(spark):
 
 def test_strategies(spark):
     rows = [(1, "o1", "m", "h1"), (2, "o1", "n", "h1"), (3, "o2", "m", "h2"), (4, "o3", "", "h2"), (5, "o3", "", "h3")]
-    df = spark.createDataFrame(rows, "num bigint, oid string, mid string, content_hash string")
+    df = spark.createDataFrame([("i", *r) for r in rows], "inbox string, num bigint, oid string, mid string, content_hash string")
     want = {"none": [1, 2, 3, 4, 5], "oid": [1, 3, 4], "mid": [1, 2, 4], "content": [1, 3, 5]}
     for strategy, nums in want.items():
         assert sorted(r.num for r in dedupe.dedupe(df, strategy).collect()) == nums
@@ -108,6 +108,21 @@ def test_strategies(spark):
         dedupe.dedupe(df, "other")
 
 
+def test_article_numbers_repeat_across_inboxes(spark):
+    rows = [("A", 5, "o1", "m1", "h1"), ("B", 5, "o2", "m2", "h2"), ("C", 4, "o2", "m2", "h2")]
+    df = spark.createDataFrame(rows, "inbox string, num bigint, oid string, mid string, content_hash string")
+    for strategy in ("content", "oid", "mid"):
+        assert sorted((r.inbox, r.num) for r in dedupe.dedupe(df, strategy).collect()) == [("A", 5), ("C", 4)]
+
+
+def test_differences_with_repeated_components(spark):
+    schema = "group bigint, docid bigint, component string, value string"
+    mine = spark.createDataFrame([(1, 2, "ref", "a"), (1, 2, "ref", "b"), (1, 2, "new", "x"), (1, 3, "ref", "a"), (9, 4, "ref", "a")], schema)
+    base = spark.createDataFrame([(1, 1, "ref", "b"), (1, 1, "ref", "a"), (1, 1, "old", "y")], schema).drop("docid")
+    got = {tuple(r) for r in dedupe.difference_report(mine, base).select("docid", "component", "difference").collect()}
+    assert got == {(2, "new", "added"), (2, "old", "removed"), (3, "old", "removed"), (3, "ref", "changed")}
+
+
 def test_merged_index_add_delete(spark):
     xref = spark.createDataFrame([(1, "x", 1, "o1"), (1, "y", 5, "o1"), (2, "x", 2, "o2")], "docid bigint, inbox string, xnum bigint, oid string")
     docs = spark.createDataFrame([(1, "m1", "h1"), (2, "m2", "h2")], "docid bigint, mid string, content_hash string")
@@ -158,9 +173,14 @@ def test_stemmed_search(spark, golden):
     assert sorted(r.docid for r in got.collect()) == [1, 3]
 
 
-def test_wildcards_have_a_limit(golden):
-    with pytest.raises(ValueError):
-        post.expand_prefix(golden[0], "", ["nonquoted", "subject"], cap=3)
+def test_wildcards_and_many_conditions(spark, golden):
+    index, docs = golden
+    terms = [r.term for r in post.expand_prefix(index, "", ["nonquoted", "subject"]).collect()]
+    assert len(terms) > 3 and len(set(terms)) == len(terms)
+    found = p.search(index, docs, p.Prefix("")).count()
+    either = p.Or([*[p.Term(f"nosuch{i}") for i in range(130)], p.Prefix("")])
+    assert p.search(index, docs, either).count() == found > 0
+    assert p.search(index, docs, p.And([p.Not(p.Term(f"nosuch{i}")) for i in range(130)])).count() == docs.count()
 
 
 def test_scores_pages_and_quoted_weight(spark, golden):
@@ -229,3 +249,46 @@ def test_ingest_in_two_runs_equals_one(spark, tmp_path):
     assert sorted((r.inbox, r.num, r.seq) for r in got.collect()) == [("x", 1, 1), ("x", 2, 3), ("x", 3, 4), ("x", 4, 5), ("y", 1, 2)]
     removals = got.where("seq = 1").select(F.lit(None).cast("string").alias("inbox"), "mid", "content_hash", F.lit(9).cast("bigint").alias("seq"))
     assert ingest.current_messages(got, removals).count() == 4
+
+
+def _edges(spark, rows):
+    return spark.createDataFrame(rows, "docid bigint, ts bigint, pre string, post string")
+
+
+def test_lineage_keeps_blobs_apart_that_share_seven_digits(spark):
+    from archivelake.operators import patches
+
+    edges = _edges(spark, [
+        (1, 1, "0000000", "aaaaaaa111"), (2, 2, "0000000", "aaaaaaa222"), (3, 3, "aaaaaaa111", "bbbbbbb333"),
+        (4, 4, "aaaaaaa2", "ccccccc444"), (5, 5, "aaaaaaa", "ddddddd555"),
+    ])
+    wanted = spark.createDataFrame([("bbbbbbb",), ("ccccccc444",), ("ddddddd555",), ("aaaaaaa222",)], "oid string")
+    got = {(r.want, r.step, r.docid, r.ambiguous) for r in patches.lineage(edges, wanted).collect()}
+    assert got == {
+        ("bbbbbbb", 0, 3, False), ("bbbbbbb", 1, 1, False), ("ccccccc444", 0, 4, False), ("ccccccc444", 1, 2, False),
+        ("ddddddd555", 0, 5, True), ("aaaaaaa222", 0, 2, False),
+    }
+
+
+def test_long_histories_and_loops_end(spark):
+    from archivelake.operators import patches
+
+    names = [f"{i:010x}" for i in range(1, 301)]
+    rows = [(i, i, names[i - 1] if i else "0000000000", n) for i, n in enumerate(names)]
+    rows += [(900, 900, "fffffff002", "fffffff001"), (901, 901, "fffffff001", "fffffff002")]
+    wanted = spark.createDataFrame([(names[-1],), ("fffffff001",)], "oid string")
+    got = patches.lineage(_edges(spark, rows), wanted).groupBy("want").count()
+    assert {tuple(r) for r in got.collect()} == {(names[-1], 300), ("fffffff001", 2)}
+
+
+def test_peers_and_places_as_rows(spark):
+    from archivelake.operators import annotations as ann
+    from archivelake.operators import merged
+
+    xref = spark.createDataFrame([(1, "a", 1), (1, "b", 7), (1, "c", 9), (2, "a", 2)], "docid bigint, inbox string, xnum bigint")
+    got = merged.peers_of(xref.where("inbox = 'a'"), xref).select("docid", "peer_inbox", "peer_xnum")
+    assert {tuple(r) for r in got.collect()} == {(1, "b", 7), (1, "c", 9)}
+    places = spark.createDataFrame([("o", "f", 1, None), ("o", "f", 1, None), ("o", "g", None, "n"), ("p", "f", 2, None)],
+                                   "oid string, folder string, uid bigint, name string")
+    assert ann.blob_places(places).count() == 3
+    assert ann.blob_places(places, places.where("oid = 'o'")).count() == 2

@@ -197,3 +197,96 @@ def test_json_outputs_and_progress(spark, tmp_path):
     seen = Observation()
     sinks.with_progress(df.withColumn("duplicate", F.col("mid") == "b@x"), seen).write.format("noop").mode("overwrite").save()
     assert seen.get == {"matches": 2, "duplicates": 1}
+
+
+def test_long_walks_keep_every_part():
+    from email.mime.multipart import MIMEMultipart
+    from email.mime.text import MIMEText
+
+    from archivelake.sources.decode import decode_one
+
+    wide = MIMEMultipart()
+    for i in range(1500):
+        wide.attach(MIMEText(f"part {i}"))
+    got = decode_one(wide.as_bytes())
+    assert len(got["parts"]) == 1501 and got["decode_error"] is None
+    deep = MIMEText("core")
+    for _ in range(30):
+        outer = MIMEMultipart()
+        outer.attach(deep)
+        deep = outer
+    deep.attach(MIMEText("shallow, after the deep one"))
+    texts = [p["text"] for p in decode_one(deep.as_bytes())["parts"] if not p["is_container"]]
+    assert texts == ["core", "shallow, after the deep one"]
+
+
+def test_mailbox_text_keeps_line_ends_and_charsets(spark):
+    raw = "Subject: caf\u00e9\r\nStatus: RO\r\n\r\nStatus: in the body\r\nFrom here\r\n".encode("latin-1")
+    df = spark.createDataFrame([(bytearray(raw),)], "raw binary")
+    kw = F.array(F.lit("seen"))
+    record = df.select(F.encode(F.decode(sinks.mailbox_text(F.col("raw"), kw).cast("binary"), "ISO-8859-1"), "ISO-8859-1").alias("r"))
+    head, body = bytes(record.first().r).split(b"\r\n\r\n")
+    assert body == b"Status: in the body\r\n>From here\r\n"
+    assert head.split(b"\n", 1)[1] == b"Subject: caf\xe9\r\nStatus: RO"
+
+
+def test_one_latin1_message_does_not_end_the_job(spark, tmp_path):
+    rows = [(bytearray("Subject: a\n\ncaf\u00e9\n".encode("latin-1")),), (bytearray("Subject: b\n\ncaf\u00e9\n".encode()),)]
+    sinks.write_mailbox(spark.createDataFrame(rows, "raw binary").coalesce(1), str(tmp_path / "m"))
+    data = b"".join(p.read_bytes() for p in (tmp_path / "m").glob("part-*"))
+    assert b"caf\xe9\n" in data and "caf\u00e9\n".encode() in data
+
+
+def test_copies_of_a_blob_are_files_of_their_own(spark, tmp_path):
+    rows = [(1, "same", bytearray(b"x")), (2, "same", bytearray(b"x"))]
+    sinks.write_maildir(spark.createDataFrame(rows, "docid bigint, oid string, raw binary"), str(tmp_path / "d"))
+    assert len(list((tmp_path / "d/cur").iterdir())) == 2 and not list((tmp_path / "d/tmp").iterdir())
+
+
+def test_missing_tables_are_empty_and_other_faults_raise(spark, tmp_path):
+    from archivelake.streaming.tables import read_table
+
+    assert read_table(spark, f"{tmp_path}/none", "a bigint").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad/batch=0").mkdir()
+    (tmp_path / "bad/batch=0/part.parquet").write_text("not parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        read_table(spark, f"{tmp_path}/bad", "a bigint").count()
+
+
+@pytest.mark.parametrize("name", [
+    "stream_notifications", "stream_saved_search", "stream_unique", "stream_reader_positions", "stream_ingest", "stream_merge_log",
+])
+def test_streams_read_folders_of_part_files(spark, tmp_path, name):
+    import __spark_entry__ as entry_points
+
+    source = "/root/testdata/sf0.001"
+    for table in ("events", "documents"):
+        spark.read.parquet(f"{source}/{table}.parquet").repartitionByRange(3, spark.read.parquet(f"{source}/{table}.parquet").columns[0]).write.parquet(f"{tmp_path}/{table}.parquet")
+    run = entry_points.queries()[name]
+    rows = {k: sorted(map(tuple, run(spark, d).collect()), key=repr) for k, d in (("file", source), ("folder", str(tmp_path)))}
+    if name in ("stream_notifications", "stream_reader_positions", "stream_saved_search", "stream_unique"):
+        assert rows["folder"] == rows["file"]
+    assert len(rows["folder"]) == len(rows["file"]) > 0
+
+
+def test_ingest_in_several_batches_equals_one(spark, tmp_path):
+    from archivelake.streaming import ingest
+    from archivelake.streaming.tables import read_table
+
+    def raw(n, mid):
+        return bytearray(f"From: a@x.org\nSubject: s\nDate: Tue, 14 Nov 2023 22:13:20 +0000\nMessage-ID: <{mid}@z>\n\nbody {mid}\n".encode())
+
+    rows = [("i" if n % 2 else "j", n, raw(n, n % 7)) for n in range(20)]
+    schema = "inbox string, seq bigint, raw binary"
+    ingest.store_arrivals(spark.createDataFrame(rows, schema), 0, f"{tmp_path}/one")
+    for batch in range(4):
+        part = spark.createDataFrame(rows[batch * 5:batch * 5 + 5], schema)
+        ingest.store_arrivals(part, batch, f"{tmp_path}/many")
+        if batch == 2:  # a batch that runs again changes nothing
+            ingest.store_arrivals(part, batch, f"{tmp_path}/many")
+
+    def stored(base):
+        return sorted(map(tuple, read_table(spark, f"{base}/messages", ingest.MESSAGES).select("inbox", "seq", "num", "mid").collect()))
+
+    assert stored(f"{tmp_path}/many") == stored(f"{tmp_path}/one") != []

@@ -155,3 +155,9 @@ def test_topics_skip_ghosts_without_replies(spark):
     t = top.first()
     assert (t.root, t.latest, t.n, t.subject, t.mid) == ("ghost", 20, 2, "s a", "a")
     assert [(e.level, e.subject) for e in extra.collect()] == [(1, "s b")]
+
+
+def test_loose_matches_are_not_cut(spark):
+    df = spark.range(1500).selectExpr("id AS docid", "concat('m', id) AS mid", "array(concat('m', id)) AS mids", "id AS tid", "'same' AS sid", "id AS ds")
+    got = threads.loose_thread(df, "m3").collect()
+    assert len(got) == 1500 and got[0].docid == 3 and got[0].total == 1500
