@@ -14,7 +14,7 @@ from archivelake.session import ship_package
 SPACES = " \t\n\x0b\x0c\r"
 
 #: Rows per Arrow batch. Texts may be long, so batches are kept short.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> None:

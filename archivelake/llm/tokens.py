@@ -19,8 +19,8 @@ from archivelake.llm.base import WordMemory
 #: Name of the vocabulary file; callers may pass a path instead.
 VOCABULARY = "word_bpe_49k.json"
 
-#: Words in each of the two generations a worker remembers: about 200 MB in all.
-MEMORY_WORDS = 600_000
+#: Words in each of the two generations a worker remembers: about 150 MB in all.
+MEMORY_WORDS = 450_000
 
 _TAIL = '.,;:!?*$%&#|()"'
 #: Only these characters are lowered before the look-up; for others the order of

@@ -42,7 +42,7 @@ THRESHOLD = 0.7
 ROUNDS, RATE, DECAY = 150, 0.5, 1e-5
 
 _EDGE = '.,;:!?#*$%&|<>()[]{}"\'`~_+=/\\-…»«“”„’‘'
-_MEMORY = 500_000
+_MEMORY = 150_000
 
 
 def word_features(word: str) -> list[str]:
