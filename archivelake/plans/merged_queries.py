@@ -147,6 +147,15 @@ def split_documents(spark, d):
     return dedupe.split_documents(members, 100_000).select("docid", "xnum", "new_docid")
 
 
+@query("xref_peer_rows", """
+    SELECT a.docid, a.inbox, a.xnum, b.inbox AS peer_inbox, b.xnum AS peer_xnum FROM xposts a JOIN xposts b USING (docid)
+    WHERE a.xnum = a.docid AND a.inbox <> b.inbox""", "xposts")
+def xref_peer_rows(spark, d):
+    """Every peer of the first copy of each message."""
+    x = _xref(spark, d).select("docid", "inbox", "xnum")
+    return merged.peers_of(x.where("xnum = docid"), x)
+
+
 @query("xref_peers", """
     WITH p AS (SELECT docid, inbox, count(*) AS n, min(xnum) AS xnum FROM xposts GROUP BY ALL),
       t AS (SELECT docid, count(*) AS total FROM xposts GROUP BY docid),
@@ -441,6 +450,11 @@ def blob_folders(spark, d):
     return ann.blob_folders(_locations(spark, d))
 
 
+@query("blob_places", f"WITH {_LOC} SELECT DISTINCT oid, folder, uid, name FROM loc")
+def blob_places(spark, d):
+    return ann.blob_places(_locations(spark, d))
+
+
 @query("blob_names", f"""WITH {_LOC} SELECT oid, name, folder, CASE WHEN folder <> 'f3' THEN '/mail/' || folder END AS location
     FROM loc WHERE name IS NOT NULL""")
 def blob_names(spark, d):
@@ -578,6 +592,29 @@ def inspected(spark, d):
     return out.select("docid", j["mid"].alias("mid"), j["bytes"].alias("bytes"), j["copies"].alias("copies"))
 
 
+@query("inspected_copies", """
+    SELECT docid, mid, bytes, CAST(1 AS BIGINT) AS copies, named FROM (SELECT docid, mid, bytes, 'blob' AS named FROM doc_posts WHERE oid =
+      (SELECT oid FROM doc_posts WHERE num = 9) UNION ALL SELECT docid, mid, bytes, 'number' FROM doc_posts WHERE num = 12
+      AND inbox = (SELECT inbox FROM doc_posts WHERE num = 12) UNION ALL SELECT docid, mid, bytes, 'folder' FROM doc_posts WHERE lang = 'de')""", "doc_posts")
+def inspected_copies(spark, d):
+    """The same record found by blob, by inbox and number, and by folder."""
+    p = views.doc_posts(spark, d)
+    x = p.select("docid", "inbox", F.col("num").alias("xnum"), "oid")
+    a = views.annotations(spark, d)
+    ninth, twelfth = (p.where(F.col("num") == n).select("oid", "inbox").first() for n in (9, 12))
+    folders = p.select("oid", F.col("lang").alias("folder")).distinct()
+    found = {
+        "blob": lookup.inspect(p, x, a, oid=ninth.oid), "number": lookup.inspect(p, x, a, inbox=twelfth.inbox, num=12),
+        "folder": lookup.inspect(p, x, a, folder="de", locations=folders),
+    }
+    j = F.from_json("json", "mid string, bytes bigint, copies bigint")
+    parts = [
+        df.select("docid", j["mid"].alias("mid"), j["bytes"].alias("bytes"), j["copies"].alias("copies"), F.lit(n).alias("named"))
+        for n, df in found.items()
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("parents_found", """
     SELECT num, parent AS parent_mid, CASE WHEN parent IN (SELECT mid FROM gap_msgs) THEN 1 ELSE 0 END AS found
     FROM gap_msgs WHERE parent IS NOT NULL""", "gap_msgs")
