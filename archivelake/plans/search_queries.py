@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from archivelake.functions.stem import with_stems
 from archivelake.operators import postings as post
 from archivelake.operators import predicates as p
-from archivelake.operators import rank
+from archivelake.operators import rank, term_store
 from archivelake.plans.registry import query
+from archivelake.session import work_folder
 from archivelake.sources import views
 
 
@@ -167,6 +168,30 @@ def relevance_topk(spark, d):
     return rank.page(scored, rank.sort_order(1), limit=200).select("docid", "score")
 
 
+def _stored_index(spark, d):
+    """Bodies of all documents indexed in two batches."""
+    path = work_folder(spark, "terms")
+    docs = _docs(spark, d).select("docid", "body")
+    for batch in range(2):
+        term_store.add_documents(post.text_fields(docs.where(F.col("docid") % 2 == batch)), path, batch)
+    return path
+
+
+@query("stored_index_topk", f"""WITH {_BM25} SELECT docid, score FROM s JOIN doc_posts USING (docid) ORDER BY score DESC, ts DESC, docid LIMIT 200""", "tokens")
+def stored_index_topk(spark, d):
+    """The best hits by a stored index to which documents were added in two batches."""
+    scored = term_store.scores(spark, _stored_index(spark, d), _WORDS)
+    hits = scored.join(_docs(spark, d).select("docid", "ts"), "docid")
+    return rank.page(hits, rank.sort_order(1), limit=200).select("docid", "score")
+
+
+@query("stored_index_search", f"""
+    SELECT docid FROM doc_posts WHERE {_HAS.format('with')} AND NOT ({_HAS.format('that')})""", "tokens")
+def stored_index_search(spark, d):
+    found = term_store.search(spark, _stored_index(spark, d), _docs(spark, d), p.Term("with") & ~p.Term("that"))
+    return found.select("docid")
+
+
 @query("newest_hits_page", f"""WITH {_BM25} SELECT docid, score, ts FROM s JOIN doc_posts USING (docid) ORDER BY ts DESC, score DESC, docid LIMIT 50 OFFSET 25""", "tokens")
 def newest_hits_page(spark, d):
     scored = _scored(spark, d).join(_docs(spark, d).select("docid", "ts"), "docid")

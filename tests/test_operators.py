@@ -292,3 +292,24 @@ def test_peers_and_places_as_rows(spark):
                                    "oid string, folder string, uid bigint, name string")
     assert ann.blob_places(places).count() == 3
     assert ann.blob_places(places, places.where("oid = 'o'")).count() == 2
+
+
+def test_stored_index_reads_touched_buckets_only(spark, golden, tmp_path):
+    from archivelake.operators import term_store
+
+    _, docs = golden
+    fields = post.text_fields(docs)
+    path = str(tmp_path / "index")
+    first = docs.agg(F.min("docid")).first()[0]
+    term_store.add_documents(fields.where(F.col("docid") == first), path, 0)
+    for _ in range(2):  # a batch written again replaces itself
+        term_store.add_documents(fields.where(F.col("docid") != first), path, 1)
+    whole = post.build_postings(fields)
+    assert rows_of(term_store.read_postings(spark, path).select("docid", "field", "term", "wdf")) == rows_of(
+        whole.select("docid", "field", "term", "wdf"))
+    assert rows_of(term_store.scores(spark, path, ["brown"])) == rows_of(rank.bm25(whole, ["brown"]))
+    plan = term_store.read_postings(spark, path, ["brown"])._jdf.queryExecution().toString()
+    assert "bucket" in plan.split("PartitionFilters:")[1][:120]
+    for predicate in (p.Term("brown"), p.Phrase(("quick", "brown")), ~p.Term("brown"), p.Prefix("bro")):
+        assert rows_of(term_store.search(spark, path, docs, predicate).select("docid")) == rows_of(
+            p.search(whole, docs, predicate).select("docid"))
