@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivelake.functions import addresses, dates
-from archivelake.operators.ordered import row_numbers
+from archivelake.operators.ordered import row_numbers, running_sum
 from archivelake.operators.skew import keep_first, salted_lookup
 
 SLICE = 50_000  # fixed value: article numbers per mailbox slice
@@ -197,29 +197,25 @@ def mailbox_status(msgs: DataFrame, slice_size: int = SLICE) -> DataFrame:
 def maildrop_stat(msgs: DataFrame, reader_state: DataFrame) -> DataFrame:
     """Messages and bytes above each reader's highest deleted number.
 
-    `reader_state` has (user, inbox, last_del). Messages are counted per number
-    bucket first; only a bucket a reader has partly deleted is read row by row.
+    `reader_state` has (user, inbox, last_del). Readers' marks are put among the messages
+    as rows that count nothing; sums run from the newest message down, and a mark's sums
+    are its answer. No reader meets a message, however many there are of either.
     """
-    from archivelake.operators.ordered import bucket
-
-    cut = msgs.select("inbox", "num", "bytes").withColumn("_b", bucket(F.col("num")))
-    sums = cut.groupBy("inbox", "_b").agg(F.count("*").alias("n"), F.sum("bytes").alias("s"))
-    readers = reader_state.select("user", "inbox", "last_del").withColumn(
-        "_edge", bucket(F.col("last_del"))
+    messages = msgs.select(
+        "inbox", (F.col("num") * 2).alias("_place"), F.lit(1).cast("long").alias("_one"),
+        F.coalesce("bytes", F.lit(0)).cast("long").alias("_bytes"), F.lit(None).cast("string").alias("user"), F.lit(False).alias("_mark"),
     )
-    whole = readers.join(sums, "inbox", "left").groupBy("user", "inbox").agg(
-        F.coalesce(F.sum(F.when(F.col("_b") > F.col("_edge"), F.col("n"))), F.lit(0)).alias("n1"),
-        F.coalesce(F.sum(F.when(F.col("_b") > F.col("_edge"), F.col("s"))), F.lit(0)).alias("s1"),
+    # Just above the message of its own number, which counts as deleted.
+    marks = reader_state.select(
+        "inbox", (F.col("last_del") * 2 + 1).alias("_place"), F.lit(0).cast("long").alias("_one"), F.lit(0).cast("long").alias("_bytes"),
+        F.col("user").cast("string").alias("user"), F.lit(True).alias("_mark"),
     )
-    edge = readers.join(
-        cut.withColumnRenamed("_b", "_edge"), ["inbox", "_edge"]
-    ).where("num > last_del").groupBy("user", "inbox").agg(
-        F.count("*").alias("n2"), F.sum("bytes").alias("s2")
+    counted = running_sum(
+        messages.unionByName(marks), ["inbox"], "_place", F.col("_one"), width=2 * SLICE, descending=True, out="messages"
     )
-    return whole.join(edge, ["user", "inbox"], "left").select(
-        "user", "inbox",
-        (F.col("n1") + F.coalesce("n2", F.lit(0))).alias("messages"),
-        (F.col("s1") + F.coalesce("s2", F.lit(0))).alias("bytes"),
+    summed = running_sum(counted, ["inbox"], "_place", F.col("_bytes"), width=2 * SLICE, descending=True, out="bytes")
+    return summed.where("_mark").select(
+        "user", "inbox", F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("bytes", F.lit(0)).alias("bytes")
     )
 
 

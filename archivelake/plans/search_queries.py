@@ -257,7 +257,8 @@ def probe_passages(spark, d):
     ).where("phrase <> ''")
     words = probe.select("item_id", "phrase", F.explode(F.split("phrase", " ")).alias("term")).distinct()
     wanted = words.select("term").distinct()
-    seen = docs.select("docid", F.explode(F.array_distinct(tokens)).alias("term"))
+    # Only words of passages are counted.
+    seen = docs.select("docid", F.explode(F.array_distinct(tokens)).alias("term")).join(wanted, "term", "left_semi")
     df = seen.groupBy("term").agg(F.count("*").alias("df"))
     rarest = (
         words.join(wanted.join(df, "term", "left"), "term")
