@@ -30,10 +30,16 @@ def valid_labels(names: Column) -> Column:
 
 
 def _per_doc(changes: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per docid with the union of each array column."""
-    return changes.groupBy("docid").agg(
-        *[F.array_distinct(F.flatten(F.collect_list(_or_empty(c)))).alias(c) for c in columns]
-    )
+    """One row per docid with the union of each array column.
+
+    Names are made distinct before they are gathered, so a document changed very often
+    holds no more than its different names.
+    """
+    named = F.array(*[F.struct(F.lit(c).alias("column"), _or_empty(c).alias("names")) for c in columns])
+    each = changes.select("docid", F.inline(named)).select("docid", "column", F.explode_outer("names").alias("name"))
+    return each.distinct().groupBy("docid").agg(*[
+        F.array_sort(F.collect_set(F.when(F.col("column") == c, F.col("name")))).alias(c) for c in columns
+    ])
 
 
 def set_annotations(table: DataFrame, changes: DataFrame) -> DataFrame:
