@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivelake.llm import tokens
+from archivelake.llm.base import prepare, released
 from archivelake.session import durable, work_folder
 
 MAGIC = b"PKT1"
@@ -163,8 +164,6 @@ def write_files(
     its own, and only files named in the returned manifest count: what a lost or
     repeated task left is never read. The manifest is checkpointed.
     """
-    from archivelake.llm.base import prepare
-
     prepare(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +180,9 @@ def write_files(
                 name = f"tokens-{uuid.uuid4().hex}.pkt"
                 sink = store.open_output_stream(posixpath.join(base, name))
                 writer = Writer(sink, width, block_ids)
-            buffers = codec.ids(batch.column("text").to_pylist())
-            for doc_id, buffer in zip(batch.column("doc_id").to_pylist(), buffers, strict=True):
-                writer.add(doc_id, np.concatenate([np.frombuffer(buffer, codec.dtype), end]))
+            found = codec.ids(batch.column("text").to_pylist())
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                writer.add(doc_id, np.concatenate([own, end]))
         if writer is not None:
             writer.finish()
             sink.close()
@@ -195,7 +194,7 @@ def write_files(
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id")
     sorted_rows = ordered.sortWithinPartitions("doc_id", "text")
-    return durable(sorted_rows.mapInArrow(task, MANIFEST))
+    return durable(sorted_rows.mapInArrow(released(task), MANIFEST))
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -228,7 +227,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     # A given number of partitions, or Spark would put all of these small rows in one.
     spread = placed.coalesce(1).repartition(n_files)
-    return spread.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(released(task), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_to_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, str]:

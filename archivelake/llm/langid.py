@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivelake.llm.base import fold, unit_hash
+from archivelake.llm.base import fold, released, unit_hash
 
 DIMENSIONS = 1024
 SEED = 11
@@ -141,7 +141,7 @@ def learn(labelled: DataFrame, per_language: int = LEARN_DOCS) -> tuple[list[str
             value = np.round(np.concatenate(list(sums.values())) * 1e9).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(axis), pa.array(value)], names=["lang", "axis", "value"])
 
-    added = sample.select("text", "lang").mapInArrow(task, "lang string, axis int, value long")
+    added = sample.select("text", "lang").mapInArrow(released(task), "lang string, axis int, value long")
     rows = added.groupBy("lang", "axis").agg(F.sum("value").alias("value")).collect()
     names = sorted({r.lang for r in rows})
     prototypes = np.zeros((len(names), DIMENSIONS))
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, out: str
             arrays = [batch.column(c) for c in columns] + [pa.array(lang, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.mapInArrow(task, schema)
+    return docs.mapInArrow(released(task), schema)
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

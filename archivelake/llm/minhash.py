@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivelake.llm import wordhash
+from archivelake.llm.base import released
 from archivelake.session import durable
 
 SHINGLE_WORDS = 5
@@ -29,48 +31,26 @@ THRESHOLD = 0.8
 #: Band groups up to this size are compared pair by pair, larger ones with their least.
 PAIRWISE = 64
 
-#: Bytes of text hashed at once.
-_CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+#: Shingle hashes that the functions are applied to at once.
+_SHINGLES = 1 << 17
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Values of bytes, powers of the base and their inverses; factors, summands."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of bytes; factors and summands of the hash functions."""
     rng = np.random.default_rng(SEED)
+    factors, summands = rng.integers(0, (1 << 64) - 1, (2, FUNCTIONS), dtype=np.uint64, endpoint=True)
+    return wordhash.byte_values(SEED), factors | np.uint64(1), summands
 
-    def numbers(n: int) -> np.ndarray:
-        return rng.integers(0, _MASK, n, dtype=np.uint64, endpoint=True)
 
-    def powers(base: int) -> np.ndarray:
-        out = np.full(2 * _CHUNK, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return numbers(256), powers(_BASE), powers(pow(_BASE, -1, 1 << 64)), numbers(FUNCTIONS) | np.uint64(1), numbers(FUNCTIONS)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ x >> np.uint64(33)
-
-
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of UTF-8 text: a polynomial in the word's bytes.
-
-    Prefix sums give the value of any run of bytes; the inverse power takes out where
-    the run began.
-    """
-    values, powers, inverses, _, _ = _tables()
+def _word_hashes(data: bytes) -> np.ndarray:
+    """Hash of every word of UTF-8 text, A-Z lowered."""
+    if len(data) > wordhash.CHUNK:  # a word longer than a chunk
+        found = hashlib.blake2b(data.lower().strip(), digest_size=8).digest()
+        return np.frombuffer(found, "<u8")
     raw = np.frombuffer(data, np.uint8)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     low = raw + (((raw >= 65) & (raw <= 90)) << 5).astype(np.uint8)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(values[low] * powers[:len(raw)])])
-    return _mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64)), starts
+    return wordhash.span_hashes(low, *wordhash.word_spans(raw), _tables()[0])
 
 
 def _shingles(hashes: np.ndarray) -> np.ndarray:
@@ -80,30 +60,13 @@ def _shingles(hashes: np.ndarray) -> np.ndarray:
     size = min(SHINGLE_WORDS, len(hashes))
     total = np.zeros(len(hashes) - size + 1, np.uint64)
     for k in range(size):
-        total = total * np.uint64(_BASE) + hashes[k:len(hashes) - size + 1 + k]
-    return _mix(total + np.uint64(size))
-
-
-def _parts(data: bytes) -> Iterator[np.ndarray]:
-    """Word hashes of a text, in parts of bounded size cut at white space."""
-    low = 0
-    while len(data) - low > _CHUNK:
-        window = data[low:low + _CHUNK]
-        cut = max(window.rfind(bytes([c])) for c in (32, 9, 10, 11, 12, 13))
-        if cut <= 0:  # one word longer than a chunk
-            ends = [e for c in (32, 9, 10, 11, 12, 13) if (e := data.find(bytes([c]), low + _CHUNK)) >= 0]
-            cut = (min(ends) if ends else len(data)) - low
-            found = hashlib.blake2b(data[low:low + cut].lower().strip(), digest_size=8).digest()
-            yield np.frombuffer(found, "<u8")
-        else:
-            yield _word_hashes(data[low:low + cut])[0]
-        low += cut
-    yield _word_hashes(data[low:])[0]
+        total = total * np.uint64(wordhash.BASE) + hashes[k:len(hashes) - size + 1 + k]
+    return wordhash.mix(total + np.uint64(size))
 
 
 def shingle_hashes(text: str) -> np.ndarray:
     """Shingle hashes of a whole text, repeats included."""
-    return _shingles(np.concatenate(list(_parts(text.encode()))))
+    return _shingles(np.concatenate([_word_hashes(p) for p in wordhash.parts(text.encode())]))
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -111,7 +74,7 @@ def signatures(texts: list[str]) -> np.ndarray:
 
     Texts without words share one fingerprint, and equal texts always do.
     """
-    _, _, _, factors, summands = _tables()
+    _, factors, summands = _tables()
     out = np.full((len(texts), FUNCTIONS), 0xFFFF, np.uint16)
     group: list[np.ndarray] = []
     members: list[int] = []
@@ -126,7 +89,7 @@ def signatures(texts: list[str]) -> np.ndarray:
         for k in range(FUNCTIONS):
             least[:, k] = np.minimum.reduceat(found * factors[k] + summands[k], at)
         # The top bits of a minimum are nearly all zero: mix before taking 16.
-        out[members] = _mix(least) >> np.uint64(48)
+        out[members] = wordhash.mix(least) >> np.uint64(48)
 
     for i, text in enumerate(texts):
         found = shingle_hashes(text)
@@ -134,7 +97,7 @@ def signatures(texts: list[str]) -> np.ndarray:
             group.append(found)
             members.append(i)
             held += len(found)
-        if held > _CHUNK // 8:
+        if held > _SHINGLES:
             flush()
             group, members, held = [], [], 0
     flush()
@@ -222,7 +185,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last()]
     ranged = rows.repartitionByRange(order[0]).sortWithinPartitions(*order)
     numbered = ranged.withColumn("range", F.spark_partition_id().cast("long"))
-    found = durable(numbered.mapInArrow(task, f"kind string, range long, text string, {_RESULT}"))
+    found = durable(numbered.mapInArrow(released(task), f"kind string, range long, text string, {_RESULT}"))
 
     heads = found.where("kind = 'head'").select(
         F.col("range").alias("next_range"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fp")
@@ -273,15 +236,15 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
             values = signatures(own)[:, :n_bands * BAND_ROWS].reshape(len(own), n_bands, BAND_ROWS).astype(np.uint64)
             keys = np.zeros((len(own), n_bands), np.uint64)
             for k in range(BAND_ROWS):
-                keys = _mix(keys * np.uint64(_BASE) + values[:, :, k] + np.uint64(1))
-            keys ^= _mix(np.arange(n_bands, dtype=np.uint64))
+                keys = wordhash.mix(keys * np.uint64(wordhash.BASE) + values[:, :, k] + np.uint64(1))
+            keys ^= wordhash.mix(np.arange(n_bands, dtype=np.uint64))
             yield pa.RecordBatch.from_pydict({
                 "text_id": batch.column("text_id"),
                 "bands": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                 "shingles": pa.array([np.unique(shingle_hashes(t)).view(np.int64) for t in own], pa.list_(pa.int64())),
             })
 
-    signed = durable(texts.mapInArrow(task, "text_id long, bands array<long>, shingles array<long>"))
+    signed = durable(texts.mapInArrow(released(task), "text_id long, bands array<long>, shingles array<long>"))
     banded = signed.where(F.size("shingles") > 0).select("text_id", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("text_id").alias("least")).where("n > 1")
     shared = banded.join(sizes, "band")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivelake.llm import tokens
+from archivelake.llm.base import prepare, released
 from archivelake.session import durable
 
 CAPACITY = 2048
@@ -42,8 +43,6 @@ def token_pieces(
     length 1. Only documents longer than the capacity are cut; equal doc_ids are
     documents of their own.
     """
-    from archivelake.llm.base import prepare
-
     prepare(docs.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,9 +50,9 @@ def token_pieces(
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows: dict[str, list] = defaultdict(list)
-            buffers = codec.ids(batch.column("text").to_pylist())
-            for doc_id, buffer in zip(batch.column("doc_id").to_pylist(), buffers, strict=True):
-                ids = np.concatenate([np.frombuffer(buffer, codec.dtype), end]).astype("<u4")
+            found = codec.ids(batch.column("text").to_pylist())
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), found, strict=True):
+                ids = np.concatenate([own.astype("<u4"), end])
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start:start + capacity]
                     for name, value in (("doc_id", doc_id), ("piece", piece), ("start", start),
@@ -66,7 +65,7 @@ def token_pieces(
                 )
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(task, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(task), schema)
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], dict[int, int]]:

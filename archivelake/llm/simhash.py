@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivelake.llm.base import free_name
+from archivelake.llm.base import free_name, released
 from archivelake.operators.skew import salted_lookup, with_group_totals
 from archivelake.operators.threads import components
 from archivelake.session import durable
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
         F.col("text").cast("binary").alias("text"),
     )
-    return rows.mapInArrow(task, "doc_id long, text_key long, fp long")
+    return rows.mapInArrow(released(task), "doc_id long, text_key long, fp long")
 
 
 def _remainders(words: np.ndarray) -> np.ndarray:
@@ -140,7 +140,7 @@ def _keyed(fps: DataFrame) -> DataFrame:
             row, key = fuzzy_keys(values)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(values[row])], names=["key", "fp"])
 
-    return fps.select("fp").mapInArrow(task, "key long, fp long")
+    return fps.select("fp").mapInArrow(released(task), "key long, fp long")
 
 
 def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from archivelake.llm.base import WordMemory, fold, unit_hash
+from archivelake.llm.base import WordMemory, fold, released, unit_hash
 from archivelake.session import durable
 
 SEED = 23
@@ -171,7 +171,7 @@ def _count_features(sample: DataFrame) -> DataFrame:
         if counts:
             yield rows(counts)
 
-    counted = sample.mapInArrow(task, "feature string, y int, n long")
+    counted = sample.mapInArrow(released(task), "feature string, y int, n long")
     return counted.groupBy("feature").agg(
         F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"),
@@ -210,7 +210,7 @@ def _windows(sample: DataFrame, number: dict[str, int], marking: frozenset[str])
                 )
 
     schema = "features array<array<int>>, tags array<int>, n long"
-    return sample.mapInArrow(task, schema).groupBy("features", "tags").agg(F.sum("n").alias("n"))
+    return sample.mapInArrow(released(task), schema).groupBy("features", "tags").agg(F.sum("n").alias("n"))
 
 
 def fit_chain(
@@ -365,7 +365,7 @@ def _tagged(docs: DataFrame, model: Model, keep: list[str], out: str) -> DataFra
                 [*arrays, pa.array(columns[3], span_type)], names=schema.names
             )
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(task, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(released(task), schema)
 
 
 def score(

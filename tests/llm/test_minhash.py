@@ -89,9 +89,11 @@ def test_one_and_no_document(odd_docs, make_docs, store, spark):
 def test_long_texts_hash_like_short_ones(monkeypatch):
     text = " ".join(random.Random(1).choices(["alpha", "Beta", "γάμμα", "x" * 30], k=4000))
     whole = minhash.shingle_hashes(text)
-    monkeypatch.setattr(minhash, "_CHUNK", 500)
+    monkeypatch.setattr(minhash.wordhash, "CHUNK", 500)
+    minhash.wordhash._powers.cache_clear()
     assert (minhash.shingle_hashes(text) == whole).all()
     assert len(minhash.shingle_hashes("y" * 2000 + " " + "z" * 2000)) == 1
+    minhash.wordhash._powers.cache_clear()
 
 
 def test_links_equal_brute_force(spark, make_docs):
