@@ -20,10 +20,11 @@ from archivelake.llm.base import WordMemory
 #: Name of the vocabulary file; callers may pass a path instead.
 VOCABULARY = "word_bpe_49k.json"
 
-#: Words in each of the two generations a worker remembers: about 200 MB in all.
-MEMORY_WORDS = 600_000
+#: Words in each of the two generations a worker remembers: about 150 MB in all.
+MEMORY_WORDS = 500_000
 
-_TAIL = '.,;:!?*$%&#|()"'
+#: Punctuation after a letter always begins a piece of its own.
+_TAIL = b'.,;:!?*$%&#|()"'
 #: Only these characters are lowered before the look-up; for others the order of
 #: normal form and lower case could matter.
 _OTHER = re.compile("[^\x00-įı-ɏ]")
@@ -45,7 +46,6 @@ class WordEncoder:
         self._ends = np.zeros(self.size, bool)
         self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._memory = WordMemory(self._learn, MEMORY_WORDS)
-        self._cores: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -53,19 +53,8 @@ class WordEncoder:
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
         """Encode unknown words: plain letters together, the others one by one."""
-        cores = {}
-        for word in new:
-            core = word.rstrip(_TAIL)
-            # A letter before the punctuation always ends a piece there.
-            cores[word] = core if core and core[-1].isalpha() else word
-        if len(self._cores) > MEMORY_WORDS // 2:
-            self._cores.clear()
-        known = self._cores
-        unknown = {c for c in {*cores.values(), *(w[len(c):] for w, c in cores.items())} if c not in known}
-        letters = [c for c in unknown if c.isalpha()]
-        for c in unknown:
-            if not c.isalpha():
-                known[c] = self._whole(c)
+        letters = [w for w in new if w.isalpha()]
+        learned = {w: self._whole(w) for w in new if not w.isalpha()}
         width = self.dtype.itemsize
         for at in range(0, len(letters), 256):
             part = letters[at:at + 256]
@@ -73,13 +62,13 @@ class WordEncoder:
             ends = (np.flatnonzero(self._ends[ids]) + 1) * width
             buffer = ids.tobytes()
             if len(ends) != len(part):  # a letter that the tokenizer parts words at
-                known.update((c, self._whole(c)) for c in part)
+                learned.update((w, self._whole(w)) for w in part)
                 continue
             low = 0
-            for c, high in zip(part, ends.tolist(), strict=True):
-                known[c] = buffer[low:high]
+            for word, high in zip(part, ends.tolist(), strict=True):
+                learned[word] = buffer[low:high]
                 low = high
-        return {w: known[c] + known[w[len(c):]] if c != w else known[c] for w, c in cores.items()}
+        return learned
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of the texts, as arrays of `dtype`; a null text has none."""
@@ -112,7 +101,7 @@ class WordEncoder:
             return [np.frombuffer(self._whole(pieces[0].decode()), self.dtype)]
         data = b"\n".join(pieces)
         raw = np.frombuffer(data, np.uint8)
-        starts, ends = wordhash.word_spans(raw)
+        starts, ends = wordhash.without_tails(raw, *wordhash.word_spans(raw), _TAIL)
         first, number = self._distinct(data, raw, starts, ends)
         words = [data[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         known = self._memory.values([words])[0]

@@ -44,6 +44,23 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+def without_tails(
+    raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, tail: bytes
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of lower-case text with the tail of some bytes after a letter cut off.
+
+    Only a-z and the lower letters of Latin-1 count as letters here; other words stay
+    whole. A cut word gives two spans.
+    """
+    is_tail = np.isin(np.arange(256), np.frombuffer(tail, np.uint8))[raw]
+    kept = np.maximum.accumulate(np.where(is_tail, -1, np.arange(len(raw))))
+    cut = kept[ends - 1] + 1
+    last, before = raw[cut - 1], raw[np.maximum(cut - 2, 0)]
+    letter = ((last >= 97) & (last <= 122)) | ((before == 0xC3) & (last >= 0xA0) & (last <= 0xBF) & (last != 0xB7))
+    cut = cut[(cut > starts) & (cut < ends) & letter]
+    return np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Hash of each span of at most CHUNK bytes: a polynomial in the bytes' values.
 
