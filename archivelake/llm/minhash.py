@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from archivelake.llm import wordhash
 from archivelake.llm.base import released
+from archivelake.operators.skew import salted_lookup
 from archivelake.session import durable
 
 SHINGLE_WORDS = 5
@@ -28,7 +29,8 @@ SEED = 7
 #: Bands of this many values: texts of likeness 0.8 miss all 25 once in 20,000 pairs.
 BAND_ROWS = 5
 THRESHOLD = 0.8
-#: Band groups up to this size are compared pair by pair, larger ones with their least.
+#: Band groups up to this size are compared pair by pair; the texts of larger ones meet
+#: on their rarest shingles.
 PAIRWISE = 64
 
 #: Shingle hashes that the functions are applied to at once.
@@ -213,6 +215,41 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     return found.where("kind = 'row'").drop("kind", "range", "text").unionByName(last)
 
 
+def _rare_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b, of all rows of (text_id, shingles) whose likeness can be `threshold`.
+
+    Two sets of likeness t have at least t of each in common, so with shingles in one
+    order for all they share one of the first n - ceil(t n) + 1 of either. Rare ones come
+    first, so what many texts have in common seldom counts. The holders of a shingle that
+    more than PAIRWISE texts begin with are dealt to several tasks on one side.
+    """
+    each = sets.select("text_id", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = salted_lookup(each, often, ["shingle"], spread_on="text_id").groupBy("text_id").agg(
+        F.sort_array(F.collect_list(F.struct("often", "shingle"))).alias("ranked")
+    )
+    n = F.size("ranked")
+    # A little is taken off, so that rounding can only lengthen the beginning.
+    reach = (n - F.ceil(n * F.lit(threshold) - F.lit(1e-6)) + 1).cast("int")
+    begun = durable(ranked.select("text_id", n.alias("n"), F.explode(
+        F.transform(F.slice("ranked", 1, reach), lambda x: x["shingle"])
+    ).alias("shingle")))
+    shares = begun.groupBy("shingle").agg(
+        F.ceil(F.count("*") / PAIRWISE).cast("int").alias("shares"), F.count("*").alias("met")
+    ).where("met > 1").drop("met")
+    dealt = salted_lookup(begun, shares, ["shingle"], spread_on="text_id")
+    left = dealt.select(
+        "shingle", F.pmod(F.xxhash64("text_id"), F.col("shares")).cast("int").alias("share"),
+        F.col("text_id").alias("a"), F.col("n").alias("n_a"),
+    )
+    right = dealt.select(
+        "shingle", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"),
+        F.col("text_id").alias("b"), F.col("n").alias("n_b"),
+    )
+    alike = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - F.lit(1e-6)
+    return left.join(right, ["shingle", "share"]).where(F.col("a") < F.col("b")).where(alike).select("a", "b")
+
+
 def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Links between different texts whose shingle sets have a Jaccard likeness of
     `threshold`, and the text every document has.
@@ -220,9 +257,8 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     Returns (a, b, jaccard) with a < b, ids of texts, and (doc_id, text_id); a text's id
     is the hash of it, so copies meet in one text before anything is compared. Texts
     meet in bands of their fingerprints. Groups of up to PAIRWISE texts are compared
-    pair by pair; in larger ones every text is compared with the least only, so near
-    copies there are linked through it and links beside it may be left out. Every link
-    is verified on the full sets of shingle hashes.
+    pair by pair; the texts of all larger ones meet on their rarest shingles, which finds
+    every link among them. Every link is verified on the full sets of shingle hashes.
     """
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
@@ -251,11 +287,10 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     small = shared.where(F.col("n") <= PAIRWISE)
     left, right = small.select("band", F.col("text_id").alias("a")), small.select("band", F.col("text_id").alias("b"))
     pairs = left.join(right, "band").where("a < b").select("a", "b")
-    stars = shared.where((F.col("n") > PAIRWISE) & (F.col("text_id") > F.col("least"))).select(
-        F.col("least").alias("a"), F.col("text_id").alias("b")
-    )
-    candidates = pairs.union(stars).distinct()
     sets = signed.select("text_id", "shingles")
+    crowded = shared.where(F.col("n") > PAIRWISE).select("text_id").distinct()
+    rare = _rare_pairs(sets.join(crowded, "text_id"), threshold)
+    candidates = pairs.union(rare).distinct()
     both = candidates.join(sets.toDF("a", "_a"), "a").join(sets.toDF("b", "_b"), "b")
     common = F.size(F.array_intersect("_a", "_b"))
     jaccard = common / (F.size("_a") + F.size("_b") - common)

@@ -120,3 +120,35 @@ def test_links_equal_brute_force(spark, make_docs):
             if s != t and j >= 0.8:
                 want[tuple(sorted((text_of[a], text_of[b])))] = j
     assert got == pytest.approx(want)
+
+
+def test_links_of_large_groups_equal_brute_force(spark, make_docs):
+    """Hundreds of near copies of a page, of texts with much in common, and a chain of edits."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(500)]
+    page, common, walk = (rng.choices(vocabulary, k=120) for _ in range(3))
+    texts = []
+    for _ in range(300):
+        copy = list(page)
+        for at in rng.sample(range(120), rng.randrange(1, 4)):
+            copy[at] = f"{rng.choice(vocabulary)}x"
+        texts.append(" ".join(copy))
+    for _ in range(150):
+        texts.append(" ".join([*common[:90], *rng.choices(vocabulary, k=rng.randrange(12, 60))]))
+    for _ in range(200):
+        walk[rng.randrange(120)] = rng.choice(vocabulary)
+        texts.append(" ".join(walk))
+    texts = list(dict.fromkeys(texts))
+    links, members = minhash.near_links(make_docs(list(enumerate(texts))))
+    text_of = {r.doc_id: r.text_id for r in members.collect()}
+    rows = [tuple(r) for r in links.collect()]
+    got = {r[:2]: r[2] for r in rows}
+    assert len(got) == len(rows)
+    sets = [plain_shingles(t) for t in texts]
+    want = {}
+    for i, s in enumerate(sets):
+        for k, t in enumerate(sets[:i]):
+            if (j := jaccard(s, t)) >= 0.8:
+                want[tuple(sorted((text_of[i], text_of[k])))] = j
+    assert len(want) > 5000
+    assert got == pytest.approx(want)
