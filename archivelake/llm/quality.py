@@ -23,16 +23,16 @@ MAX_REPEAT_PERCENT = 30
 #: Share of vectors in the tight part, and number of concentration steps.
 SUPPORT = 0.75
 STEPS = 3
-#: Squared distance above which a vector is rejected: about the chi-square quantile of
-#: five degrees of freedom at 1 - 1e-9. Clean text has heavier tails than a normal law.
-CUTOFF = 50.0
+#: Squared distance above which a vector is rejected: the chi-square quantile of five
+#: degrees of freedom at 0.999.
+CUTOFF = 20.515
 #: Median of the chi-square law of five degrees of freedom: fixed value.
 CHI_SQUARE_MEDIAN = 4.3515
 #: Groups below this size are pooled: first within their language, then over all.
 MIN_GROUP = 50
 #: Least standard deviation of each statistic: where (almost) all values are equal, a
 #: trifle must not reject a text.
-FLOORS = {"length": 0.5, "word_length": 0.1, "symbols": 0.6, "repeats": 0.6, "lines": 0.6}
+FLOORS = {"length": 0.25, "word_length": 0.05, "symbols": 0.3, "repeats": 0.6, "lines": 0.6}
 NAMES = list(FLOORS)
 
 #: Up to this many groups are broadcast; beyond it they are joined with salted keys.
@@ -194,7 +194,8 @@ def outlyingness(rows: DataFrame) -> DataFrame:
 
     A concentration step takes the SUPPORT share of a stratum nearest to the last
     estimate and estimates centre and scatter anew; each one lowers the determinant.
-    Distances are scaled so that their median is that of a normal law. Every group
+    Distances are scaled down to the median of a normal law, but not up to it: where a
+    statistic hardly varies the median is small although nothing is far. Every group
     value is a partial aggregate, so no task holds a group.
     """
     n_groups = rows.select("stratum").distinct().count()

@@ -113,3 +113,28 @@ def test_odd_rows(odd_docs, make_docs, store, spark):
     rows = queries.QUERIES[NAME](spark, store(documents=docs.selectExpr("*", "1 AS kept", "2 AS stratum", "3 AS _words"))).collect()
     check_counts(rows, docs.collect())
     assert queries.QUERIES[NAME](spark, store(documents=odd_docs.limit(0))).collect() == []
+
+
+def test_one_odd_statistic_rejects_alone(spark, make_docs):
+    """Among equal clean texts, the strictest case: each count by itself, and trifles that stay."""
+    plain = [f"word{i}" for i in range(100, 200)]
+    odd = {
+        1000: [w[0] + w[-3:] + "#$%" for w in plain], 1001: [w[1:] + "&" for w in plain],
+        1002: plain[:80] + plain[:14] + plain[94:], 1003: [f"word{i}" for i in range(100, 1000)],
+    }
+    trifles = {2000: [*plain[:-1], "word#99"], 2001: plain[:60]}
+    rows = [(i, " ".join(plain), "en", "a") for i in range(200)]
+    rows += [(i, " ".join(words), "en", "a") for i, words in {**odd, **trifles}.items()]
+    lines = [" ".join(f"w{i}x{k:04}" for k in range(8)) + "\nx" for i in range(20)]
+    rows.append((1004, "\n".join(lines), "en", "a"))
+    got = {r.doc_id: r for r in quality.judge(make_docs(rows)).collect()}
+    assert [i for i, r in got.items() if r.base_failed] == []
+    assert sorted(i for i, r in got.items() if not r.kept) == [*range(1000, 1005)]
+
+
+def test_labelled_junk_goes_and_clean_text_stays(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    rows = quality.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    passed = rows.where("not base_failed").join(labels, "doc_id").collect()
+    junk, clean = ([r.kept for r in passed if r.quality == q] for q in (0, 1))
+    assert sum(junk) <= 0.1 * len(junk) and sum(clean) >= 0.97 * len(clean)
