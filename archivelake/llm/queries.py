@@ -139,8 +139,9 @@ def op1_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_list(pages: DataFrame, events: DataFrame) -> DataFrame:
-    """A dated list from the tables: every event is an entry about the page of its number.
+    """A dated list from the tables: an event is an entry about the page of its number.
 
+    Events whose number is no page id are left out, as the registered SQL leaves them.
     Views and purchases list its host, clicks its address, sign-ups its domain; errors
     take its host off. Purchases expire after a day and sign-ups after six hours.
     """
