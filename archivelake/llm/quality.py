@@ -28,7 +28,8 @@ STEPS = 3
 CUTOFF = 20.515
 #: Median of the chi-square law of five degrees of freedom: fixed value.
 CHI_SQUARE_MEDIAN = 4.3515
-#: Groups below this size are pooled: first within their language, then over all.
+#: Groups below this size are pooled within their language; what is left is judged by the
+#: whole language, or pooled over all if that is below this size too.
 MIN_GROUP = 50
 #: Least standard deviation of each statistic: where (almost) all values are equal, a
 #: trifle must not reject a text.
@@ -118,22 +119,28 @@ def _attach(rows: DataFrame, table: DataFrame, n_groups: int, keys: list[str]) -
 
 
 def _stratum(counted: DataFrame) -> tuple[DataFrame, int]:
-    """(group_lang, group_source, stratum) per group with enough texts or a pool that has.
+    """(group_lang, group_source, stratum, whole) per group with enough texts or a pool that has.
 
-    Texts that no pool has enough of have no stratum.
+    What is left of a language with enough texts has the `whole` language as its stratum,
+    which takes in the texts of the other strata too. Texts that no pool has enough of
+    have no stratum.
     """
     sizes = counted.groupBy("group_lang", "group_source").agg(F.count("*").alias("n"))
     big = F.col("n") >= MIN_GROUP
-    pools = sizes.where(~big).groupBy("group_lang").agg(F.sum("n").alias("pooled"))
-    rest = pools.where(F.col("pooled") < MIN_GROUP).agg(F.coalesce(F.sum("pooled"), F.lit(0)).alias("rest"))
+    pools = sizes.groupBy("group_lang").agg(
+        F.sum(F.when(big, 0).otherwise(F.col("n"))).alias("pooled"), F.sum("n").alias("spoken")
+    )
+    rest = pools.where(F.col("spoken") < MIN_GROUP).agg(F.coalesce(F.sum("pooled"), F.lit(0)).alias("rest"))
+    whole = ~big & (F.col("pooled") < MIN_GROUP) & (F.col("spoken") >= MIN_GROUP)
     name = (
         F.when(big, F.concat_ws("\u0000", F.lit("group"), "group_lang", "group_source"))
         .when(F.col("pooled") >= MIN_GROUP, F.concat_ws("\u0000", F.lit("language"), "group_lang"))
+        .when(whole, F.concat_ws("\u0000", F.lit("whole"), "group_lang"))
         .when(F.col("rest") >= MIN_GROUP, F.lit("all"))
     )
     named = sizes.join(pools, "group_lang", "left").crossJoin(F.broadcast(rest))  # `rest` is one row
-    named = named.select("group_lang", "group_source", name.alias("stratum")).where("stratum is not null")
-    return durable_count(named, F.lit(True))
+    named = named.select("group_lang", "group_source", name.alias("stratum"), whole.alias("whole"))
+    return durable_count(named.where("stratum is not null"), F.lit(True))
 
 
 def _distance(rows: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
@@ -219,7 +226,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     A null language or source is a value of its own. A text that fails a base rule is
     not kept, has no distance and takes no part in the estimates; neither do texts of
-    groups too small even when pooled, which are kept. The counts are stored once,
+    groups and languages too small even when pooled, which are kept. The counts are stored once,
     without the texts; the steps read that narrow table.
     """
     described = with_counts(docs.select(
@@ -234,8 +241,16 @@ def judge(docs: DataFrame) -> DataFrame:
     groups, n_groups = _stratum(passed)
     keys = ["group_lang", "group_source"]
     kept = ["doc_id", *COUNTS, "base_failed"]
-    measured = _attach(passed, groups, n_groups, keys).select(*kept, "row_hash", "stratum", *_statistics())
-    far = outlyingness(durable(measured))
+    own = _attach(passed, groups, n_groups, keys).select(
+        *kept, "row_hash", "group_lang", "stratum", "whole", *_statistics(), F.lit(True).alias("judged")
+    )
+    # Leftovers are judged among all texts of their language, which stand there as well.
+    wholes = groups.where("whole").select("group_lang", F.col("stratum").alias("among")).distinct()
+    witnesses = _attach(own.where("not whole"), wholes, n_groups, ["group_lang"]).withColumns(
+        {"stratum": F.col("among"), "judged": F.lit(False)}
+    )
+    measured = own.unionByName(witnesses.drop("among")).drop("group_lang", "whole")
+    far = outlyingness(durable(measured)).where("judged")
     told = far.select(*kept, (F.col("distance") <= CUTOFF).alias("kept"), "distance")
     spared = (
         passed.join(F.broadcast(groups), keys, "left_anti") if n_groups <= BROADCAST_GROUPS

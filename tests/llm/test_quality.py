@@ -138,3 +138,24 @@ def test_labelled_junk_goes_and_clean_text_stays(spark):
     passed = rows.where("not base_failed").join(labels, "doc_id").collect()
     junk, clean = ([r.kept for r in passed if r.quality == q] for q in (0, 1))
     assert sum(junk) <= 0.1 * len(junk) and sum(clean) >= 0.97 * len(clean)
+
+
+def test_leftovers_are_judged_by_their_whole_language(spark, make_docs):
+    """30 texts of a new source, all other groups large; the other groups' distances stay."""
+    rng = np.random.default_rng(4)
+
+    def text():
+        return " ".join("w" * rng.integers(2, 9) + str(rng.integers(0, 400)) for _ in range(rng.integers(25, 300)))
+
+    large = [(i, text(), "en", f"s{i % 2}") for i in range(200)]
+    new = [(1000 + i, text().replace("w", "#" if i < 3 else "w"), "en", "new") for i in range(30)]
+    want = plain_distances(np.array([vector(plain_counts(r[1])) for r in [*large, *new]]))[200:]
+    alone = {r.doc_id: r.distance for r in quality.judge(make_docs(large)).collect()}
+    rows = quality.judge(make_docs([*large, *new])).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(got) == 230
+    for (doc_id, *_), distance in zip(new, want, strict=True):
+        assert got[doc_id].distance == pytest.approx(distance, rel=0.05)
+        assert got[doc_id].kept == (got[doc_id].distance <= quality.CUTOFF)
+    assert not any(got[i].kept for i in (1000, 1001, 1002))
+    assert {i: got[i].distance for i in alone} == pytest.approx(alone)
