@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivelake.llm import bitpack, chat, langid, minhash, mixing, packing, quality, simhash, toxicity, url_lists
+from archivelake.llm import (
+    bitpack, chat, langid, merkle, minhash, mixing, packing, quality, simhash, toxicity, url_lists,
+)
 from archivelake.llm.base import prepare, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,3 +216,78 @@ def op5_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = F.lit(1704067200) + (F.col("page_id") * 7919) % 2592000
     captures = pages.select(F.col("page_id").alias("capture_id"), "url", fetched.alias("fetched"))
     return url_lists.judge(captures, _url_list(pages, read_table(spark, sf_dir, "events")))
+
+
+@query(
+    "op13_merkle_manifest",
+    r"""
+    WITH RECURSIVE crc_table AS (
+        SELECT list(v ORDER BY n) AS t FROM (
+            SELECT n, list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n) AS v
+            FROM range(256) AS r(n)
+        )
+    ), documents_hit AS (
+        SELECT *, xor(list_reduce(
+            list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substring(doc_id::VARCHAR, i::INT, 1))::BIGINT),
+            lambda v, byte: xor(v >> 8, t[xor(v & 255, byte) + 1]), 4294967295), 4294967295) % 3 = 0 AS hit
+        FROM documents, crc_table
+    ), fields AS (
+        SELECT doc_id, lang, hit, text,
+            coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front,
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+        FROM documents_hit
+    ), leaves AS (
+        SELECT doc_id, lang, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            sha256(front || coalesce(strlen(text) || ':' || CASE WHEN hit THEN lowered ELSE text END, '-')) AS shown
+        FROM fields
+    ), placed AS (
+        SELECT *, row_number() OVER w - 1 AS pos, row_number() OVER () AS id, count(*) OVER (PARTITION BY lang) AS n
+        FROM leaves WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)
+    ), nodes AS (
+        SELECT lang, 0 AS level, pos, leaf AS digest, n FROM placed
+        UNION ALL
+        SELECT lang, level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8
+        FROM nodes WHERE n > 1 GROUP BY lang, level, pos // 8, n
+    ), subroots AS (
+        SELECT lang, digest AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS place,
+            count(*) OVER () AS n
+        FROM nodes WHERE n = 1
+    ), tops AS (
+        SELECT 0 AS level, place AS pos, subroot AS digest, n FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8
+        FROM tops WHERE n > 1 GROUP BY level, pos // 8, n
+    ), runs AS (
+        SELECT 0 AS part, lang, level, pos, digest, n, string_agg(digest, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lft,
+            string_agg(digest, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rgt
+        FROM nodes WINDOW b AS (PARTITION BY lang, level, pos // 8 ORDER BY pos)
+        UNION ALL
+        SELECT 1, NULL, level, pos, digest, n, string_agg(digest, '') OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+            string_agg(digest, '') OVER (b ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+        FROM tops WINDOW b AS (PARTITION BY level, pos // 8 ORDER BY pos)
+    ), steps AS (
+        SELECT id, part, level, coalesce(lft, '') AS lft, coalesce(rgt, '') AS rgt
+        FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang
+        JOIN runs r ON r.n > 1 AND ((part = 0 AND r.lang IS NOT DISTINCT FROM p.lang AND r.pos = p.pos // (8 ** level)::BIGINT)
+            OR (part = 1 AND r.pos = s.place // (8 ** level)::BIGINT))
+    ), numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY id ORDER BY part, level) AS k FROM steps
+    ), proofs AS (
+        SELECT id, string_agg(lft || rgt, '' ORDER BY k) AS siblings FROM numbered GROUP BY id
+    ), folded AS (
+        SELECT id, 0 AS k, shown AS digest FROM placed
+        UNION ALL
+        SELECT f.id, s.k::INT, sha256(s.lft || f.digest || s.rgt) FROM folded f JOIN numbered s ON s.id = f.id AND s.k = f.k + 1
+    ), ends AS (
+        SELECT id, max_by(digest, k) AS folded_root FROM folded GROUP BY id
+    )
+    SELECT p.doc_id, p.leaf, s.subroot, t.digest AS root, sha256(coalesce(x.siblings, '')) AS proof_sha256,
+        e.folded_root, e.folded_root = t.digest AS verified
+    FROM placed p JOIN subroots s ON p.lang IS NOT DISTINCT FROM s.lang JOIN tops t ON t.n = 1
+    JOIN ends e USING (id) LEFT JOIN proofs x USING (id)
+    """,
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root folded from a tampered leaf."""
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
