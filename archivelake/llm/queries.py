@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivelake.llm import (
-    bitpack, chat, langid, merkle, minhash, mixing, packing, quality, simhash, toxicity, url_lists,
+    bitpack, chat, langid, merkle, minhash, mixing, packing, quality, repair, simhash, toxicity, url_lists,
 )
 from archivelake.llm.base import prepare, read_table
 
@@ -291,3 +291,95 @@ def op5_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the root folded from a tampered leaf."""
     return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_conversation_repair",
+    r"""
+    WITH RECURSIVE crc_table AS (
+        SELECT list(v ORDER BY n) AS t FROM (
+            SELECT n, list_reduce(range(8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n) AS v
+            FROM range(256) AS r(n)
+        )
+    ), named AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+        FROM conversations
+    ), fated AS (
+        SELECT named.*, xor(list_reduce(
+            list_transform(range(1, length(name) + 1), lambda i: ascii(substring(name, i::INT, 1))::BIGINT),
+            lambda v, byte: xor(v >> 8, t[xor(v & 255, byte) + 1]), 4294967295), 4294967295) % 20 AS fate
+        FROM named, crc_table
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+            CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+        FROM fated, range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)
+    ), placed AS (
+        SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+            CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS initial,
+            lag(left(role, 1)) OVER w || left(role, 1) AS pair,
+            regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS ended
+        FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))
+    ), judged AS (
+        SELECT *, CASE WHEN ended = '' THEN 'blank'
+            WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 'duplicate'
+            WHEN ended NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault
+        FROM placed
+    ), counted AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+            count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au') OR place > 1 AND pair IS NULL) AS illegal
+        FROM judged GROUP BY conv_id
+    ), best AS (  -- least (cost, edits) of the turns after `place`, by state: e, s, u, a
+        SELECT conv_id, n AS place, {'c': 0, 'p': ''} AS e, {'c': 4, 'p': 'II'} AS s, {'c': 2, 'p': 'I'} AS u, {'c': 0, 'p': ''} AS a
+        FROM judged WHERE place = n
+        UNION ALL
+        SELECT conv_id, place, list_min([de, iu, {'c': iia.c + 4, 'p': 'II' || iia.p}]), list_min([ds, iu, {'c': iia.c + 4, 'p': 'II' || iia.p}]),
+            list_min([du, ia, {'c': iiu.c + 4, 'p': 'II' || iiu.p}]), list_min([da, iu, {'c': iia.c + 4, 'p': 'II' || iia.p}])
+        FROM (
+            SELECT *, {'c': du.c + 2, 'p': 'I' || du.p} AS iu, {'c': da.c + 2, 'p': 'I' || da.p} AS ia, du AS iiu, da AS iia FROM (
+                SELECT b.conv_id, b.place - 1 AS place,
+                    list_min([{'c': e.c + 3, 'p': 'D' || e.p}, CASE WHEN stays AND initial = 's' THEN {'c': s.c + cut, 'p': 'K' || s.p} END,
+                        CASE WHEN stays AND initial = 'u' THEN {'c': u.c + cut, 'p': 'K' || u.p} END,
+                        CASE WHEN stays THEN {'c': u.c + cut + 2, 'p': 'R' || u.p} END]) AS de,
+                    list_min([{'c': s.c + 3, 'p': 'D' || s.p}, CASE WHEN stays AND initial = 'u' THEN {'c': u.c + cut, 'p': 'K' || u.p} END,
+                        CASE WHEN stays THEN {'c': u.c + cut + 2, 'p': 'R' || u.p} END]) AS ds,
+                    list_min([{'c': u.c + 3, 'p': 'D' || u.p}, CASE WHEN stays AND initial = 'a' THEN {'c': a.c + cut, 'p': 'K' || a.p} END,
+                        CASE WHEN stays THEN {'c': a.c + cut + 2, 'p': 'R' || a.p} END]) AS du,
+                    list_min([{'c': a.c + 3, 'p': 'D' || a.p}, CASE WHEN stays AND initial = 'u' THEN {'c': u.c + cut, 'p': 'K' || u.p} END,
+                        CASE WHEN stays THEN {'c': u.c + cut + 2, 'p': 'R' || u.p} END]) AS da
+                FROM best b JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, (fault = 'truncated')::INT AS cut FROM judged) j
+                    ON j.conv_id IS NOT DISTINCT FROM b.conv_id AND j.place = b.place
+            )
+        )
+    ), answer AS (
+        SELECT conv_id, e.c AS cost, e.p AS edits FROM best WHERE place = 0
+    ), walked AS (  -- the edits one after the other: turns used, state, lines
+        SELECT conv_id, edits, 0 AS step, 0::BIGINT AS used, 'e' AS state, []::VARCHAR[] AS lines FROM answer
+        UNION ALL
+        SELECT conv_id, edits, step + 1, used + (edit <> 'I')::INT,
+            CASE edit WHEN 'D' THEN state WHEN 'K' THEN initial ELSE given END,
+            CASE edit WHEN 'D' THEN lines WHEN 'I' THEN list_append(lines, long || ':')
+                WHEN 'R' THEN list_append(lines, long || ':' || text) ELSE list_append(lines, role || ':' || text) END
+        FROM (
+            SELECT w.*, edits[step + 1] AS edit, CASE state WHEN 'u' THEN 'a' ELSE 'u' END AS given,
+                CASE state WHEN 'u' THEN 'assistant' ELSE 'user' END AS long, j.initial, j.role, j.text
+            FROM walked w LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.place = w.used + 1
+            WHERE step < length(edits)
+        )
+    ), read AS (
+        SELECT conv_id, sha256(array_to_string(lines, chr(10))) AS repaired_sha256 FROM walked WHERE step = length(edits)
+    )
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+        coalesce(edits, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN answer a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+    LEFT JOIN read r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after a damage, the cheapest edits that repair them and a digest."""
+    return repair.audit(read_table(spark, sf_dir, "conversations"))
