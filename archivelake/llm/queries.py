@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivelake.llm import (
-    bitpack, chat, langid, merkle, minhash, mixing, packing, quality, repair, simhash, toxicity, url_lists,
+    bitpack, chat, langid, line_quality, merkle, minhash, mixing, packing, quality, repair, simhash, toxicity, url_lists,
 )
 from archivelake.llm.base import prepare, read_table
 
@@ -383,3 +383,10 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations after a damage, the cheapest edits that repair them and a digest."""
     return repair.audit(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op12_line_quality_crf")
+def op12_line_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, with the lines that count as bad."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_quality.judge(docs, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
