@@ -141,18 +141,20 @@ def op1_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _url_list(pages: DataFrame, events: DataFrame) -> DataFrame:
-    """A dated list from the tables: an event is an entry about the page of its number.
+    """A dated list from the tables: every event is an entry about a page.
 
-    Events whose number is no page id are left out, as the registered SQL leaves them.
-    Views and purchases list its host, clicks its address, sign-ups its domain; errors
-    take its host off. Purchases expire after a day and sign-ups after six hours.
+    Pages are numbered densely in the order of their ids, and an event is about the page
+    whose number is the event's id modulo the number of pages. So entries last as long as
+    the events do, and an address is listed, taken off and listed again. Views and
+    purchases list the page's host, clicks its address, sign-ups its domain; errors take
+    its host off. Purchases expire after a day and sign-ups after six hours.
     """
     kind = F.when(F.col("event_type") == "click", "url").when(F.col("event_type") == "signup", "domain").otherwise("host")
     name = url_lists.host(F.col("url"))
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
-    met = events.select(F.col("event_id").alias("page_id"), "event_type", "ts").join(
-        pages.select("page_id", "url"), "page_id"
-    )
+    dense = merkle.numbered(pages.select("page_id", "url").withColumn("all", F.lit(0)), "all", ["page_id", "url"])
+    n = max(pages.count(), 1)
+    met = events.select(F.pmod("event_id", F.lit(n)).alias("pos"), "event_type", "ts").join(dense.select("pos", "url"), "pos")
     return met.select(
         kind.alias("kind"),
         F.when(kind == "url", url_lists.address(F.col("url")))
@@ -167,6 +169,7 @@ def _url_list(pages: DataFrame, events: DataFrame) -> DataFrame:
     r"""
     WITH parsed AS (
         SELECT page_id, url, 1704067200 + (page_id * 7919) % 2592000 AS fetched,
+            row_number() OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST) - 1 AS number, count(*) OVER () AS n_pages,
             coalesce(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.$', '')), '') AS host,
             regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS rest
         FROM pages
@@ -179,7 +182,7 @@ def _url_list(pages: DataFrame, events: DataFrame) -> DataFrame:
             floor(epoch(ts))::BIGINT AS since, (event_type = 'error')::INT AS off,
             CASE event_type WHEN 'purchase' THEN floor(epoch(ts))::BIGINT + 86400
                 WHEN 'signup' THEN floor(epoch(ts))::BIGINT + 21600 END AS expires
-        FROM events JOIN addressed ON event_id = page_id
+        FROM events JOIN addressed ON number = (event_id % n_pages + n_pages) % n_pages
     ), chained AS (
         SELECT *, lead(since) OVER (PARTITION BY kind, pattern ORDER BY since, off, expires NULLS FIRST) AS next_at
         FROM listed WHERE pattern <> ''

@@ -23,6 +23,22 @@ def test_registered_sql(spark, sf):
     assert {r[3] for r in want} == {True, False}
 
 
+def test_every_event_is_an_entry(spark):
+    """The list lasts the whole month, and an address is added, taken off and added again."""
+    for sf, n in ((SF, 1000), ("/root/testdata/sf0.1", 100_000)):
+        pages, events = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("pages", "events"))
+        rows = queries._url_list(pages, events).collect()
+        assert len(rows) == n == events.count()
+        last = events.selectExpr("max(unix_seconds(cast(ts AS timestamp)))").first()[0]
+        assert max(r.at for r in rows) == last and last > 1704067200 + 2592000 - 3600 * (1 if n > 1000 else 10)
+        actions = {}
+        for r in sorted(rows, key=lambda r: r.at):
+            actions.setdefault((r.kind, r.pattern), []).append(r.action)
+        assert any("add remove add" in " ".join(a) for a in actions.values())
+        if n > 1000:
+            assert len({r.pattern for r in rows if r.kind == "url"}) > 2000
+
+
 ENTRIES = [
     ("host", "a.example.org", 100, "add", None), ("host", "a.example.org", 200, "remove", None),
     ("host", "a.example.org", 9000, "add", 9500), ("domain", "example.org", 50, "add", 60),
