@@ -7,8 +7,10 @@ link may close a loop. Messages are taken by sent time.
 A link can only fail for closing a loop if it lies on a cycle of candidate
 links. Candidate links are compared with the time order: a cycle needs a link
 that runs backward in time, and its nodes lie in the time span of such links.
-So everything outside those spans is settled by aggregations alone, and only
-the spans are walked link by link, each as a group of its own.
+Inside the spans, nodes that no cycle goes through are stripped off (see
+`tangles`), so a bad clock in a sound thread leaves nothing. Everything that is
+not on a cycle, or between two, is settled by aggregations alone; what is left
+is walked link by link, each tangle as a group of its own.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from archivelake.operators.ordered import neighbours, running_latest
 from archivelake.operators.skew import keep_first, salted_lookup
+from archivelake.operators.threads import components
 from archivelake.session import durable, durable_count
 
 HOUR = 3_600
@@ -126,20 +129,126 @@ def _inside_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     return found.where("_kind = 1 and rank <= span.hi").select("child", F.col("span.lo").alias("span"))
 
 
+def strip(edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(core, bypassed) of a graph of distinct (parent, child) edges.
+
+    Rounds take away the edges out of nodes that have no parent and into nodes that
+    have no child, and bypass nodes with one parent and one child: their two edges
+    become one. Of neighbours that could both be bypassed, the one of least hash is.
+    Trees lose a fixed share of their nodes in a round, long chains too, so rounds grow
+    with the logarithm of the graph. `core` holds the edges that remain, every node on
+    a cycle or between cycles, and is empty if there is none. `bypassed` holds (node,
+    up, down): the neighbours a node had when it was bypassed.
+    """
+    edges, left = durable_count(edges.select("parent", "child"), F.lit(True))
+    history = None
+    for _ in range(max_rounds):
+        if not left:
+            break
+        ends = F.array(
+            F.struct(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")),
+            F.struct(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+        )
+        degree = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(
+            F.sum("e.up").alias("up"), F.sum("e.down").alias("down")
+        )
+        above = degree.select(
+            F.col("node").alias("parent"), F.col("up").alias("p_up"), ((F.col("up") == 1) & (F.col("down") == 1)).alias("p_thin")
+        )
+        below = degree.select(
+            F.col("node").alias("child"), F.col("down").alias("c_down"), ((F.col("up") == 1) & (F.col("down") == 1)).alias("c_thin")
+        )
+        # A node may have very many children; it has few different parents.
+        met = salted_lookup(edges, above, ["parent"], spread_on="child").join(below, "child")
+        kept = durable(met.where("p_up > 0 and c_down > 0").select("parent", "child", "p_thin", "c_thin"))
+        # Thin nodes have one edge each way, so neither side repeats a key.
+        into = kept.where("c_thin and parent <> child").select(
+            F.col("child").alias("node"), F.col("parent").alias("up"), F.col("p_thin").alias("up_thin")
+        )
+        out = kept.where("p_thin and parent <> child").select(
+            F.col("parent").alias("node"), F.col("child").alias("down"), F.col("c_thin").alias("down_thin")
+        )
+        own = F.struct(F.xxhash64("node"), F.col("node"))
+        first = (~F.col("up_thin") | (own < F.struct(F.xxhash64("up"), F.col("up")))) & (
+            ~F.col("down_thin") | (own < F.struct(F.xxhash64("down"), F.col("down")))
+        )
+        chosen, any_chosen = durable_count(into.join(out, "node").where(first).select("node", "up", "down"), F.lit(True))
+        if any_chosen:
+            history = chosen if history is None else history.unionByName(chosen)
+        gone = chosen.select(F.col("node").alias("child"))
+        stays = kept.where("not c_thin").unionByName(kept.where("c_thin").join(gone, "child", "left_anti"))
+        stays = stays.where("not p_thin").unionByName(
+            stays.where("p_thin").join(gone.withColumnRenamed("child", "parent"), "parent", "left_anti")
+        )
+        before = left
+        edges, left = durable_count(
+            stays.select("parent", "child").unionByName(
+                chosen.select(F.col("up").alias("parent"), F.col("down").alias("child"))
+            ).distinct(), F.lit(True),
+        )
+        if left == before:
+            break
+    else:
+        raise RuntimeError(f"links were not stripped in {max_rounds} rounds")
+    if history is None:
+        history = edges.select(*[F.lit("").alias(c) for c in ("node", "up", "down")]).limit(0)
+    return edges, history
+
+
+def tangles(edges: DataFrame) -> DataFrame:
+    """(node, tangle) of the nodes on cycles of the (parent, child) edges, or between two.
+
+    Nodes that are connected by such nodes share a tangle, named by one of them. The
+    core that `strip` leaves is coloured by connected components; a bypassed node is in
+    the tangle that both ends of its bypass are in, which pointer doubling finds.
+    """
+    core, bypassed = strip(edges.select("parent", "child").distinct())
+    core, left = durable_count(core, F.lit(True))
+    names = core.select(F.col("parent").alias("node")).union(core.select("child")).distinct()
+    if not left:
+        return names.select("node", F.col("node").alias("tangle"))
+    pairs = core.where("parent <> child").select(
+        F.greatest("parent", "child").alias("a"), F.least("parent", "child").alias("b")
+    ).distinct()
+    inside = durable(names.join(components(pairs), "node", "left").select(
+        "node", F.coalesce("root", "node").alias("tangle")
+    ))
+    state = bypassed
+    while True:
+        # A node's neighbours were bypassed in later rounds than itself, if ever.
+        ups = bypassed.select(F.col("node").alias("up"), F.col("up").alias("up2"))
+        downs = bypassed.select(F.col("node").alias("down"), F.col("down").alias("down2"))
+        further = salted_lookup(
+            salted_lookup(state, ups, ["up"], spread_on="node", how="left"), downs, ["down"], spread_on="node", how="left"
+        )
+        state, left = durable_count(further.select(
+            "node", F.coalesce("up2", "up").alias("up"), F.coalesce("down2", "down").alias("down"),
+            (F.col("up2").isNotNull() | F.col("down2").isNotNull()).alias("moved"),
+        ), F.col("moved"))
+        state = state.drop("moved")
+        if not left:
+            break
+        bypassed = state
+    ends = inside.select(F.col("node").alias("up"), F.col("tangle"))
+    under = inside.select(F.col("node").alias("down"), F.col("tangle").alias("other"))
+    between = salted_lookup(
+        salted_lookup(state, ends, ["up"], spread_on="node"), under, ["down"], spread_on="node"
+    ).where("tangle = other").select("node", "tangle")
+    return inside.unionByName(between)
+
+
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Try the links of each span in order, refusing any that closes a loop.
+    """Try the links of each tangle in order, refusing any that closes a loop.
 
-    Rows come sorted by span and order, so only one span is held at a time.
+    Rows come sorted by tangle and order, so only one tangle is held at a time.
     """
     at, parent, children = None, {}, {}
     for batch in batches:
         out: list[tuple[str, str | None]] = []
-        for tid, span, up, child, own in zip(
-            batch.tid, batch.span, batch.parent, batch.child, batch.own
-        ):
-            if (tid, span) != at:
+        for tangle, up, child, own in zip(batch.tangle, batch.parent, batch.child, batch.own):
+            if tangle != at:
                 out += [(c, parent.get(c)) for c in children]
-                at, parent, children = (tid, span), {}, {}
+                at, parent, children = tangle, {}, {}
             children[child] = None
             if not own and child in parent:
                 continue
@@ -173,12 +282,17 @@ def parents(messages: DataFrame) -> DataFrame:
         nodes = links.select("tid", "child").distinct().join(
             rank.withColumnRenamed("node", "child"), "child"
         )
-        inside = _inside_spans(nodes, spans)
-        tangled = salted_lookup(links, inside, ["child"], spread_on="docid")
+        inside = durable(_inside_spans(nodes, spans))
+        near = inside.select(F.col("child").alias("parent"), F.col("span").alias("p_span"))
+        edges = salted_lookup(
+            links.select("parent", "child").distinct().join(inside, "child"), near, ["parent"], spread_on="child"
+        ).where("span = p_span")
+        knots = tangles(edges).withColumnRenamed("node", "child")
+        tangled = salted_lookup(links, knots, ["child"], spread_on="docid")
         walked = durable(
-            tangled.select("tid", F.to_json("span").alias("span"), "parent", "child", "own", "ds", "docid", "pos")
-            .repartition("tid", "span")
-            .sortWithinPartitions("tid", "span", "ds", "docid", "pos")
+            tangled.select("tangle", "parent", "child", "own", "ds", "docid", "pos")
+            .repartition("tangle")
+            .sortWithinPartitions("tangle", "ds", "docid", "pos")
             .mapInPandas(_walk, "child string, parent string")
         )
         resolved = (

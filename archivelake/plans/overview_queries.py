@@ -74,7 +74,7 @@ def messages_by_id(spark, d):
 
 @query("page_after_number", "SELECT num, mid FROM arrivals WHERE num > 300 ORDER BY num LIMIT 1000", "arrivals")
 def page_after_number(spark, d):
-    return overview.after_number(views.arrivals(spark, d), 300).select("num", "mid")
+    return overview.after_number(views.arrivals(spark, d), 300, limit=1000).select("num", "mid")
 
 
 @query("header_column", """

@@ -131,6 +131,77 @@ def test_random_forests(spark, seed):
     check_forest(spark, rows)
 
 
+def brute_tangles(edges):
+    """{node: tangle}: nodes that cycles reach and that reach cycles, by connection."""
+    down, up = {}, {}
+    for a, b in edges:
+        down.setdefault(a, set()).add(b)
+        up.setdefault(b, set()).add(a)
+    nodes = set(down) | set(up)
+    while True:
+        thin = {n for n in nodes if not down.get(n, set()) & nodes or not up.get(n, set()) & nodes}
+        if not thin:
+            break
+        nodes -= thin
+    label = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            if a in nodes and b in nodes:
+                label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+SHAPES = [
+    [(f"n{i}", f"n{i + 1}") for i in range(12)],
+    [(f"n{i}", f"n{(i + 1) % 8}") for i in range(8)],
+    [("a", "a"), ("a", "b")],
+    [("a", "b"), ("b", "a"), *[(f"p{i}", f"p{i + 1}") for i in range(9)], ("b", "p0"), ("p9", "x"), ("x", "y"), ("y", "x"), ("y", "leaf")],
+    [("hub", f"c{i}") for i in range(50)] + [("c7", "d"), ("d", "hub"), ("c9", "e")],
+]
+
+
+def test_tangles_of_shapes_and_random_graphs(spark):
+    rng, shapes = random.Random(1), list(SHAPES)
+    for n in (45, 70):
+        shapes.append([(f"g{rng.randrange(60)}", f"g{rng.randrange(60)}") for _ in range(n)])
+    edges = sorted({(f"{k}{a}", f"{k}{b}") for k, shape in enumerate(shapes) for a, b in shape})
+    df = spark.createDataFrame(edges, "parent string, child string")
+    got, want = {r.node: r.tangle for r in forest.tangles(df).collect()}, brute_tangles(edges)
+    assert set(got) == set(want)
+    assert len(set(got.values())) == len(set(want.values())) == len(set(zip(got.values(), (want[n] for n in got))))
+
+
+def test_bad_clock_in_a_sound_thread_leaves_no_tangle(spark, monkeypatch):
+    """A root dated after all its replies puts the whole thread in one span of time."""
+    rng = random.Random(9)
+    rows = [(1, "m0", [], 10**7)]
+    above = {0: []}
+    for i in range(1, 300):
+        up = rng.randrange(max(0, i - 40), i)
+        above[i] = (above[up] + [f"m{up}"])[-6:]
+        rows.append((i + 1, f"m{i}", above[i], 1000 + i))
+    found = []
+    whole = forest.tangles
+    monkeypatch.setattr(forest, "tangles", lambda edges: found.append(whole(edges)) or found[0])
+    nodes = forest.parents(threads.assign_threads(frame(spark, rows)))
+    assert {r.node: r.parent for r in nodes.collect()} == brute_parents(rows)
+    assert len(found) == 1 and found[0].count() == 0
+
+
+def test_tangles_far_apart_are_groups_of_their_own(spark, monkeypatch):
+    """Loops among few messages of a long thread with a bad clock."""
+    rows = [(1, "m0", [], 10**7)] + [(i + 1, f"m{i}", [f"m{i - 1}"], 1000 + i) for i in range(1, 120)]
+    for k, at in enumerate((20, 60, 99)):
+        rows += [(1000 + 10 * k, f"a{at}", [f"m{at}", f"b{at}"], 500), (1001 + 10 * k, f"b{at}", [f"a{at}"], 900)]
+    found = []
+    whole = forest.tangles
+    monkeypatch.setattr(forest, "tangles", lambda edges: found.append(whole(edges)) or found[0])
+    nodes = forest.parents(threads.assign_threads(frame(spark, rows)))
+    assert {r.node: r.parent for r in nodes.collect()} == brute_parents(rows)
+    sizes = found[0].groupBy("tangle").count().collect()
+    assert len(sizes) == 3 and all(r["count"] == 2 for r in sizes)
+
+
 def test_merge_of_threads_by_late_message(spark):
     old = [(1, "a", [], 1), (2, "b", ["a"], 2), (3, "p", [], 3), (4, "q", ["p"], 4), (5, "solo", [], 5)]
     stored = threads.assign_threads(frame(spark, old))
