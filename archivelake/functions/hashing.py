@@ -26,74 +26,52 @@ def address_text(value: Column) -> Column:
     return _lower_domains(plain)
 
 
-def _tagged(name: str, values: Column) -> Column:
-    return F.array_join(
-        F.transform(values, lambda v: F.concat(F.lit(name + NUL), v, F.lit(NUL))), ""
-    )
+def _field(value: Column) -> Column:
+    """A value behind its UTF-8 length, so that no two lists of values look alike."""
+    return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+
+def _fields(values: Column) -> Column:
+    return F.array_join(F.transform(values, _field), "")
 
 
 def hash_inputs(hdr: Column, parts: Column) -> Column:
-    """Ordered (component, value) structs that make up the content hash."""
-    own = ids.message_ids(headers.values(hdr, "message-id"))
-    people = F.flatten(
-        F.transform(
-            F.concat(*[headers.values(hdr, h) for h in ("to", "from", "cc")]),
-            addresses.emails,
-        )
-    )
-    refs = ids.references(
-        headers.values(hdr, "references"), headers.values(hdr, "in-reply-to"), people
-    )
-    sender_from = headers.values(hdr, "from")
-    author = F.when(
-        F.size(sender_from) > 0,
-        _tagged("From", F.transform(sender_from, address_text)),
-    ).otherwise(
-        _tagged("Sender", F.transform(headers.values(hdr, "sender"), address_text))
-    )
-    named = [
-        ("ref", _tagged("ref", F.array_except(refs, own))),
-        ("from", author),
-        ("subject", _tagged("Subject", headers.values(hdr, "subject"))),
-        ("date", _tagged("Date", headers.values(hdr, "date"))),
-        ("to", _tagged("To", F.transform(headers.values(hdr, "to"), address_text))),
-        ("cc", _tagged("Cc", F.transform(headers.values(hdr, "cc"), address_text))),
-    ]
-    head = F.array(
-        *[
-            F.struct(F.lit(n).alias("component"), F.encode(v, "UTF-8").alias("value"))
-            for n, v in named
-        ]
+    """(component, value) structs: what counts for a message's identity, by name.
+
+    References without the message's own ids, author (or else sender), subject, date and
+    recipients come first, then a component per leaf part with its place, names and body.
+    """
+    people = F.flatten(F.transform(F.concat(*[headers.values(hdr, h) for h in ("to", "from", "cc")]), addresses.emails))
+    refs = ids.references(headers.values(hdr, "references"), headers.values(hdr, "in-reply-to"), people)
+    others = F.array_except(refs, ids.message_ids(headers.values(hdr, "message-id")))
+
+    def said(name: str) -> Column:
+        return F.transform(headers.values(hdr, name), address_text)
+
+    author = F.when(F.size(headers.values(hdr, "from")) > 0, _fields(said("from"))).otherwise(
+        F.concat(F.lit("sender "), _fields(said("sender")))
     )
+    whole = {
+        "ref": _fields(others), "from": author, "subject": _fields(headers.values(hdr, "subject")),
+        "date": _fields(headers.values(hdr, "date")), "to": _fields(said("to")), "cc": _fields(said("cc")),
+    }
+    named = F.array(*[F.struct(F.lit(n).alias("component"), F.encode(v, "UTF-8").alias("value")) for n, v in whole.items()])
 
     def part(p: Column) -> Column:
-        label = F.concat(
-            F.lit(NUL), p["depth"].cast("string"), F.lit(":"), p["idx"], F.lit(NUL),
-            F.coalesce(F.concat(F.lit("fn" + NUL), p["filename"], F.lit(NUL)), F.lit("")),
-            F.coalesce(F.concat(F.lit("d" + NUL), p["description"], F.lit(NUL)), F.lit("")),
-            F.lit("b" + NUL),
-        )
-        text = F.regexp_replace(F.regexp_replace(p["text"], "\r\n", "\n"), r"\s+$", "")
+        place = F.concat(*[_field(c) for c in (p["depth"].cast("string"), p["idx"], p["filename"], p["description"])])
+        text = F.rtrim(F.replace(p["text"], F.lit("\r\n"), F.lit("\n")), F.lit(" \t\r\n\x0b\x0c"))
+        body = F.coalesce(F.encode(text, "UTF-8"), p["body"], F.encode(F.lit(""), "UTF-8"))
         return F.struct(
-            F.concat(F.lit("part "), p["idx"]).alias("component"),
-            F.concat(
-                F.encode(label, "UTF-8"),
-                F.coalesce(F.encode(text, "UTF-8"), p["body"], F.encode(F.lit(""), "UTF-8")),
-            ).alias("value"),
+            F.concat(F.lit("part "), p["idx"]).alias("component"), F.concat(F.encode(place, "UTF-8"), body).alias("value")
         )
 
-    leaves = F.filter(parts, lambda p: ~p["is_container"])
-    return F.concat(head, F.transform(leaves, part))
+    return F.concat(named, F.transform(F.filter(parts, lambda p: ~p["is_container"]), part))
 
 
 def content_hash(hdr: Column, parts: Column) -> Column:
-    """SHA-256 hex over references, people, subject, date and every part."""
-    joined = F.aggregate(
-        hash_inputs(hdr, parts),
-        F.encode(F.lit(""), "UTF-8"),
-        lambda acc, x: F.concat(acc, x["value"]),
-    )
-    return F.sha2(joined, 256)
+    """SHA-256 hex of a listing of the components, each by its own SHA-256."""
+    listing = F.transform(hash_inputs(hdr, parts), lambda c: F.concat(c["component"], F.lit("="), F.sha2(c["value"], 256)))
+    return F.sha2(F.array_join(listing, "\n"), 256)
 
 
 def skeleton_hash(

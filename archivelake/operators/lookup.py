@@ -90,33 +90,64 @@ def partial_id(messages: DataFrame, wanted: str, edits: int = PARTIAL_EDITS, lim
     return kept if limit is None else kept.limit(limit)
 
 
-# Notations that name a message, tried in this order.
-_NOTATIONS = [
-    (r"(?i)\bhttps?://\S*?/([^/\s]+@[^/\s>\])]+?)[>\]),.;]*(?:/|$)", "mid"),
-    (r"(?i)\bhttps?://\S*/([^/\s]+)/(?:raw|[tT]/?|t\.mbox\.gz|t\.atom)[>\]),.;]*$", "mid"),
-    (r"(?i)\b(?:nntps?|s?news)://\S*?/?([^/\s]+@[^/\s>\])]+?)[>\]),.;]*$", "mid"),
-    (r"<([^>]+)>", "mid"),
-    (r"\b(?:m|mid|id):(\S+)", "mid"),
-    (r"\bblob:([0-9a-f]{7,})\b", "blob"),
-]
+#: Last pieces of a web address that stand for a form of the message or thread before them.
+_WEB_FORMS = ("raw", "t", "T", "t.mbox.gz", "t.atom")
+
+
+def _selection(token: Column) -> Column:
+    """(kind, value, threads) that one word of an input names; kind null for none."""
+    scheme = F.lower(F.substring_index(token, ":", 1))
+    rest = F.substr(token, F.instr(token, ":") + 1)
+    path = F.substring_index(F.substring_index(F.regexp_replace(rest, "^//[^/]*", ""), "?", 1), "#", 1)
+    pieces = F.filter(F.split(path, "/"), lambda x: x != "")
+    last = F.coalesce(F.try_element_at(pieces, F.lit(-1)), F.lit(""))
+    form = last.isin(*_WEB_FORMS)
+    owner = F.when(form, F.try_element_at(pieces, F.lit(-2)))
+    shown = F.coalesce(F.try_element_at(F.filter(pieces, lambda x: F.contains(x, F.lit("@"))), F.lit(1)), owner)
+    web = F.url_decode(F.replace(shown, F.lit("+"), F.lit("%2B")))
+    named = F.contains(token, F.lit(":"))
+    bracketed = F.regexp_extract(token, "<([^<>]+)>", 1)
+
+    def pick(when: Column, kind: str, value: Column, threads: Column | None = None) -> Column:
+        threads = F.lit(False) if threads is None else threads
+        return F.when(named & when & value.isNotNull() & (value != ""), F.struct(
+            F.lit(kind).alias("kind"), value.alias("value"), threads.alias("threads")
+        ))
+
+    return F.coalesce(
+        pick(scheme.isin("http", "https"), "mid", web, form & (last != "raw")),
+        pick(scheme.isin("nntp", "nntps", "news", "snews"), "mid", F.when(F.contains(last, F.lit("@")), last)),
+        pick(scheme.isin("imap", "imaps"), "folder", token),
+        pick(scheme.isin("m", "mid", "id"), "mid", F.regexp_replace(rest, "^<|>$", "")),
+        pick(scheme == "blob", "blob", F.when(rest.rlike("^[0-9a-f]{7,}$"), rest)),
+        F.when(bracketed != "", F.struct(F.lit("mid").alias("kind"), bracketed.alias("value"), F.lit(False).alias("threads"))),
+    )
 
 
 def selections(inputs: DataFrame, column: str = "input") -> DataFrame:
     """Reduce many notations to (kind, value, threads).
 
-    Kinds: `mid`, `blob`, `folder`, or null when nothing is recognised. Links to
-    whole threads set `threads`.
+    Kinds: `mid`, `blob`, `folder`, or null when nothing is recognised. The first word
+    of the input that names something counts; its scheme and the last piece of its path
+    say what. A mail folder's path runs to the end of the input. Links to whole threads
+    set `threads`.
     """
-    text = F.col(column)
-    folder = F.regexp_extract(text, r"(?i)\b(maildir:.+|imaps?://\S+)", 1)
-    kind, value = F.when(folder != "", "folder"), F.when(folder != "", folder)
-    for pattern, name in _NOTATIONS:
-        found = F.regexp_extract(text, pattern, 1)
-        kind = kind.when(found != "", name)
-        value = value.when(found != "", F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B")))
-                           if "http" in pattern else found)
-    thread = text.rlike(r"(?i)\bhttps?://") & text.rlike(r"/(?:[tT]/?|t\.mbox\.gz|t\.atom)[>\]),.;]*$")
-    return inputs.withColumn("kind", kind).withColumn("value", value).withColumn("threads", thread)
+    text = F.coalesce(F.col(column), F.lit(""))
+    folder = F.when(F.instr(F.lower(text), "maildir:") > 0, F.substr(text, F.instr(F.lower(text), "maildir:")))
+
+    def bare(word: Column) -> Column:
+        inner = F.regexp_extract(word, "^<([A-Za-z]+:[^<>]*)>", 1)
+        return F.when(inner != "", inner).when(F.contains(word, F.lit("<")), word).otherwise(
+            F.regexp_replace(word, r"[\])},.;>]+$", "")
+        )
+
+    words = F.transform(F.split(text, r"\s+"), bare)
+    found = F.try_element_at(F.filter(F.transform(words, _selection), lambda s: s.isNotNull()), F.lit(1))
+    return inputs.withColumn("_found", found).withColumn(
+        "kind", F.when(folder.isNotNull(), F.lit("folder")).otherwise(F.col("_found.kind"))
+    ).withColumn("value", F.coalesce(folder, F.col("_found.value"))).withColumn(
+        "threads", folder.isNull() & F.coalesce(F.col("_found.threads"), F.lit(False))
+    ).drop("_found")
 
 
 def reply_recipients(messages: DataFrame, policy: Column, list_address: Column) -> DataFrame:

@@ -207,7 +207,7 @@ def maildrop_stat(msgs: DataFrame, reader_state: DataFrame) -> DataFrame:
     )
     # Just above the message of its own number, which counts as deleted.
     marks = reader_state.select(
-        "inbox", (F.col("last_del") * 2 + 1).alias("_place"), F.lit(0).cast("long").alias("_one"), F.lit(0).cast("long").alias("_bytes"),
+        "inbox", (F.coalesce("last_del", F.lit(0)) * 2 + 1).alias("_place"), F.lit(0).cast("long").alias("_one"), F.lit(0).cast("long").alias("_bytes"),
         F.col("user").cast("string").alias("user"), F.lit(True).alias("_mark"),
     )
     counted = running_sum(

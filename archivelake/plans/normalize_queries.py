@@ -57,15 +57,16 @@ def message_table(spark, d):
 
 
 @query("content_hashes", """
-    SELECT m.num AS seq, sha256(encode(
-        array_to_string(['ref' || chr(0) || x || chr(0) FOR x IN m.refs], '')
-        || 'From' || chr(0) || replace(m."from", '@Example.org', '@example.org') || chr(0)
-        || 'Subject' || chr(0) || m.subject || chr(0)
-        || 'Date' || chr(0) || strftime(make_timestamp(m.ds * 1000000), '%a, %d %b %Y %H:%M:%S') || ' +0000' || chr(0)
-        || 'To' || chr(0) || m."to" || chr(0)
-        || coalesce('Cc' || chr(0) || replace(m.cc, '"', '') || chr(0), '')
-        || chr(0) || '0:1' || chr(0) || 'b' || chr(0) || rtrim(r.body, ' ' || chr(10) || chr(9) || chr(13)))) AS content_hash
-    FROM conv_msgs m JOIN raw_mail r ON m.num = r.seq""", "raw_mail")
+    WITH v AS (SELECT m.num AS seq, array_to_string([strlen(x) || ':' || x FOR x IN m.refs], '') AS refs,
+        replace(m."from", '@Example.org', '@example.org') AS author, m.subject, m."to" AS target, replace(m.cc, '"', '') AS cc,
+        strftime(make_timestamp(m.ds * 1000000), '%a, %d %b %Y %H:%M:%S') || ' +0000' AS date,
+        rtrim(r.body, ' ' || chr(10) || chr(9) || chr(13)) AS body
+      FROM conv_msgs m JOIN raw_mail r ON m.num = r.seq)
+    SELECT seq, sha256(array_to_string([
+        'ref=' || sha256(refs), 'from=' || sha256(strlen(author) || ':' || author), 'subject=' || sha256(strlen(subject) || ':' || subject),
+        'date=' || sha256(strlen(date) || ':' || date), 'to=' || sha256(strlen(target) || ':' || target),
+        'cc=' || sha256(coalesce(strlen(cc) || ':' || cc, '')), 'part 1=' || sha256('1:01:1--' || body)], chr(10))) AS content_hash
+    FROM v""", "raw_mail")
 def content_hashes(spark, d):
     return _messages(spark, d).select("seq", "content_hash")
 

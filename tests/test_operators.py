@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from archivelake.operators import annotations as ann
-from archivelake.operators import dedupe, merged, overview, patches, rank
+from archivelake.operators import dedupe, lookup, merged, overview, patches, rank
 from archivelake.operators import postings as post
 from archivelake.operators import predicates as p
 from archivelake.operators.ordered import neighbours, row_numbers
@@ -313,3 +313,25 @@ def test_stored_index_reads_touched_buckets_only(spark, golden, tmp_path):
     for predicate in (p.Term("brown"), p.Phrase(("quick", "brown")), ~p.Term("brown"), p.Prefix("bro")):
         assert rows_of(term_store.search(spark, path, docs, predicate).select("docid")) == rows_of(
             p.search(whole, docs, predicate).select("docid"))
+
+
+def test_selections_of_many_notations(spark):
+    cases = {
+        "see <a@b> now": ("mid", "a@b", False), "https://x.org/l/a%2Bb@c/": ("mid", "a+b@c", False),
+        "https://x.org/l/a@b/t.mbox.gz": ("mid", "a@b", True), "<https://x.org/l/a@b/T/>.": ("mid", "a@b", True),
+        "https://x.org/l/plain/raw": ("mid", "plain", False), "http://x.org/l/": (None, None, False),
+        "nntp://h/group/a@b": ("mid", "a@b", False), "news:a@b,": ("mid", "a@b", False), "id:a@b": ("mid", "a@b", False),
+        "blob:0123abc": ("blob", "0123abc", False), "blob:xyz": (None, None, False), "IMAPS://h/INBOX": ("folder", "IMAPS://h/INBOX", False),
+        "put in maildir:/a b/c": ("folder", "maildir:/a b/c", False), "": (None, None, False), "no words here": (None, None, False),
+        "x: y id:q@z blob:1234567": ("mid", "q@z", False),
+    }
+    df = spark.createDataFrame([(k,) for k in [*cases, None]], "input string")
+    got = {r.input: (r.kind, r.value, r.threads) for r in lookup.selections(df).collect()}
+    assert got == {**cases, None: (None, None, False)}
+
+
+def test_reader_without_a_mark_has_every_message(spark):
+    msgs = spark.createDataFrame([("i", n, 10) for n in range(1, 6)], "inbox string, num bigint, bytes bigint")
+    readers = spark.createDataFrame([("a", "i", None), ("b", "i", 3)], "user string, inbox string, last_del bigint")
+    got = {r.user: r.messages for r in overview.maildrop_stat(msgs, readers).collect()}
+    assert got == {"a": 5, "b": 2}

@@ -291,3 +291,13 @@ def test_ingest_in_several_batches_equals_one(spark, tmp_path):
         return sorted(map(tuple, read_table(spark, f"{base}/messages", ingest.MESSAGES).select("inbox", "seq", "num", "mid").collect()))
 
     assert stored(f"{tmp_path}/many") == stored(f"{tmp_path}/one") != []
+
+
+@pytest.mark.parametrize("line, ends", [
+    (b"From me@x Thu Jan  1 00:00:00 1970\n", True), (b"From me@x  Thu Jan 11 00:00 1970\r\n", True),
+    (b"From a Mon Dec 31 23:59:59 GMT 2001\n", True), (b"From a Mon Dec 31 23:59:59 2001 +0200\n", True),
+    (b"From here on Thu Jan 1 00:00:00 1970\n", False), (b"From me Thursday Jan 1 00:00:00 1970\n", False),
+    (b"From me@x a b c 1:2:3 d\n", False), (b">From me@x Thu Jan  1 00:00:00 1970\n", False), (b"From me@x\n", False),
+])
+def test_separator_lines(line, ends):
+    assert bool(mbox.FROM_LINE.match(line)) == ends
