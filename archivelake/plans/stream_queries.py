@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from archivelake.operators import predicates as p
 from archivelake.plans.registry import query
 from archivelake.session import work_folder
 from archivelake.sources import views
-from archivelake.streaming import ingest, searches
+from archivelake.streaming import ingest, saved, searches
 from archivelake.streaming.tables import read_table, stream_files, stream_table, write_batch
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -41,6 +42,36 @@ def stream_saved_search(spark, d):
     return _replayed(hits.select("inbox", "num"), spark, "saved", "inbox string, num bigint")
 
 
+def _text_searches():
+    """Saved searches that between them hold every kind of predicate."""
+    return {
+        "both": p.Term("that") & p.Term("for"),
+        "either": (p.Term("trash") | p.Term("idiot") | p.Term("moron")) & ~(p.Term("the") & p.Term("of")),
+        "phrase": p.Phrase(("of", "the")) & ~p.Phrase(("the", "and")),
+        "none": ~(p.Term("the") | p.Term("de") | p.Term("der")) & p.between("num", 10),
+        "subject": p.Term("src0", "s"),
+    }
+
+
+@query("stream_text_searches", r"""
+    WITH w AS (SELECT source AS inbox, doc_id + 1 AS num, coalesce(source, '') AS subject,
+        ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+'), ' ') || ' ' AS t FROM documents)
+    SELECT 'both' AS search, inbox, num FROM w WHERE contains(t, ' that ') AND contains(t, ' for ')
+    UNION ALL SELECT 'either', inbox, num FROM w WHERE (contains(t, ' trash ') OR contains(t, ' idiot ') OR contains(t, ' moron '))
+      AND NOT (contains(t, ' the ') AND contains(t, ' of '))
+    UNION ALL SELECT 'phrase', inbox, num FROM w WHERE contains(t, ' of the ') AND NOT contains(t, ' the and ')
+    UNION ALL SELECT 'none', inbox, num FROM w WHERE NOT (contains(t, ' the ') OR contains(t, ' de ') OR contains(t, ' der ')) AND num >= 10
+    UNION ALL SELECT 'subject', inbox, num FROM w WHERE subject = 'src0'""")
+def stream_text_searches(spark, d):
+    docs = stream_table(spark, d, "documents", DOCUMENTS)
+    messages = docs.select(F.col("source").alias("inbox"), (F.col("doc_id") + 1).alias("num"), "text")
+    searches_table = saved.compile_searches(spark, _text_searches())
+    base = work_folder(spark, "saved-text")
+    fields = {"": F.col("text"), "s": F.col("inbox")}
+    saved.follow(messages, searches_table, fields, base, available_now=True).awaitTermination()
+    return read_table(spark, f"{base}/hits", saved.HITS).drop("batch")
+
+
 @query("stream_unique", "SELECT DISTINCT inbox, kind FROM arrivals", "arrivals")
 def stream_unique(spark, d):
     once = searches.unique_stream(_arrivals(spark, d), ["inbox", "kind"], "time", "60 days")
@@ -117,11 +148,11 @@ def stream_moderation(spark, d):
     SELECT num FROM doc_posts WHERE content_hash NOT IN (SELECT content_hash FROM doc_posts p JOIN labels l ON l.doc_id + 1 = p.num
       WHERE l.toxic = 1)""", "doc_posts")
 def spam_retraction(spark, d):
-    p = views.doc_posts(spark, d).select("inbox", "num", F.lit("m").alias("mid"), "content_hash", F.col("num").alias("seq"))
+    posts = views.doc_posts(spark, d).select("inbox", "num", F.lit("m").alias("mid"), "content_hash", F.col("num").alias("seq"))
     toxic = views.table(spark, d, "labels").where("toxic = 1").select((F.col("doc_id") + 1).alias("num"))
-    removals = p.join(toxic, "num", "left_semi").select(
+    removals = posts.join(toxic, "num", "left_semi").select(
         F.lit(None).cast("string").alias("inbox"), "mid", "content_hash", F.lit(10**15).alias("seq"))
-    return ingest.current_messages(p, removals).select("num")
+    return ingest.current_messages(posts, removals).select("num")
 
 
 @query("saved_search_refresh", """
@@ -145,10 +176,10 @@ def overlap_refresh(spark, d):
     SELECT num AS docid FROM doc_posts JOIN annotations a ON a.docid = num WHERE array_to_string(list_sort(kw), ',') <> 'flagged'""",
        "doc_posts annotations")
 def flag_updates(spark, d):
-    p = views.doc_posts(spark, d)
+    posts = views.doc_posts(spark, d)
     oid = F.concat(F.lit("o"), F.col("docid").cast("string"))
     stored = views.annotations(spark, d).select(oid.alias("oid"), "docid", "kw")
-    locations = p.select(F.col("inbox").alias("folder"), F.col("num").alias("uid"), oid.alias("oid"))
+    locations = posts.select(F.col("inbox").alias("folder"), F.col("num").alias("uid"), oid.alias("oid"))
     events = locations.select("folder", "uid", F.array(F.lit("flagged")).alias("kw"))
     return searches.flag_updates(events, locations, stored).select("docid")
 
