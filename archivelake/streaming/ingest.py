@@ -12,6 +12,7 @@ from archivelake.operators import dedupe, lookup, merged, normalize, overview, p
 from archivelake.operators.skew import salted_lookup
 from archivelake.session import durable
 from archivelake.sources.decode import decode
+from archivelake.streaming.log_table import LogTable
 from archivelake.streaming.tables import last_batch, read_table, write_batch
 
 MESSAGES = (
@@ -148,23 +149,23 @@ def merge_log(stream: DataFrame, base: str, available_now: bool = False) -> Stre
 
     A micro-batch appends the copies it adds and the (inbox, blob) pairs it
     deletes. Of the stored copies only those with an id and content of the batch
-    are looked at. Within a batch deletes come first; `merged_xref` reads the
-    index.
+    are looked at, and the highest document number stands in the manifest. Within a
+    batch deletes come first; `merged_xref` reads the index.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        xref, gone = _merge_tables(batch.sparkSession, base)
+        found = xref.manifest()
+        if batch_id <= found.batch:
+            return
         changes = durable(batch)
         adds = changes.where("op = 'm'")
-        stored = read_table(spark, f"{base}/xref", XREF, before=batch_id)
-        top = stored.agg(F.coalesce(F.max("docid"), F.lit(0)).alias("m")).first().m
         touched = adds.select("mid", "content_hash").distinct()
-        near = stored.join(touched, ["mid", "content_hash"], "left_semi")
-        deletes = changes.where("op = 'd'").select("inbox", "oid").distinct()
-        write_batch(deletes, f"{base}/xref_deletes", batch_id)
-        live = _live(near, read_table(spark, f"{base}/xref_deletes", DELETES, before=batch_id + 1))
-        placed, _ = merged.place_adds(adds, live.select("docid", "mid", "content_hash").distinct(), top)
-        write_batch(placed.select("docid", "inbox", "xnum", "oid", "mid", "content_hash"), f"{base}/xref", batch_id)
+        near = xref.read(found.version).join(touched, ["mid", "content_hash"], "left_semi")
+        gone.append(changes.where("op = 'd'").select("inbox", "oid").distinct(), batch_id)
+        live = _live(near, gone.read())
+        placed, _ = merged.place_adds(adds, live.select("docid", "mid", "content_hash").distinct(), found.top or 0)
+        xref.append(placed.select("docid", "inbox", "xnum", "oid", "mid", "content_hash"), batch_id)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/_checkpoints/merge")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -177,8 +178,13 @@ def _live(xref: DataFrame, deletes: DataFrame) -> DataFrame:
     return marked.where("_gone is null or _gone <= batch").drop("_gone")
 
 
+def _merge_tables(spark: SparkSession, base: str) -> tuple[LogTable, LogTable]:
+    """Copies and deletes of a merged index."""
+    return LogTable(spark, f"{base}/xref", XREF, top="docid"), LogTable(spark, f"{base}/xref_deletes", DELETES)
+
+
 def merged_xref(spark: SparkSession, base: str) -> DataFrame:
     """The merged index a `merge_log` stream has built so far."""
-    return _live(
-        read_table(spark, f"{base}/xref", XREF), read_table(spark, f"{base}/xref_deletes", DELETES)
-    ).drop("batch")
+    xref, gone = _merge_tables(spark, base)
+    copies = xref.read()  # first, so that no copy is read whose delete is not
+    return _live(copies, gone.read()).drop("batch")

@@ -15,7 +15,7 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def _path(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """Hadoop file system and path: works for every store Spark reads."""
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -27,7 +27,7 @@ def read_table(spark: SparkSession, path: str, schema: str, before: int | None =
 
     Only a missing folder is an empty table: any other fault is raised.
     """
-    store, where = _path(spark, path)
+    store, where = file_system(spark, path)
     if not store.exists(where):
         return spark.createDataFrame([], schema + ", batch bigint")
     df = spark.read.schema(schema + ", batch bigint").parquet(path)
@@ -36,7 +36,7 @@ def read_table(spark: SparkSession, path: str, schema: str, before: int | None =
 
 def last_batch(spark: SparkSession, path: str, before: int) -> int | None:
     """Number of the last batch before one, by the names of the folders."""
-    store, where = _path(spark, path)
+    store, where = file_system(spark, path)
     if not store.exists(where):
         return None
     names = [s.getPath().getName() for s in store.listStatus(where)]
@@ -46,7 +46,7 @@ def last_batch(spark: SparkSession, path: str, before: int) -> int | None:
 
 def stream_table(spark: SparkSession, folder: str, name: str, schema: str, **options) -> DataFrame:
     """File stream of a Parquet table that is one file or a folder of part files."""
-    store, where = _path(spark, f"{folder}/{name}.parquet")
+    store, where = file_system(spark, f"{folder}/{name}.parquet")
     if store.getFileStatus(where).isDirectory():
         return stream_files(spark, f"{folder}/{name}.parquet", schema, **options)
     return stream_files(spark, folder, schema, glob=f"{name}.parquet", **options)
