@@ -192,6 +192,28 @@ def stored_index_search(spark, d):
     return found.select("docid")
 
 
+@query("stored_prefix_search", "SELECT DISTINCT docid FROM tokens WHERE starts_with(term, 't') AND NOT starts_with(term, 'th')", "tokens")
+def stored_prefix_search(spark, d):
+    """Words that begin with t; those that begin with th are taken off by a second wildcard search."""
+    path, docs = _stored_index(spark, d), _docs(spark, d)
+    words = term_store.words_with_prefix(spark, path, "t").where(~F.col("term").startswith("th"))
+    postings = term_store.read_postings(spark, path, prefixes=["t"])
+    return postings.join(words, "term", "left_semi").select("docid").distinct().join(docs.select("docid"), "docid")
+
+
+@query("stored_wildcard_search", "SELECT DISTINCT docid FROM tokens WHERE starts_with(term, 'th') AND docid NOT IN (SELECT docid FROM tokens WHERE starts_with(term, 'en'))", "tokens")
+def stored_wildcard_search(spark, d):
+    """Over a thousand words begin with th."""
+    found = term_store.search(spark, _stored_index(spark, d), _docs(spark, d), p.Prefix("th") & ~p.Prefix("en"))
+    return found.select("docid")
+
+
+@query("stored_frequencies", """
+    SELECT 'nonquoted' AS field, term, count(DISTINCT docid) AS df, count(*) AS wdf FROM tokens GROUP BY term""", "tokens")
+def stored_frequencies(spark, d):
+    return term_store.frequencies(spark, _stored_index(spark, d))
+
+
 @query("newest_hits_page", f"""WITH {_BM25} SELECT docid, score, ts FROM s JOIN doc_posts USING (docid) ORDER BY ts DESC, score DESC, docid LIMIT 50 OFFSET 25""", "tokens")
 def newest_hits_page(spark, d):
     scored = _scored(spark, d).join(_docs(spark, d).select("docid", "ts"), "docid")

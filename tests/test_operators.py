@@ -335,3 +335,72 @@ def test_reader_without_a_mark_has_every_message(spark):
     readers = spark.createDataFrame([("a", "i", None), ("b", "i", 3)], "user string, inbox string, last_del bigint")
     got = {r.user: r.messages for r in overview.maildrop_stat(msgs, readers).collect()}
     assert got == {"a": 5, "b": 2}
+
+
+def _texts(spark, rows):
+    return post.text_fields(spark.createDataFrame(rows, "docid bigint, body string"))
+
+
+def test_stored_index_counts_committed_batches_and_newest_documents(spark, tmp_path):
+    from archivelake.operators import term_store
+
+    path = str(tmp_path)
+    term_store.add_documents(_texts(spark, [(1, "red fox"), (2, "red hen")]), path, 0)
+    term_store.add_documents(_texts(spark, [(2, "blue hen"), (3, "red cow")]), path, 1)
+
+    def df():
+        return {(r.term, r.df) for r in term_store.frequencies(spark, path).collect()}
+
+    want = {("red", 2), ("fox", 1), ("blue", 1), ("hen", 1), ("cow", 1)}
+    assert df() == want and {r.docid for r in term_store.read_lengths(spark, path).collect()} == {1, 2, 3}
+    # A batch that was left without its mark does not count, and may be written again.
+    (tmp_path / "_marks" / "1-again").unlink()
+    assert df() == {("red", 2), ("fox", 1), ("hen", 1)}
+    term_store.add_documents(_texts(spark, [(2, "blue hen"), (3, "red cow")]), path, 1)
+    assert df() == want
+    # Writing an older batch again leaves the newer document in place.
+    term_store.add_documents(_texts(spark, [(1, "red fox"), (2, "red hen")]), path, 0)
+    assert df() == want
+
+
+def test_stored_dictionaries_for_wildcards_and_stems(spark, tmp_path):
+    from archivelake.functions.stem import with_stems
+    from archivelake.operators import term_store
+
+    rng = random.Random(4)
+    many = [f"ab{k:04d}" for k in range(1500)] + ["connect", "connected", "connecting", "connection", "other", "abacus"]
+    rows = [(k, " ".join(rng.sample(many, 12))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "docid bigint, body string")
+    path = str(tmp_path)
+    for batch in (0, 1):
+        term_store.add_documents(post.text_fields(docs.where(F.col("docid") % 2 == batch)), path, batch)
+    whole = with_stems(post.build_postings(post.text_fields(docs)))
+
+    def found(predicate):
+        return {r.docid for r in term_store.search(spark, path, docs, predicate).collect()}
+
+    for predicate in (p.Prefix("ab"), p.Prefix("ab07"), p.Stem("connections"), ~p.Stem("connect") & p.Prefix("ab1"),
+                      p.Stem("nothing") | p.Prefix("zz"), p.Term("other") & ~p.Prefix("ab00")):
+        assert found(predicate) == {r.docid for r in p.search(whole, docs, predicate).collect()}
+    used = {w for _, body in rows for w in body.split()}
+    got = {r.term for r in term_store.words_with_prefix(spark, path, "ab0").collect()}
+    assert got == {w for w in used if w.startswith("ab0")} and len({w for w in used if w.startswith("ab")}) > 1000
+    assert {r.term for r in term_store.words_with_stem(spark, path, "connects").collect()} == set(many[1500:1504])
+    plan = term_store.words_with_prefix(spark, path, "ab07")._jdf.queryExecution().toString()
+    assert "StringStartsWith(term,ab07)" in plan
+    plan = term_store.read_postings(spark, path, [], ["ab07"])._jdf.queryExecution().toString()
+    assert "StringStartsWith(term,ab07)" in plan and "PartitionFilters: [batch" in plan
+
+
+def test_a_frequent_word_is_many_files(spark, tmp_path, monkeypatch):
+    from archivelake.operators import term_store
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
+    try:
+        docs = spark.range(0, 20_000, 1, 8).selectExpr("id AS docid", "'the' AS body")
+        term_store.add_documents(post.text_fields(docs), str(tmp_path), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    bucket = term_store.buckets_of(["the"])[0]
+    assert len(list(tmp_path.glob(f"postings/batch=0/bucket={bucket}/*.parquet"))) > 2
+    assert term_store.frequencies(spark, str(tmp_path), ["the"]).first().df == 20_000
