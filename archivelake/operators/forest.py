@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from archivelake.operators.ordered import neighbours, running_latest
 from archivelake.operators.skew import keep_first, salted_lookup
 from archivelake.operators.threads import components
-from archivelake.session import durable, durable_count
+from archivelake.session import durable, durable_count, work_folder
 
 HOUR = 3_600
 _REAL = 1 << 40  # sorts a message after the ghosts first named at its time
@@ -129,7 +129,7 @@ def _inside_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
     return found.where("_kind = 1 and rank <= span.hi").select("child", F.col("span.lo").alias("span"))
 
 
-def strip(edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+def strip(edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, list[DataFrame]]:
     """(core, bypassed) of a graph of distinct (parent, child) edges.
 
     Rounds take away the edges out of nodes that have no parent and into nodes that
@@ -137,11 +137,11 @@ def strip(edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame
     become one. Of neighbours that could both be bypassed, the one of least hash is.
     Trees lose a fixed share of their nodes in a round, long chains too, so rounds grow
     with the logarithm of the graph. `core` holds the edges that remain, every node on
-    a cycle or between cycles, and is empty if there is none. `bypassed` holds (node,
-    up, down): the neighbours a node had when it was bypassed.
+    a cycle or between cycles, and is empty if there is none. `bypassed` holds a table
+    (node, up, down) per round: the neighbours a node had when it was bypassed.
     """
     edges, left = durable_count(edges.select("parent", "child"), F.lit(True))
-    history = None
+    history: list[DataFrame] = []
     for _ in range(max_rounds):
         if not left:
             break
@@ -174,7 +174,7 @@ def strip(edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame
         )
         chosen, any_chosen = durable_count(into.join(out, "node").where(first).select("node", "up", "down"), F.lit(True))
         if any_chosen:
-            history = chosen if history is None else history.unionByName(chosen)
+            history.append(chosen)
         gone = chosen.select(F.col("node").alias("child"))
         stays = kept.where("not c_thin").unionByName(kept.where("c_thin").join(gone, "child", "left_anti"))
         stays = stays.where("not p_thin").unionByName(
@@ -190,8 +190,6 @@ def strip(edges: DataFrame, max_rounds: int = 100) -> tuple[DataFrame, DataFrame
             break
     else:
         raise RuntimeError(f"links were not stripped in {max_rounds} rounds")
-    if history is None:
-        history = edges.select(*[F.lit("").alias(c) for c in ("node", "up", "down")]).limit(0)
     return edges, history
 
 
@@ -200,7 +198,7 @@ def tangles(edges: DataFrame) -> DataFrame:
 
     Nodes that are connected by such nodes share a tangle, named by one of them. The
     core that `strip` leaves is coloured by connected components; a bypassed node is in
-    the tangle that both ends of its bypass are in, which pointer doubling finds.
+    the tangle that both ends of its bypass are in, from the last round to the first.
     """
     core, bypassed = strip(edges.select("parent", "child").distinct())
     core, left = durable_count(core, F.lit(True))
@@ -213,28 +211,19 @@ def tangles(edges: DataFrame) -> DataFrame:
     inside = durable(names.join(components(pairs), "node", "left").select(
         "node", F.coalesce("root", "node").alias("tangle")
     ))
-    state = bypassed
-    while True:
+    for chosen in reversed(bypassed):
         # A node's neighbours were bypassed in later rounds than itself, if ever.
-        ups = bypassed.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        downs = bypassed.select(F.col("node").alias("down"), F.col("down").alias("down2"))
-        further = salted_lookup(
-            salted_lookup(state, ups, ["up"], spread_on="node", how="left"), downs, ["down"], spread_on="node", how="left"
-        )
-        state, left = durable_count(further.select(
-            "node", F.coalesce("up2", "up").alias("up"), F.coalesce("down2", "down").alias("down"),
-            (F.col("up2").isNotNull() | F.col("down2").isNotNull()).alias("moved"),
-        ), F.col("moved"))
-        state = state.drop("moved")
-        if not left:
-            break
-        bypassed = state
-    ends = inside.select(F.col("node").alias("up"), F.col("tangle"))
-    under = inside.select(F.col("node").alias("down"), F.col("tangle").alias("other"))
-    between = salted_lookup(
-        salted_lookup(state, ends, ["up"], spread_on="node"), under, ["down"], spread_on="node"
-    ).where("tangle = other").select("node", "tangle")
-    return inside.unionByName(between)
+        ends = inside.select(F.col("node").alias("up"), F.col("tangle"))
+        under = inside.select(F.col("node").alias("down"), F.col("tangle").alias("other"))
+        between = salted_lookup(
+            salted_lookup(chosen, ends, ["up"], spread_on="node"), under, ["down"], spread_on="node"
+        ).where("tangle = other").select("node", "tangle")
+        # A written table: the optimizer would carry what a checkpoint's plan implied of
+        # its columns from round to round, ever more of it.
+        path = work_folder(inside.sparkSession, "tangles")
+        inside.unionByName(between).write.parquet(path)
+        inside = inside.sparkSession.read.schema("node string, tangle string").parquet(path)
+    return inside
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
