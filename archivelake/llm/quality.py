@@ -3,16 +3,19 @@
 Every text is described by a few counts. Texts that pass the base rules become
 vectors of transformed statistics, and for each language and source the minimum
 covariance determinant (MCD) estimate of their centre and scatter is sought: the
-most tightly packed three quarters of the vectors, by concentration steps from a
-median start. Vectors far from the centre in Mahalanobis distance are rejected.
+most tightly packed three quarters of the vectors. Concentration steps run from
+several starts until no determinant falls, and the least determinant counts. Vectors
+far from the centre in Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archivelake.llm.base import SPACES
+from archivelake.llm.base import SPACES, unit_hash
 from archivelake.operators.skew import salted_lookup
 from archivelake.session import durable, durable_count
 
@@ -20,21 +23,28 @@ WINDOW_WORDS = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: Share of vectors in the tight part, and number of concentration steps.
+#: Share of vectors in the tight part.
 SUPPORT = 0.75
-STEPS = 3
+#: Starts drawn by hash beside the median start, and the expected number of texts of each:
+#: twice the least that span the statistics.
+DRAWN_STARTS = 3
+DRAWN_TEXTS = 12
+#: A start has settled once a step lowers the logarithm of its determinant by no more.
+SETTLED = 1e-3
 #: Squared distance above which a vector is rejected: the chi-square quantile of five
 #: degrees of freedom at 0.999.
 CUTOFF = 20.515
 #: Median of the chi-square law of five degrees of freedom: fixed value.
 CHI_SQUARE_MEDIAN = 4.3515
 #: Groups below this size are pooled within their language; what is left is judged by the
-#: whole language, or pooled over all if that is below this size too.
+#: whole language, or pooled over all if that is below this size too, or else by all texts.
 MIN_GROUP = 50
 #: Least standard deviation of each statistic: where (almost) all values are equal, a
 #: trifle must not reject a text.
 FLOORS = {"length": 0.25, "word_length": 0.05, "symbols": 0.3, "repeats": 0.6, "lines": 0.6}
 NAMES = list(FLOORS)
+#: Stratum of the leftovers that are judged by all texts.
+ALL = "all"
 
 #: Up to this many groups are broadcast; beyond it they are joined with salted keys.
 BROADCAST_GROUPS = 20_000
@@ -119,11 +129,11 @@ def _attach(rows: DataFrame, table: DataFrame, n_groups: int, keys: list[str]) -
 
 
 def _stratum(counted: DataFrame) -> tuple[DataFrame, int]:
-    """(group_lang, group_source, stratum, whole) per group with enough texts or a pool that has.
+    """(group_lang, group_source, stratum, whole) per group: a stratum for every text.
 
     What is left of a language with enough texts has the `whole` language as its stratum,
-    which takes in the texts of the other strata too. Texts that no pool has enough of
-    have no stratum.
+    which takes in the texts of the other strata too; what is left of the other languages
+    is pooled, or has all texts as its stratum if the pool is too small as well.
     """
     sizes = counted.groupBy("group_lang", "group_source").agg(F.count("*").alias("n"))
     big = F.col("n") >= MIN_GROUP
@@ -131,22 +141,24 @@ def _stratum(counted: DataFrame) -> tuple[DataFrame, int]:
         F.sum(F.when(big, 0).otherwise(F.col("n"))).alias("pooled"), F.sum("n").alias("spoken")
     )
     rest = pools.where(F.col("spoken") < MIN_GROUP).agg(F.coalesce(F.sum("pooled"), F.lit(0)).alias("rest"))
-    whole = ~big & (F.col("pooled") < MIN_GROUP) & (F.col("spoken") >= MIN_GROUP)
+    language = ~big & (F.col("pooled") < MIN_GROUP) & (F.col("spoken") >= MIN_GROUP)
     name = (
         F.when(big, F.concat_ws("\u0000", F.lit("group"), "group_lang", "group_source"))
         .when(F.col("pooled") >= MIN_GROUP, F.concat_ws("\u0000", F.lit("language"), "group_lang"))
-        .when(whole, F.concat_ws("\u0000", F.lit("whole"), "group_lang"))
-        .when(F.col("rest") >= MIN_GROUP, F.lit("all"))
+        .when(language, F.concat_ws("\u0000", F.lit("whole"), "group_lang"))
+        .when(F.col("rest") >= MIN_GROUP, F.lit("rest")).otherwise(F.lit(ALL))
     )
     named = sizes.join(pools, "group_lang", "left").crossJoin(F.broadcast(rest))  # `rest` is one row
-    named = named.select("group_lang", "group_source", name.alias("stratum"), whole.alias("whole"))
-    return durable_count(named.where("stratum is not null"), F.lit(True))
+    named = named.select("group_lang", "group_source", name.alias("stratum"))
+    whole = F.col("stratum").startswith("whole\u0000") | (F.col("stratum") == ALL)
+    return durable_count(named.withColumn("whole", whole), F.lit(True))
 
 
-def _distance(rows: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame:
-    """Add `distance`, the squared Mahalanobis distance from the stratum's estimate.
+def _distance(rows: DataFrame, estimates: DataFrame, n_groups: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """Add `distance`, the squared Mahalanobis distance from each estimate of the stratum.
 
     Solves L y = x - centre by forward substitution; `distance` is the square of y.
+    `also` names columns of the estimates to keep.
     """
     joined = _attach(rows, estimates, n_groups, ["stratum"])
     for i, a in enumerate(NAMES):
@@ -155,17 +167,21 @@ def _distance(rows: DataFrame, estimates: DataFrame, n_groups: int) -> DataFrame
             y = y - F.col(f"l{i}{j}") * F.col(f"y{j}")
         joined = joined.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
     square = sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, len(NAMES))), F.col("y0") * F.col("y0"))
-    return joined.select(*rows.columns, square.alias("distance"))
+    return joined.select(*rows.columns, *also, square.alias("distance"))
+
+
+SIZE = len(NAMES)
+CENTRE = [f"m{i}" for i in range(SIZE)]
+FACTOR = [f"l{i}{j}" for i in range(SIZE) for j in range(i + 1)]
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Centre m and Cholesky factor l of the scatter of every stratum."""
-    size = len(NAMES)
-    moments = rows.groupBy("stratum").agg(
+    """Centre m, Cholesky factor l and log_det of the scatter of every (stratum, start)."""
+    moments = rows.groupBy("stratum", "start").agg(
         *[F.avg(a).alias(f"m{i}") for i, a in enumerate(NAMES)],
-        *[F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i in range(size) for j in range(i + 1)],
+        *[F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}{j}") for i in range(SIZE) for j in range(i + 1)],
     )
-    for i in range(size):
+    for i in range(SIZE):
         for j in range(i + 1):
             value = F.col(f"c{i}{j}") + (F.lit(FLOORS[NAMES[i]] ** 2) if i == j else 0)
             for k in range(j):
@@ -173,46 +189,69 @@ def _estimate(rows: DataFrame) -> DataFrame:
             moments = moments.withColumn(
                 f"l{i}{j}", F.sqrt(F.greatest(value, F.lit(1e-6))) if i == j else value / F.col(f"l{j}{j}")
             )
-    return moments.select(
-        "stratum", *[f"m{i}" for i in range(size)], *[f"l{i}{j}" for i in range(size) for j in range(i + 1)]
-    )
+    log_det = sum((2 * F.log(f"l{i}{i}") for i in range(SIZE)), F.lit(0.0))
+    return moments.select("stratum", "start", *CENTRE, *FACTOR, log_det.alias("log_det"))
 
 
-def _median_start(rows: DataFrame, n_groups: int) -> DataFrame:
-    """Medians as centre, scaled median deviations as a diagonal scatter."""
-    size = len(NAMES)
+def _starts(rows: DataFrame, n_groups: int) -> DataFrame:
+    """First estimates: start 0 has medians as centre and scaled median deviations as a
+    diagonal scatter, the others are of about DRAWN_TEXTS texts drawn by a hash. A draw
+    without a text is no start.
+    """
     middle = durable(rows.groupBy("stratum").agg(
-        *[F.percentile_approx(a, 0.5).alias(f"m{i}") for i, a in enumerate(NAMES)]
+        *[F.percentile_approx(a, 0.5).alias(f"m{i}") for i, a in enumerate(NAMES)], F.count("*").alias("n")
     ))
-    spread = _attach(rows, middle, n_groups, ["stratum"]).groupBy("stratum").agg(
+    near = _attach(rows, middle, n_groups, ["stratum"])
+    spread = near.groupBy("stratum").agg(
         *[F.percentile_approx(F.abs(F.col(a) - F.col(f"m{i}")), 0.5).alias(f"d{i}") for i, a in enumerate(NAMES)]
     )
-    return middle.join(spread, "stratum").select(
-        "stratum", *[f"m{i}" for i in range(size)],
+    medians = middle.join(spread, "stratum").select(
+        "stratum", F.lit(0).alias("start"), *CENTRE,
         *[
             (F.sqrt((1.4826 * F.col(f"d{i}")) ** 2 + FLOORS[NAMES[i]] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}")
-            for i in range(size) for j in range(i + 1)
+            for i in range(SIZE) for j in range(i + 1)
         ],
     )
+    drawn = near.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(DRAWN_STARTS)))).where(
+        unit_hash("row_hash", "start") < DRAWN_TEXTS / F.col("n")
+    )
+    return medians.unionByName(_estimate(drawn).drop("log_det"))
 
 
 def outlyingness(rows: DataFrame) -> DataFrame:
     """(row_hash, distance) of rows with a stratum and the statistics of NAMES.
 
     A concentration step takes the SUPPORT share of a stratum nearest to the last
-    estimate and estimates centre and scatter anew; each one lowers the determinant.
-    Distances are scaled down to the median of a normal law, but not up to it: where a
-    statistic hardly varies the median is small although nothing is far. Every group
-    value is a partial aggregate, so no task holds a group.
+    estimate and estimates centre and scatter anew, for all starts at once; each one
+    lowers the determinant. A start that has settled takes part no longer; as the least
+    deviations bound determinants from below, all settle. The estimate of least
+    determinant is the stratum's. Distances are scaled down to the median of a normal
+    law, but not up to it: where a statistic hardly varies the median is small although
+    nothing is far. Every group value is a partial aggregate, so no task holds a group.
     """
     n_groups = rows.select("stratum").distinct().count()
-    estimate = durable(_median_start(rows, n_groups))
-    for _ in range(STEPS):
-        far = _distance(rows, estimate, n_groups)
-        edge = durable(far.groupBy("stratum").agg(F.percentile_approx("distance", SUPPORT).alias("edge")))
-        tight = _attach(far, edge, n_groups, ["stratum"]).where(F.col("distance") <= F.col("edge"))
-        estimate = durable(_estimate(tight))
-    far = _distance(rows, estimate, n_groups)
+    n_starts = n_groups * (1 + DRAWN_STARTS)
+    # The determinant of a start is none of a tight part, so the first step always counts.
+    going, found = durable(_starts(rows, n_groups).withColumn("log_det", F.lit(float("inf")))), []
+    while True:
+        far = _distance(rows, going, n_starts, ("start",))
+        edge = durable(far.groupBy("stratum", "start").agg(F.percentile_approx("distance", SUPPORT).alias("edge")))
+        tight = _attach(far, edge, n_starts, ["stratum", "start"]).where(F.col("distance") <= F.col("edge"))
+        before = going.select("stratum", "start", F.col("log_det").alias("was"))
+        going, left = durable_count(
+            _estimate(tight).join(before, ["stratum", "start"]).withColumn(
+                "falls", F.col("log_det") < F.col("was") - SETTLED
+            ), F.col("falls"),
+        )
+        found.append(going.where("not falls").drop("was", "falls"))
+        if not left:
+            break
+        going = going.where("falls").drop("was", "falls")
+    settled = reduce(DataFrame.unionByName, found)
+    best = durable(settled.groupBy("stratum").agg(
+        F.min(F.struct("log_det", "start", *CENTRE, *FACTOR)).alias("e")
+    ).select("stratum", *[F.col(f"e.{c}").alias(c) for c in [*CENTRE, *FACTOR]]))
+    far = _distance(rows, best, n_groups)
     scale = durable(far.groupBy("stratum").agg(F.percentile_approx("distance", 0.5).alias("middle")))
     scaled = F.col("distance") * CHI_SQUARE_MEDIAN / F.greatest("middle", F.lit(CHI_SQUARE_MEDIAN))
     return _attach(far, scale, n_groups, ["stratum"]).select(*rows.columns, scaled.alias("distance"))
@@ -225,9 +264,9 @@ def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, counts, base_failed, kept, distance) of every row of (doc_id, text, lang, source).
 
     A null language or source is a value of its own. A text that fails a base rule is
-    not kept, has no distance and takes no part in the estimates; neither do texts of
-    groups and languages too small even when pooled, which are kept. The counts are stored once,
-    without the texts; the steps read that narrow table.
+    not kept, has no distance and takes no part in the estimates; every other text is
+    judged, be it the only one. The counts are stored once, without the texts; the steps
+    read that narrow table.
     """
     described = with_counts(docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text",
@@ -244,19 +283,19 @@ def judge(docs: DataFrame) -> DataFrame:
     own = _attach(passed, groups, n_groups, keys).select(
         *kept, "row_hash", "group_lang", "stratum", "whole", *_statistics(), F.lit(True).alias("judged")
     )
-    # Leftovers are judged among all texts of their language, which stand there as well.
-    wholes = groups.where("whole").select("group_lang", F.col("stratum").alias("among")).distinct()
-    witnesses = _attach(own.where("not whole"), wholes, n_groups, ["group_lang"]).withColumns(
-        {"stratum": F.col("among"), "judged": F.lit(False)}
-    )
+    # Leftovers are judged among all texts of their language, or of all languages, which
+    # stand there as well.
+    wholes = groups.where(F.col("whole") & (F.col("stratum") != ALL)).select(
+        "group_lang", F.col("stratum").alias("among")
+    ).distinct()
+    witnesses = _attach(own.where("not whole"), wholes, n_groups, ["group_lang"])
+    if not groups.where(F.col("stratum") == ALL).isEmpty():
+        witnesses = witnesses.unionByName(own.where(F.col("stratum") != ALL).withColumn("among", F.lit(ALL)))
+    witnesses = witnesses.withColumns({"stratum": F.col("among"), "judged": F.lit(False)})
     measured = own.unionByName(witnesses.drop("among")).drop("group_lang", "whole")
     far = outlyingness(durable(measured)).where("judged")
     told = far.select(*kept, (F.col("distance") <= CUTOFF).alias("kept"), "distance")
-    spared = (
-        passed.join(F.broadcast(groups), keys, "left_anti") if n_groups <= BROADCAST_GROUPS
-        else salted_lookup(passed, groups, keys, "row_hash", "left_anti")
-    ).select(*kept, F.lit(True).alias("kept"), F.lit(None).cast("double").alias("distance"))
     failed = counted.where("base_failed").select(
         *kept, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance")
     )
-    return told.unionByName(spared).unionByName(failed)
+    return told.unionByName(failed)
