@@ -9,6 +9,7 @@ are the targets. All of it is DataFrame operations; only the cells are iterated
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,6 @@ TOPICS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("legal", ("Licensed under", "Copyright", "All rights reserved")), ("table", (" | ",)), ("contact", ("@",)),
 )
 OTHER_TOPIC = "prose"
-#: Rounds of a job when the cells stand in one partition.
-ROUNDS_PER_JOB = 4
 
 
 @dataclass(frozen=True)
@@ -105,7 +104,7 @@ def rake(cells: DataFrame, mix: Mix) -> tuple[DataFrame, int, int]:
     `cells` has the dimensions of the mix and `tokens`. A round scales the weights along
     each dimension in turn to the wanted shares and then bounds them; it is over when no
     scale is off by more than the tolerance, or after `rounds`, as bounds may keep
-    targets out of reach. Weights add up to about one.
+    targets out of reach: then a warning says by how much. Weights add up to about one.
 
     Up to `broadcast_rows` cells are put in one partition, where the rounds need no
     shuffle; more of them are shuffled by each dimension in turn.
@@ -125,21 +124,24 @@ def rake(cells: DataFrame, mix: Mix) -> tuple[DataFrame, int, int]:
     current = durable(current.coalesce(1) if small else current)
     done, columns = 0, current.columns
     while done < mix.rounds:
-        step = current.coalesce(1) if small else current
-        for _ in range(min(ROUNDS_PER_JOB if small else 1, mix.rounds - done)):
-            step = step.withColumn("off", F.lit(0.0))
-            for i, name in enumerate(names):
-                now = F.sum("weight").over(Window.partitionBy(name))
-                step = step.withColumn("scale", F.when(now > 0, F.col(f"wanted{i}") / now).otherwise(1.0))
-                step = step.withColumn("off", F.greatest("off", F.abs(F.col("scale") - 1))).withColumn(
-                    "weight", F.col("weight") * F.col("scale")
-                ).drop("scale")
-            step = step.withColumn("weight", F.least("weight", F.lit(mix.bound) * F.col("share")))
-            done += 1
+        step = (current.coalesce(1) if small else current).withColumn("off", F.lit(0.0))
+        for i, name in enumerate(names):
+            now = F.sum("weight").over(Window.partitionBy(name))
+            step = step.withColumn("scale", F.when(now > 0, F.col(f"wanted{i}") / now).otherwise(1.0))
+            step = step.withColumn("off", F.greatest("off", F.abs(F.col("scale") - 1))).withColumn(
+                "weight", F.col("weight") * F.col("scale")
+            ).drop("scale")
+        step = step.withColumn("weight", F.least("weight", F.lit(mix.bound) * F.col("share")))
+        done += 1
         current, off = durable_count(step.select(*columns, "off"), F.col("off") > mix.tolerance)
-        current = current.drop("off")
         if not off:
             break
+        if done == mix.rounds:
+            worst = current.agg(F.max("off")).first()[0]
+            warnings.warn(
+                f"targets unmet after {done} rounds: shares still move by up to {worst:.2%}", stacklevel=2
+            )
+        current = current.drop("off")
     return current.select(*names, "tokens", "share", "weight"), n_cells, done
 
 

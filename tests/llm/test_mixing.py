@@ -43,7 +43,7 @@ def plain_rates(docs, mix):
             rest = sum(n for v, n in have.items() if v not in target.shares)
             raw = {v: target.shares.get(v, target.other * n / rest if rest else 0) for v, n in have.items()}
         wanted.append({v: x / sum(raw.values()) for v, x in raw.items()})
-    for done in range(mix.rounds):
+    for _ in range(mix.rounds):
         off = 0.0
         for d, want in enumerate(wanted):
             now = Counter()
@@ -53,7 +53,7 @@ def plain_rates(docs, mix):
             off = max(off, np.abs(scale - 1).max())
             weight = weight * scale
         weight = np.minimum(weight, mix.bound * share)
-        if off <= mix.tolerance and (done + 1) % mixing.ROUNDS_PER_JOB == 0:
+        if off <= mix.tolerance:
             break
     rate = weight / share
     return dict.fromkeys(cells, 0.0) | dict(zip(keys, rate / rate.max(), strict=True))
@@ -114,3 +114,13 @@ def test_many_cells_use_salted_joins(spark, make_docs):
     docs = make_docs([(i, f"some words {i} @", "en", f"s{i % 5}") for i in range(200)])
     mix = mixing.Mix(broadcast_rows=0, tolerance=0.0, rounds=4)
     check(mixing.sample(docs, mix), docs.collect(), mix)
+
+
+def test_targets_out_of_reach_are_told(spark, make_docs):
+    """A bound of the mean weight leaves no room to move: the rounds end with a warning."""
+    docs = make_docs([(i, "some words here", "en", "a" if i % 10 else "b") for i in range(200)])
+    mix = mixing.Mix(targets={
+        "source": mixing.Target(shares={"a": 0.5, "b": 0.5}), "lang": mixing.Target(), "topic": mixing.Target(),
+    }, bound=1.0, rounds=3)
+    with pytest.warns(UserWarning, match="targets unmet after 3 rounds"):
+        check(mixing.sample(docs, mix), docs.collect(), mix)
