@@ -29,8 +29,15 @@ LETTERS = 64
 LEARN_DOCS = 2000
 UNDETERMINED = "und"
 #: Cosine below which a text is like none of the learned languages: two unlike vectors
-#: of this many dimensions are rarely (two deviations) as close as that.
+#: of this many dimensions are rarely (two deviations) as close as that. It holds where
+#: too few texts tell more (`least_likeness`).
 LEAST_SCORE = 2 / DIMENSIONS**0.5
+#: Share of a language's own texts that may fall below the least likeness, and the number
+#: of texts that it takes to say so.
+CUT_QUANTILE = 0.002
+LEAST_MEASURED = 100
+#: Texts below 2^7 and from 2^12 characters on are one size class each.
+SIZES = (6, 12)
 
 _CHUNK = 1 << 20
 #: Most cells of a count matrix held at once: 32 MB.
@@ -112,21 +119,24 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
+def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
+    """(doc_id, text, lang) of about so many rows of each language, by a hash of the id.
+
+    The table of rates has a row per language, as the prototypes have, and is broadcast.
+    """
+    known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    rates = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("rate"))
+    return known.join(F.broadcast(rates), "lang").where(unit_hash("doc_id", seed=SEED) < F.col("rate")).drop("rate")
+
+
 def learn(labelled: DataFrame, per_language: int = LEARN_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, from (doc_id, text, lang).
 
     A sample of about `per_language` texts of each language is bundled; rows are
-    chosen by a hash of their id and text length. Rows without a language are passed
-    over. Only one vector per language comes to the driver.
+    chosen by a hash of their id. Rows without a language are passed over. Only one
+    vector per language comes to the driver.
     """
-    known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return [], np.zeros((0, DIMENSIONS), np.float32)
-    rate = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(rate)
-    sample = known.where(unit_hash("doc_id", seed=SEED) < rate)
+    sample = _sample(labelled, per_language)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -144,6 +154,8 @@ def learn(labelled: DataFrame, per_language: int = LEARN_DOCS) -> tuple[list[str
     added = sample.select("text", "lang").mapInArrow(released(task), "lang string, axis int, value long")
     rows = added.groupBy("lang", "axis").agg(F.sum("value").alias("value")).collect()
     names = sorted({r.lang for r in rows})
+    if not names:
+        return [], np.zeros((0, DIMENSIONS), np.float32)
     prototypes = np.zeros((len(names), DIMENSIONS))
     for r in rows:
         prototypes[names.index(r.lang), r.axis] = r.value
@@ -151,33 +163,79 @@ def learn(labelled: DataFrame, per_language: int = LEARN_DOCS) -> tuple[list[str
 
 
 def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, out: str = "language") -> DataFrame:
-    """Add `language` and `language_score` to any table with a `text`.
+    """Add `language`, `language_score` and `language_lead` to any table with a `text`.
 
-    `language_score` is the cosine with the chosen prototype, not below 0. A text that is
-    null or has no letter, or any text if no language was learned, is `und` with score 0.
+    `language_score` is the cosine with the chosen prototype, not below 0, and
+    `language_lead` what it is above the second best (above 0, if one language was
+    learned). A text that is null or has no letter, or any text if no language was
+    learned, is `und` with score and lead 0.
     Equal cosines go to the language that comes first by name. `out` is the beginning of
     the new columns' names; no column of `docs` may begin with it.
     """
     columns = docs.columns
-    schema = docs.select("*").schema.add(out, "string").add(f"{out}_score", "double")
+    schema = docs.select("*").schema.add(out, "string").add(f"{out}_score", "double").add(f"{out}_lead", "double")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _unit(bundles(batch.column("text").to_pylist()))
             lang = np.full(batch.num_rows, UNDETERMINED, object)
-            score = np.zeros(batch.num_rows)
+            score, lead = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             if names and batch.num_rows:
                 cosine = vectors @ prototypes.T
                 best = cosine.argmax(axis=1)
                 told = vectors.any(axis=1)
                 lang[told] = np.array(names, object)[best[told]]
-                score[told] = np.clip(cosine[np.arange(len(best)), best], 0, 1)[told]
-            arrays = [batch.column(c) for c in columns] + [pa.array(lang, pa.string()), pa.array(score)]
+                top = cosine[np.arange(len(best)), best]
+                score[told] = np.clip(top, 0, 1)[told]
+                cosine[np.arange(len(best)), best] = -np.inf
+                second = np.maximum(cosine.max(axis=1), 0)
+                lead[told] = np.clip(top - second, 0, 1)[told]
+            arrays = [batch.column(c) for c in columns] + [pa.array(lang, pa.string()), pa.array(score), pa.array(lead)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return docs.mapInArrow(released(task), schema)
 
 
+def _size(text: str = "text") -> Column:
+    """Size class: texts between two powers of two in length, but for the ends of SIZES."""
+    return F.least(F.greatest(F.floor(F.log2(F.length(text) + 1)), F.lit(SIZES[0])), F.lit(SIZES[1])).cast("int")
+
+
+Cut = tuple[int | None, float, float]
+
+
+def least_likeness(labelled: DataFrame, names: list[str], prototypes: np.ndarray,
+                   per_language: int = LEARN_DOCS) -> list[Cut]:
+    """(size class, least score, least lead) of the learned languages' own texts.
+
+    `labelled` (doc_id, text, lang) are rows the prototypes were not learned from; about
+    `per_language` of each language are scored, and those that get their own language
+    give the CUT_QUANTILE of score and lead per size class. Short texts score less, so
+    each class has its own cut. The last one, of class None, is for classes with fewer
+    than LEAST_MEASURED texts: that of all texts, or the noise level and no lead if they
+    are too few as well. A row per class comes to the driver.
+    """
+    told = predict(_sample(labelled, per_language), names, prototypes, out="told").where("told = lang")
+    cut = [F.percentile_approx(f"told_{c}", CUT_QUANTILE).alias(c) for c in ("score", "lead")]
+    rows = told.withColumn("size", _size()).rollup("size").agg(
+        F.grouping("size").alias("whole"), F.count("*").alias("n"), *cut
+    ).collect()
+    enough = [r for r in rows if r.n >= LEAST_MEASURED]
+    rest = next(((None, r.score, r.lead) for r in enough if r.whole), (None, LEAST_SCORE, 0.0))
+    return [(r["size"], r.score, r.lead) for r in enough if not r.whole] + [rest]
+
+
+def is_known(cuts: list[Cut], out: str = "language", text: str = "text") -> Column:
+    """Whether a predicted text is as like its language as the language's own texts are."""
+    def reaches(score: float, lead: float) -> Column:
+        return (F.col(f"{out}_score") >= score) & (F.col(f"{out}_lead") >= lead)
+
+    known = reaches(*cuts[-1][1:])
+    for size, score, lead in cuts[:-1]:
+        known = F.when(_size(text) == size, reaches(score, lead)).otherwise(known)
+    return (F.col(out) != UNDETERMINED) & known
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Rows the prototypes are not learned from."""
     return fold(F.col(doc_id) if isinstance(doc_id, str) else doc_id, 5) == 0
