@@ -58,7 +58,9 @@ def lineage(edges: DataFrame, wanted: DataFrame, known: DataFrame | None = None,
 
     Returns (want, step, blob, pre, docid, ambiguous). Blobs are compared by their full
     ids; short ones are resolved first (`full_ids`). A history ends with `ambiguous` set
-    where a patch changes a blob whose short id fits several. Of several patches making
+    where a patch changes a blob whose short id fits several. A wanted id that fits
+    several, or is shorter than SHORTEST, has one row, step 0 without a blob, with
+    `ambiguous` set. Of several patches making
     one blob, the latest is followed. Steps are enumerated by doubling: after round k
     every step below 2^k is there, so a long history takes few rounds; a loop ends where
     it meets a blob again.
@@ -101,7 +103,14 @@ def lineage(edges: DataFrame, wanted: DataFrame, known: DataFrame | None = None,
     else:
         raise RuntimeError(f"histories did not end in {max_rounds} doublings")
     found = salted_lookup(chain, hop, ["blob"], spread_on="want")
-    return found.select("want", "step", "blob", "pre", "docid", "ambiguous")
+    unclear = wanted.where("oid is not null").select("oid").distinct().join(
+        resolved.where("full is not null"), "oid", "left_anti"
+    ).select(
+        F.col("oid").alias("want"), F.lit(0).alias("step"),
+        *[F.lit(None).cast(hop.schema[c].dataType).alias(c) for c in ("blob", "pre", "docid")],
+        F.lit(True).alias("ambiguous"),
+    )
+    return found.select("want", "step", "blob", "pre", "docid", "ambiguous").unionByName(unclear)
 
 
 def patch_terms(messages: DataFrame, text: str = "body") -> DataFrame:

@@ -270,6 +270,19 @@ def test_lineage_keeps_blobs_apart_that_share_seven_digits(spark):
     }
 
 
+def test_lineage_tells_unclear_wanted_ids(spark):
+    """A wanted id that fits two blobs, one too short to tell, and one that fits one."""
+    from archivelake.operators import patches
+
+    edges = _edges(spark, [(1, 1, "0000000", "aaaaaaa111"), (2, 2, "0000000", "aaaaaaa222"), (3, 3, "0000000", "bbbbbbb333")])
+    wanted = spark.createDataFrame([("aaaaaaa",), ("aaaa",), ("bbbbbbb",), ("bbbbbbb",), (None,)], "oid string")
+    got = sorted(tuple(r) for r in patches.lineage(edges, wanted).collect())
+    assert got == [
+        ("aaaa", 0, None, None, None, True), ("aaaaaaa", 0, None, None, None, True),
+        ("bbbbbbb", 0, "bbbbbbb333", "0000000", 3, False),
+    ]
+
+
 def test_long_histories_and_loops_end(spark):
     from archivelake.operators import patches
 
