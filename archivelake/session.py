@@ -61,6 +61,16 @@ def durable_count(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
     return kept, seen.get["n"]
 
 
+#: Bounds of the Arrow batches that Python workers get. Rows may be whole messages.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keep the Arrow batches of this session short, whatever the length of the rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 _shipped: set[str] = set()
 
 

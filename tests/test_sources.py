@@ -301,3 +301,23 @@ def test_ingest_in_several_batches_equals_one(spark, tmp_path):
 ])
 def test_separator_lines(line, ends):
     assert bool(mbox.FROM_LINE.match(line)) == ends
+
+
+def test_decode_holds_few_messages_at_once(spark):
+    """Whatever the number and length of messages, a worker's batches and slices are short."""
+    import pandas as pd
+
+    from archivelake.sources.decode import SLICE_BYTES, SLICE_ROWS, slices
+
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    one = spark.range(0, 1200, 1, 1).selectExpr("id", "encode(concat('Subject: ', id, '\n\nbody ', id), 'UTF-8') AS raw")
+    decoded = decode(one)
+    assert max(r.n for r in decoded.select("raw").mapInPandas(sizes, "n int").collect()) <= 500
+    got = decoded.selectExpr("id", "headers['subject'][0] AS s", "parts[0].text AS t").collect()
+    assert sorted((r.id, r.s, r.t) for r in got) == [(i, str(i), f"body {i}") for i in range(1200)]
+    assert list(slices([])) == []
+    assert list(slices([1] * (SLICE_ROWS + 1))) == [(0, SLICE_ROWS), (SLICE_ROWS, SLICE_ROWS + 1)]
+    assert list(slices([5, 2 * SLICE_BYTES, SLICE_BYTES - 5, 5, 1])) == [(0, 1), (1, 2), (2, 4), (4, 5)]
