@@ -204,18 +204,18 @@ def _size(text: str = "text") -> Column:
 Cut = tuple[int | None, float, float]
 
 
-def least_likeness(labelled: DataFrame, names: list[str], prototypes: np.ndarray,
-                   per_language: int = LEARN_DOCS) -> list[Cut]:
+def least_likeness(labelled: DataFrame, names: list[str], prototypes: np.ndarray) -> list[Cut]:
     """(size class, least score, least lead) of the learned languages' own texts.
 
-    `labelled` (doc_id, text, lang) are rows the prototypes were not learned from; about
-    `per_language` of each language are scored, and those that get their own language
+    `labelled` (doc_id, text, lang) are rows the prototypes were not learned from; every
+    one that has a language is scored, and those that get their own language
     give the CUT_QUANTILE of score and lead per size class. Short texts score less, so
     each class has its own cut. The last one, of class None, is for classes with fewer
     than LEAST_MEASURED texts: that of all texts, or the noise level and no lead if they
     are too few as well. A row per class comes to the driver.
     """
-    told = predict(_sample(labelled, per_language), names, prototypes, out="told").where("told = lang")
+    known = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    told = predict(known, names, prototypes, out="told").where("told = lang")
     cut = [F.percentile_approx(f"told_{c}", CUT_QUANTILE).alias(c) for c in ("score", "lead")]
     rows = told.withColumn("size", _size()).rollup("size").agg(
         F.grouping("size").alias("whole"), F.count("*").alias("n"), *cut

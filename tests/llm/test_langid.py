@@ -65,3 +65,15 @@ def test_odd_rows(odd_docs, store, spark):
     unlabelled = odd_docs.selectExpr("doc_id", "text", "cast(null AS string) AS lang")
     assert {r.lang_pred for r in queries.QUERIES[NAME](spark, store(documents=unlabelled)).collect()} == {"und"}
     assert queries.QUERIES[NAME](spark, store(documents=odd_docs.limit(0))).collect() == []
+
+
+def test_least_likeness_scores_every_row(spark):
+    """6,000 texts of a language, of which 150 long ones: a sample of 2,000 held too few of them."""
+    low = "the house of the old man stands by the river "
+    rows = [(i, low * (6 if i < 150 else 2) + str(i), "en") for i in range(6000)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, prototypes = langid.learn(texts)
+    cuts = langid.least_likeness(texts, names, prototypes)
+    assert [c[0] for c in sorted(cuts[:-1])] == [6, 8]
+    scored = langid.predict(texts.where("doc_id < 150"), names, prototypes).agg({"language_score": "min"}).first()[0]
+    assert dict((c[0], c[1]) for c in cuts)[8] == scored
