@@ -84,7 +84,7 @@ def phrase_search(spark, d):
     SELECT DISTINCT docid FROM tokens WHERE term = 'is'""", "tokens")
 def stem_search(spark, d):
     """`is` shares its stem with no other word, so SQL can name the matches."""
-    return p.search(with_stems(_index(spark, d, False)), _docs(spark, d), p.Stem("is")).select("docid")
+    return p.search(with_stems(_index(spark, d, False), ["is"]), _docs(spark, d), p.Stem("is")).select("docid")
 
 
 @query("prefix_search", "SELECT DISTINCT docid FROM tokens WHERE starts_with(term, 'eneinheit')", "tokens")

@@ -417,3 +417,16 @@ def test_a_frequent_word_is_many_files(spark, tmp_path, monkeypatch):
     bucket = term_store.buckets_of(["the"])[0]
     assert len(list(tmp_path.glob(f"postings/batch=0/bucket={bucket}/*.parquet"))) > 2
     assert term_store.frequencies(spark, str(tmp_path), ["the"]).first().df == 20_000
+
+
+def test_stems_of_wanted_words_only(spark):
+    from archivelake.functions.stem import with_stems
+
+    rows = [(1, "noted notes is"), (2, "note Note island"), (3, "quotes 12"), (4, "")]
+    index = post.build_postings(post.text_fields(spark.createDataFrame(rows, "docid long, body string")), False)
+    few = with_stems(index, ["Notes", "is"])
+    want = with_stems(index).where("stem in ('note', 'is')")
+    assert few.columns == want.columns
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, want.collect()))
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert with_stems(index, ["unseen"]).collect() == []
