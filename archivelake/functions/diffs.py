@@ -150,7 +150,7 @@ def _classify_batch(text: pd.Series) -> pd.Series:
 
 
 def diff_lines(text: Column) -> Column:
-    """Classified lines of each text; one Arrow batch at a time."""
+    """Classified lines of each text; one Arrow batch at a time (see `session.short_batches`)."""
     return F.pandas_udf(_classify_batch, LINE_TYPE)(text)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from archivelake.functions import diffs, ids
 from archivelake.operators.skew import salted_lookup
-from archivelake.session import durable, durable_count
+from archivelake.session import durable, durable_count, short_batches
 
 ZERO = "^0+$"
 SHORTEST = 7
@@ -115,6 +115,7 @@ def lineage(edges: DataFrame, wanted: DataFrame, known: DataFrame | None = None,
 
 def patch_terms(messages: DataFrame, text: str = "body") -> DataFrame:
     """Distinct (docid, field, term) features of patches, for lookups by patch."""
+    short_batches(messages.sparkSession)
     rows = messages.where(diffs.looks_like_diff(F.col(text))).select(
         "docid", F.explode(diffs.diff_lines(F.col(text))).alias("l")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from archivelake.functions import addresses, dates, diffs, hashing, headers, ids, subjects, text
 from archivelake.operators import normalize
 from archivelake.plans.registry import query
+from archivelake.session import short_batches
 from archivelake.sources import files, mbox, views
 from archivelake.sources.decode import decode, explode_parts
 
@@ -302,6 +303,7 @@ def restored_headers(spark, d):
     SELECT docid, 3 AS dfn_plain, 1 + length(text) - length(replace(text, chr(10), '')) AS added_lines, 1 AS removed_lines,
       1 AS context_lines, pre, post, 'src/file' || hist || '.txt' AS file FROM patch_mail""", "patch_mail")
 def diff_line_kinds(spark, d):
+    short_batches(spark)
     lines = views.patch_mail(spark, d).select(
         "docid", F.explode(diffs.diff_lines(F.col("body"))).alias("l")
     ).select("docid", "l.*")

@@ -11,6 +11,7 @@ from archivelake.operators import patches
 from archivelake.operators import postings as post
 from archivelake.operators import predicates as p
 from archivelake.plans.registry import query
+from archivelake.session import short_batches
 from archivelake.sources import views
 
 
@@ -105,6 +106,7 @@ def diff_search(spark, d):
 def old_style_paths(spark, d):
     name = F.concat(F.lit("src/file"), F.col("hist").cast("string"), F.lit(".txt"))
     body = F.concat(F.lit("diff -u old/"), name, F.lit(" new/"), name, F.lit("\n ctx"))
+    short_batches(spark)
     lines = views.patch_mail(spark, d).select("docid", F.explode(diffs.diff_lines(body)).alias("l"))
     return lines.where("l.kind = 'file'").select("docid", F.col("l.value").alias("shared"))
 

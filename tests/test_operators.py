@@ -430,3 +430,13 @@ def test_stems_of_wanted_words_only(spark):
     assert sorted(map(repr, few.collect())) == sorted(map(repr, want.collect()))
     assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
     assert with_stems(index, ["unseen"]).collect() == []
+
+
+def test_diff_lines_get_short_batches(spark):
+    from archivelake import session
+    from archivelake.operators import patches
+
+    for use in (patches.patch_terms, post.text_fields):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        use(spark.createDataFrame([(1, "x")], "docid long, body string"))
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(session.BATCH_ROWS)
