@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivelake.functions import diffs, ids, text
 from archivelake.operators.skew import salted_lookup
+from archivelake.session import short_batches
 
 # Search field names and the index fields each one covers.
 BODY = ["nonquoted", "dfn", "dfa", "dfb", "dfhh", "dfctx", "dfpre", "dfpost", "patchid"]
@@ -57,6 +61,7 @@ def text_fields(msgs: DataFrame) -> DataFrame:
         rows.append(_field(msgs, "mid_text", F.col("mid")))
         rows.append(_field(msgs, "mid_text", long_words, at=F.lit(1)))
     if "body" in msgs.columns:
+        short_batches(msgs.sparkSession)
         base = F.col("part_pos") * PART_GAP if "part_pos" in msgs.columns else F.lit(0)
         blocks = msgs.select(
             "docid", "body", base.alias("base"), F.explode(text.quote_blocks(F.col("body"))).alias("b")
@@ -108,11 +113,94 @@ def part_fields(parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [text_rows, names, *inner])
 
 
-def build_postings(fields: DataFrame, positions: bool = True) -> DataFrame:
+def _codes(column: pa.Array) -> np.ndarray:
+    """A number per distinct value; null is -1."""
+    return column.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    """Rows where another (docid, field) begins; equal ones stand together."""
+    if not rows.num_rows:
+        return np.zeros(0, np.int64)
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for name in ("docid", "field"):
+        codes = _codes(rows.column(name).combine_chunks())
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _grouped(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Postings of text blocks (docid, field, weight, at, words) of whole groups."""
+    rows = rows.combine_chunks()
+    starts = _group_starts(rows)
+    lists = rows.column("words").combine_chunks()
+    words = lists.flatten()
+    if not len(words):
+        return
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    block = np.repeat(np.arange(rows.num_rows), sizes)
+    group = (np.searchsorted(starts, np.arange(rows.num_rows), side="right") - 1)[block]
+    place = np.arange(len(words)) - (np.cumsum(sizes) - sizes)[block]
+    at = rows.column("at").combine_chunks().to_numpy(zero_copy_only=False)
+    weight = rows.column("weight").combine_chunks().to_numpy(zero_copy_only=False)
+    terms = words.dictionary_encode()
+    key = group * len(terms.dictionary) + terms.indices.to_numpy(zero_copy_only=False)
+    pos = at[block] * BLOCK_GAP + place
+    order = np.lexsort((pos, key))
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    yield pa.RecordBatch.from_arrays(
+        [
+            *[rows.column(c).combine_chunks().take(pa.array(starts[key[first] // len(terms.dictionary)])) for c in ("docid", "field")],
+            terms.dictionary.take(pa.array(key[first] % len(terms.dictionary))),
+            pa.array(np.add.reduceat(weight[block][order], first).astype(np.int64)),
+            pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)].astype(np.int32)), pa.array(pos[order])),
+        ],
+        names=["docid", "field", "term", "wdf", "positions"],
+    )
+
+
+def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of sorted text blocks; a group may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edge = pa.Table.from_batches([*(b.slice(b.num_rows - 1) for b in held[-1:]), batch])
+        last = int(_group_starts(edge)[-1]) - (edge.num_rows - batch.num_rows)
+        if last < 0 or (last == 0 and not held):
+            held.append(batch)
+            continue
+        yield from _grouped(pa.Table.from_batches([*held, batch.slice(0, last)]))
+        held = [batch.slice(last)]
+    if held:
+        yield from _grouped(pa.Table.from_batches(held))
+
+
+def whole_postings(fields: DataFrame) -> DataFrame:
+    """`build_postings` of every word: a document's blocks meet once, as text.
+
+    The words are grouped within the document, so no single word is shuffled, sorted or
+    spilled. A task holds the words of one (docid, field) and of a short Arrow batch.
+    """
+    short_batches(fields.sparkSession)
+    together = fields.repartition("docid", "field").sortWithinPartitions("docid", "field", "at")
+    blocks = together.select("docid", "field", "weight", "at", text.words(F.col("value")).alias("words"))
+    kind = fields.schema["docid"].dataType.simpleString()
+    return blocks.mapInArrow(_group_blocks, f"docid {kind}, field string, term string, wdf bigint, positions array<bigint>")
+
+
+def build_postings(fields: DataFrame, positions: bool = True, whole: bool = False) -> DataFrame:
     """Postings (docid, field, term, wdf, positions) of text fields.
 
-    `positions=False` is the smaller index level that cannot match phrases.
+    `positions=False` is the smaller index level that cannot match phrases. `whole` is for
+    an index of which every posting is wanted; without it, conditions on terms reach the
+    single words before they are grouped.
     """
+    if whole:
+        found = whole_postings(fields)
+        return found if positions else found.drop("positions")
     tokens = fields.select(
         "docid", "field", "weight", "at",
         F.posexplode(text.words(F.col("value"))).alias("pos", "term"),

@@ -21,6 +21,7 @@ from archivelake.functions.stem import stem, stems
 from archivelake.operators import predicates as p
 from archivelake.operators import rank
 from archivelake.operators.postings import build_postings, document_frequency, document_lengths
+from archivelake.session import durable
 from archivelake.streaming.tables import file_system
 
 BUCKETS = 256
@@ -67,7 +68,7 @@ def add_documents(fields: DataFrame, path: str, batch: int, positions: bool = Tr
     _mark(spark, path, batch, None)
     earlier = [b for b in live_batches(spark, path) if b < batch]
     later = [b for b in live_batches(spark, path) if b > batch]
-    postings = build_postings(fields, positions).withColumn("bucket", term_bucket(F.col("term")))
+    postings = build_postings(fields, positions, whole=True).withColumn("bucket", term_bucket(F.col("term")))
     target = f"{path}/postings/batch={batch}"
     # Spark splits the large shuffle partitions of a rebalanced table, hot words included.
     dealt = postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "docid")
@@ -75,7 +76,8 @@ def add_documents(fields: DataFrame, path: str, batch: int, positions: bool = Tr
     # Lengths and words come from the stored postings, not from the text again.
     stored = spark.read.parquet(target)
     document_lengths(stored).write.mode("overwrite").parquet(f"{path}/lengths/batch={batch}")
-    words = stored.select("term").distinct().withColumn("stem", stems(F.col("term")))
+    # Kept, since dealing out by range reads its input twice.
+    words = durable(stored.select("term").distinct().withColumn("stem", stems(F.col("term"))))
     words.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms/batch={batch}")
     words = spark.read.parquet(f"{path}/terms/batch={batch}")
     words.repartitionByRange("stem", "term").sortWithinPartitions("stem", "term").write.mode("overwrite").parquet(

@@ -17,9 +17,9 @@ def _docs(spark, d):
     return views.doc_posts(spark, d)
 
 
-def _index(spark, d, positions=True):
+def _index(spark, d, positions=True, whole=False):
     """Body postings of every document."""
-    return post.build_postings(post.text_fields(_docs(spark, d).select("docid", "body")), positions)
+    return post.build_postings(post.text_fields(_docs(spark, d).select("docid", "body")), positions, whole)
 
 
 _HAS = "docid IN (SELECT docid FROM tokens WHERE term = '{}')"
@@ -29,7 +29,7 @@ _HAS = "docid IN (SELECT docid FROM tokens WHERE term = '{}')"
     SELECT docid, 'nonquoted' AS field, term, count(*) AS wdf, min(pos) AS first_pos, max(pos) AS last_pos FROM tokens
     GROUP BY docid, term""", "tokens")
 def postings_index(spark, d):
-    return _index(spark, d).select(
+    return _index(spark, d, whole=True).select(
         "docid", "field", "term", "wdf", F.col("positions")[0].alias("first_pos"),
         F.element_at("positions", -1).alias("last_pos"),
     )

@@ -419,6 +419,23 @@ def test_a_frequent_word_is_many_files(spark, tmp_path, monkeypatch):
     assert term_store.frequencies(spark, str(tmp_path), ["the"]).first().df == 20_000
 
 
+def test_whole_postings_equal_grouped_words(spark, monkeypatch):
+    """Blocks of a document, repeated and null ids, texts without words, groups over several batches."""
+    from archivelake import session
+
+    monkeypatch.setattr(session, "BATCH_ROWS", 3)
+    quoted = "a b a\n> a q\n> z\nb c a\n> q\n" * 7
+    rows = [(1, quoted), (1, "a z"), (None, "a b"), (None, "q a"), (2, ""), (3, None), (4, "...")]
+    rows += [(i, f"x y x {i}\n> y\n é É\nx") for i in range(5, 40)]
+    fields = post.text_fields(spark.createDataFrame(rows, "docid long, body string").coalesce(1))
+    plain, whole = post.build_postings(fields), post.build_postings(fields, whole=True)
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, plain.collect()))
+    # Words are neither shuffled nor gathered by an aggregate.
+    assert "Aggregate" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert post.build_postings(fields, False, whole=True).columns == ["docid", "field", "term", "wdf"]
+    session.short_batches(spark)
+
+
 def test_stems_of_wanted_words_only(spark):
     from archivelake.functions.stem import with_stems
 
