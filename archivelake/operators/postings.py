@@ -178,28 +178,31 @@ def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from _grouped(pa.Table.from_batches(held))
 
 
-def whole_postings(fields: DataFrame) -> DataFrame:
+def whole_postings(fields: DataFrame, parts: int | None = None) -> DataFrame:
     """`build_postings` of every word: a document's blocks meet once, as text.
 
     The words are grouped within the document, so no single word is shuffled, sorted or
     spilled. A task holds the words of one (docid, field) and of a short Arrow batch.
+    Without `parts` Spark merges small partitions.
     """
     short_batches(fields.sparkSession)
-    together = fields.repartition("docid", "field").sortWithinPartitions("docid", "field", "at")
+    together = fields.repartition(*([parts] if parts else []), "docid", "field").sortWithinPartitions("docid", "field", "at")
     blocks = together.select("docid", "field", "weight", "at", text.words(F.col("value")).alias("words"))
     kind = fields.schema["docid"].dataType.simpleString()
     return blocks.mapInArrow(_group_blocks, f"docid {kind}, field string, term string, wdf bigint, positions array<bigint>")
 
 
-def build_postings(fields: DataFrame, positions: bool = True, whole: bool = False) -> DataFrame:
+def build_postings(
+    fields: DataFrame, positions: bool = True, whole: bool = False, parts: int | None = None
+) -> DataFrame:
     """Postings (docid, field, term, wdf, positions) of text fields.
 
     `positions=False` is the smaller index level that cannot match phrases. `whole` is for
     an index of which every posting is wanted; without it, conditions on terms reach the
-    single words before they are grouped.
+    single words before they are grouped. `parts` is the number of partitions of a whole index.
     """
     if whole:
-        found = whole_postings(fields)
+        found = whole_postings(fields, parts)
         return found if positions else found.drop("positions")
     tokens = fields.select(
         "docid", "field", "weight", "at",

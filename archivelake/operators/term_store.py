@@ -68,7 +68,9 @@ def add_documents(fields: DataFrame, path: str, batch: int, positions: bool = Tr
     _mark(spark, path, batch, None)
     earlier = [b for b in live_batches(spark, path) if b < batch]
     later = [b for b in live_batches(spark, path) if b > batch]
-    postings = build_postings(fields, positions, whole=True).withColumn("bucket", term_bucket(F.col("term")))
+    # A set number: merged partitions would leave too few to split a frequent word's bucket between.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    postings = build_postings(fields, positions, whole=True, parts=parts).withColumn("bucket", term_bucket(F.col("term")))
     target = f"{path}/postings/batch={batch}"
     # Spark splits the large shuffle partitions of a rebalanced table, hot words included.
     dealt = postings.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "term", "docid")
