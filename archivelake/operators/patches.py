@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivelake.functions import diffs, ids
+from archivelake.operators.ordered import WIDTH
 from archivelake.operators.skew import salted_lookup
 from archivelake.session import durable, durable_count, short_batches
 
@@ -52,6 +53,30 @@ def full_ids(named: DataFrame) -> DataFrame:
     )
 
 
+def file_runs(hop: DataFrame, n: int, entered: DataFrame) -> DataFrame:
+    """`hop` (blob, jump, ts, docid, path, ..) with `top` and `back`, the run that each blob is in.
+
+    A run is patches of one file, one after the other in time, each made on the one
+    before. `top` is its newest blob, `back` how many steps a blob lies below it. A
+    run is entered at its top only: it is cut at the blobs of `entered`, where histories
+    meet, and between time ranges of about WIDTH of the `n` rows, so no task holds more.
+    """
+    meet = hop.groupBy(F.col("jump").alias("blob")).agg(F.count("*").alias("n")).where("n > 1").select("blob")
+    cuts = entered.select("blob").union(meet).distinct().withColumn("cut", F.lit(True))
+    ranges = hop.join(cuts, "blob", "left").repartitionByRange(
+        max(1, -(-n // WIDTH)), "path", "ts", "docid", "blob"
+    ).withColumn("range", F.spark_partition_id())
+    newest_first = Window.partitionBy("range", "path").orderBy(F.desc("ts"), F.desc("docid"), F.desc("blob"))
+    so_far = newest_first.rowsBetween(Window.unboundedPreceding, 0)
+    follows = F.coalesce(F.lag("jump").over(newest_first) == F.col("blob"), F.lit(False)) & F.col("cut").isNull()
+    placed = ranges.withColumn("row", F.row_number().over(newest_first)).withColumn(
+        "first", F.when(~follows, F.struct("row", "blob"))
+    ).withColumn("first", F.last("first", ignorenulls=True).over(so_far))
+    return placed.select(
+        *hop.columns, F.col("first.blob").alias("top"), (F.col("row") - F.col("first.row")).alias("back")
+    )
+
+
 def lineage(edges: DataFrame, wanted: DataFrame, known: DataFrame | None = None,
             max_rounds: int = 60) -> DataFrame:
     """Patches from each wanted blob back to a null or known blob.
@@ -61,53 +86,66 @@ def lineage(edges: DataFrame, wanted: DataFrame, known: DataFrame | None = None,
     where a patch changes a blob whose short id fits several. A wanted id that fits
     several, or is shorter than SHORTEST, has one row, step 0 without a blob, with
     `ambiguous` set. Of several patches making
-    one blob, the latest is followed. Steps are enumerated by doubling: after round k
-    every step below 2^k is there, so a long history takes few rounds; a loop ends where
-    it meets a blob again.
+    one blob, the latest is followed. Runs of patches of one file (`file_runs`; `path_b`
+    and `path_a` of the edges may be missing) are followed as a whole. Runs are
+    enumerated by doubling: after round k the first 2^k are there, so a history of many
+    runs takes few rounds; a loop ends where it meets a run again.
     """
-    usable = edges.where(
+    name = [F.col(c) for c in ("path_b", "path_a") if c in edges.columns]
+    usable = durable(edges.where(
         ~F.col("post").rlike(ZERO) & (F.length("post") >= SHORTEST) & (F.col("post") != F.col("pre"))
-    )
+    ).select("ts", "docid", "pre", "post", F.coalesce(*name, F.lit("")).alias("path")))
+    want = durable(wanted.select("oid").distinct())
     ids = [usable.select(F.col("post").alias("oid")), usable.where(~F.col("pre").rlike(ZERO)).select(F.col("pre").alias("oid")),
-           wanted.select("oid")] + ([] if known is None else [known.select("oid")])
+           want] + ([] if known is None else [known.select("oid")])
     resolved = durable(full_ids(reduce(DataFrame.union, ids)))
     post = resolved.where("full is not null").select(F.col("oid").alias("post"), F.col("full").alias("blob"))
     pre = resolved.select(F.col("oid").alias("pre"), F.col("full").alias("jump"), "ambiguous")
-    newest = salted_lookup(usable.select("ts", "docid", "pre", "post"), post, ["post"], spread_on="docid").groupBy("blob").agg(
-        F.max(F.struct("ts", "docid", "pre")).alias("e")
-    ).select("blob", F.col("e.docid").alias("docid"), F.col("e.pre").alias("pre"))
+    newest = salted_lookup(usable, post, ["post"], spread_on="docid").groupBy("blob").agg(
+        F.max(F.struct("ts", "docid", "pre", "path")).alias("e")
+    ).select("blob", "e.*")
     if known is not None:
         stop = salted_lookup(
             known.select("oid"), resolved.where("full is not null").select("oid", "full"), ["oid"], spread_on="oid"
         ).select(F.col("full").alias("blob")).distinct()
         newest = newest.join(stop, "blob", "left_anti")
-    hop = durable(salted_lookup(newest, pre, ["pre"], spread_on="blob", how="left").select(
-        "blob", "docid", "pre", "jump", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous")
+    hop, n = durable_count(salted_lookup(newest, pre, ["pre"], spread_on="blob", how="left").select(
+        *newest.columns, "jump", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous")
+    ), F.lit(True))
+    start = durable(want.join(resolved.where("full is not null"), "oid").select(
+        F.col("oid").alias("origin"), F.col("full").alias("blob")
     ))
-    jumps = durable(hop.select("blob", "jump").where("jump is not null"))
-    start = wanted.select("oid").distinct().join(resolved.where("full is not null"), "oid").select(
-        F.col("oid").alias("want"), F.col("full").alias("blob")
+    runs = durable(file_runs(hop, n, start).select("top", "back", "blob", "pre", "jump", "docid", "ambiguous"))
+    # Rows of a wanted id lead to the tops on its way, rows of a top to the top 2^k runs on.
+    ends = runs.groupBy("top").agg(F.max(F.struct("back", "jump")).alias("e")).where("e.jump is not null").select(
+        F.col("top").alias("origin"), F.col("e.jump").alias("blob"), (F.col("e.back") + 1).alias("step"), F.lit(False).alias("wanted")
     )
-    chain, size = durable_count(start.withColumn("step", F.lit(0)), F.lit(True))
-    for k in range(max_rounds):
-        further = salted_lookup(chain, jumps, ["blob"], spread_on="want").select(
-            "want", F.col("jump").alias("blob"), (F.col("step") + (1 << k)).alias("step")
+    ways, size = durable_count(
+        start.withColumn("step", F.lit(0)).withColumn("wanted", F.lit(True)).unionByName(ends), F.col("wanted")
+    )
+    for _ in range(max_rounds):
+        links = ways.where("not wanted").select(
+            F.col("origin").alias("blob"), F.col("blob").alias("next"), F.col("step").alias("more")
+        )
+        further = salted_lookup(ways, links, ["blob"], spread_on="origin").select(
+            "origin", F.col("next").alias("blob"), (F.col("step") + F.col("more")).alias("step"), "wanted"
         )
-        grown = chain.unionByName(further).groupBy("want", "blob").agg(F.min("step").alias("step"))
+        grown = ways.where("wanted").unionByName(further).groupBy("wanted", "origin", "blob").agg(F.min("step").alias("step"))
         before = size
-        chain, size = durable_count(grown, F.lit(True))
+        ways, size = durable_count(grown, F.col("wanted"))
         if size == before:
             break
-        second = jumps.select(F.col("blob").alias("jump"), F.col("jump").alias("next"))
-        jumps = durable(jumps.join(second, "jump").select("blob", F.col("next").alias("jump")))
     else:
         raise RuntimeError(f"histories did not end in {max_rounds} doublings")
-    found = salted_lookup(chain, hop, ["blob"], spread_on="want")
-    unclear = wanted.where("oid is not null").select("oid").distinct().join(
+    found = salted_lookup(
+        ways.where("wanted").select(F.col("origin").alias("want"), F.col("blob").alias("top"), "step"),
+        runs.drop("jump"), ["top"], spread_on="want",
+    ).withColumn("step", F.col("step") + F.col("back"))
+    unclear = want.where("oid is not null").join(
         resolved.where("full is not null"), "oid", "left_anti"
     ).select(
         F.col("oid").alias("want"), F.lit(0).alias("step"),
-        *[F.lit(None).cast(hop.schema[c].dataType).alias(c) for c in ("blob", "pre", "docid")],
+        *[F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in ("blob", "pre", "docid")],
         F.lit(True).alias("ambiguous"),
     )
     return found.select("want", "step", "blob", "pre", "docid", "ambiguous").unionByName(unclear)

@@ -294,6 +294,53 @@ def test_long_histories_and_loops_end(spark):
     assert {tuple(r) for r in got.collect()} == {(names[-1], 300), ("fffffff001", 2)}
 
 
+def _rounds(monkeypatch):
+    """Sizes that are counted from now on, one for each round and two besides."""
+    sizes, count = [], patches.durable_count
+    monkeypatch.setattr(patches, "durable_count", lambda *a: sizes.append(got := count(*a)) or got)
+    return sizes
+
+
+def test_lineage_follows_a_file_in_few_rounds(spark, monkeypatch):
+    names = [f"{i:010x}" for i in range(1, 301)]
+    rows = [(i, i, names[i - 1] if i else "0000000000", n, "a.txt", "a.txt") for i, n in enumerate(names)]
+    edges = spark.createDataFrame(rows, "docid bigint, ts bigint, pre string, post string, path_a string, path_b string")
+    wanted = spark.createDataFrame([(names[-1],)], "oid string")
+    sizes = _rounds(monkeypatch)
+    got = {(r.step, r.docid, r.pre) for r in patches.lineage(edges, wanted).collect()}
+    assert got == {(299 - i, i, pre) for i, _, pre, *_ in rows}
+    assert len(sizes) <= 4  # eleven when every patch is a step of its own
+
+
+def test_lineage_equals_a_plain_walk(spark, monkeypatch):
+    """Branches, loops, patches out of order, blobs made again and files that go on in another one."""
+    rng = random.Random(5)
+    for width, known in ((3, None), (7, 2), (50_000, None)):
+        monkeypatch.setattr(patches, "WIDTH", width, raising=False)
+        names = [f"{i:08x}aa" for i in range(1, 41)]
+        rows = [
+            (len(names) * again + i, i if rng.random() < 0.7 else rng.randrange(40),
+             names[i - 1] if i and rng.random() < 0.8 else rng.choice(["0000000000", *names]), post, None, f"f{rng.randrange(2) * (rng.random() < 0.3)}")
+            for again in range(2) for i, post in enumerate(names) if not again or rng.random() < 0.3
+        ]
+        wants, stops = rng.sample(names, 8), rng.sample(names, known or 0)
+        newest = {}
+        for docid, ts, pre, post, *_ in rows:
+            if pre != post and post not in stops:
+                newest[post] = max(newest.get(post, (ts, docid, pre)), (ts, docid, pre))
+        walked = []
+        for want in wants:
+            blob, seen = want, []
+            while blob in newest and blob not in seen:
+                walked.append((want, len(seen), blob, newest[blob][2], newest[blob][1], False))
+                seen.append(blob)
+                blob = newest[blob][2]
+        edges = spark.createDataFrame(rows, "docid bigint, ts bigint, pre string, post string, path_a string, path_b string")
+        oids = [spark.createDataFrame([(x,) for x in xs], "oid string") for xs in (wants, stops)]
+        got = patches.lineage(edges, oids[0], oids[1] if known else None).collect()
+        assert sorted(tuple(r) for r in got) == sorted(walked)
+
+
 def test_peers_and_places_as_rows(spark):
     from archivelake.operators import annotations as ann
     from archivelake.operators import merged
