@@ -312,6 +312,17 @@ def test_lineage_follows_a_file_in_few_rounds(spark, monkeypatch):
     assert len(sizes) <= 4  # eleven when every patch is a step of its own
 
 
+def test_lineage_to_a_known_blob_in_few_rounds(spark, monkeypatch):
+    names = [f"{i:010x}" for i in range(1, 301)]
+    rows = [(i, i, names[i - 1] if i else "0000000000", n, None, "a.txt") for i, n in enumerate(names)]
+    edges = spark.createDataFrame(rows, "docid bigint, ts bigint, pre string, post string, path_a string, path_b string")
+    wanted, known = (spark.createDataFrame([(x,)], "oid string") for x in (names[-1], names[100]))
+    sizes = _rounds(monkeypatch)
+    got = {(r.step, r.docid, r.pre) for r in patches.lineage(edges, wanted, known).collect()}
+    assert got == {(299 - i, i, pre) for i, _, pre, *_ in rows[101:]}
+    assert len(sizes) <= 4
+
+
 def test_lineage_equals_a_plain_walk(spark, monkeypatch):
     """Branches, loops, patches out of order, blobs made again and files that go on in another one."""
     rng = random.Random(5)
